@@ -32,7 +32,7 @@ def input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = 0
     for i in range(leaves.size()):
-        size = int(leaves.apply(i).stats().sizeInBytes().toString())
+        size = int(leaves.apply(i).stats().sizeInBytes())
         if size < _UNKNOWN_SIZE:
             total += size
     return total

@@ -12,4 +12,4 @@ def all_entries() -> dict[str, tuple]:
     return merged
 
 
-MODULES = ["data"]
+MODULES = ["data", "signals", "backtest"]

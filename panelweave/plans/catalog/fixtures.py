@@ -35,8 +35,8 @@ def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
 
 
 # ---------------------------------------------------------------- B1 / B2 market panel
@@ -237,7 +237,7 @@ def run_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 50 != 0, F.concat(F.lit("fam-"), F.col("c_nationkey").cast("string"))).alias("family_id"),
         F.concat(F.lit("hyp-"), (k % 7).cast("string")).alias("hypothesis_id"),
         F.concat(F.lit("cand-"), (k % 13).cast("string")).alias("candidate_id"),
-        F.when(k % 4 == 0, "pre_registered").when(k % 4 == 1, "best_of_n").when(k % 4 == 2, "exploratory").alias(
+        F.when(k % 4 == 0, "pre_registered").when(k % 4 == 1, "generated").when(k % 4 == 2, "exploratory").alias(
             "selection_policy"
         ),
         F.sha2(F.col("c_mktsegment"), 256).alias("config_sha256"),
@@ -264,7 +264,7 @@ RUNS = """runs AS MATERIALIZED (
          concat(strftime(DATE '2024-01-01' + CAST(c_custkey % 365 AS INTEGER), '%Y-%m-%d'), 'T00:00:00Z') AS generated_at,
          CASE WHEN c_custkey % 50 <> 0 THEN concat('fam-', c_nationkey) END AS family_id,
          concat('hyp-', c_custkey % 7) AS hypothesis_id, concat('cand-', c_custkey % 13) AS candidate_id,
-         CASE c_custkey % 4 WHEN 0 THEN 'pre_registered' WHEN 1 THEN 'best_of_n' WHEN 2 THEN 'exploratory' END AS selection_policy,
+         CASE c_custkey % 4 WHEN 0 THEN 'pre_registered' WHEN 1 THEN 'generated' WHEN 2 THEN 'exploratory' END AS selection_policy,
          sha256(c_mktsegment) AS config_sha256, concat('commit-', c_custkey % 6) AS code_commit,
          concat('branch-', c_custkey % 2) AS code_branch, c_custkey % 10 = 0 AS code_dirty,
          CASE c_custkey % 3 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'vendor_snapshot' ELSE 'csv_snapshot' END AS source,
