@@ -56,11 +56,24 @@ BASELINES = replace(AGENT, baselines=FULL.baselines)
 STRESS = replace(AGENT, sector_neutral=True, liquidity_min_rank=MIN_LIQUIDITY)
 
 
-def run(spark, sf, config: ResearchConfig, staged: bool = False) -> Research:
+_RUNS: dict[tuple[str, str], Research] = {}
+
+
+def full_run(spark, sf) -> Research:
+    """A fresh run of the whole grid."""
     panel = fx.panel(spark, sf).withColumn("sector", fx.sector(F.col("symbol_no")))
     may_short = F.substring("symbol", 2, 6).cast("int") % 9 != 8
     locates = bor.normalize_borrow(fx.borrow(spark, sf), fx.dates(spark, sf))
-    return Research(panel, config, locates, may_short, staged=staged)
+    return Research(panel, FULL, locates, may_short)
+
+
+def run(spark, sf, config: ResearchConfig) -> Research:
+    """View of the session's full run for one configuration; its written tables are made once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        _RUNS[key] = full_run(spark, sf)
+    full = _RUNS[key]
+    return full if config is FULL else Research(full.panel, config, full.borrow, full.may_short).adopt(full)
 
 
 def entry(key: str, sql: str | None = None):
@@ -234,11 +247,11 @@ def pos_5(spark, sf):
     return fx.rounded(run(spark, sf, AGENT).book, "turnover").select("date", "turnover")
 
 
-@entry("pos_6_adv", f"WITH {fx.FACTORS} SELECT date, symbol, round(adv, 6) AS adv FROM factors WHERE c IS NOT NULL")
+@entry("pos_6_adv", f"WITH {fx.FACTORS} SELECT date, symbol, round(adv, 4) AS adv FROM factors WHERE c IS NOT NULL")
 def pos_6(spark, sf):
     from panelweave.operators.factors import with_adv
 
-    return fx.rounded(with_adv(fx.panel(spark, sf)), "adv").select("date", "symbol", "adv")
+    return fx.rounded(with_adv(fx.panel(spark, sf)), "adv", digits=4).select("date", "symbol", "adv")
 
 
 _COST_KEYS = {
@@ -377,7 +390,7 @@ _grid_entry("var_4_cost_grid", COSTS, "cost_sensitivity")
 )
 def var_full(spark, sf):
     """Every variant of the configuration and every split in one job."""
-    return fx.rounded(run(spark, sf, FULL, staged=True).metrics, *ALL_METRICS).select("variant", "split", "observations", *ALL_METRICS)
+    return fx.rounded(run(spark, sf, FULL).metrics, *ALL_METRICS).select("variant", "split", "observations", *ALL_METRICS)
 
 
 def _draw_sql(stream: str) -> str:
@@ -464,3 +477,129 @@ UNION ALL SELECT 'participation', concat('Trade participation first breached 10%
 def cap_4(spark, sf):
     r = run(spark, sf, CAPACITY)
     return variants.capacity_warnings(r.capacity_curve, r.concentration, 0.35, 0.10)
+
+
+# ---------------------------------------------------------------- validity
+
+_C = (
+    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
+)
+
+
+def upper_tail_sql(t: str) -> str:
+    """P(Z > t) with the same series as the engine."""
+    x = f"({t} / 1.4142135623730951::DOUBLE)"
+    k = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * abs({x})))"
+    series = f"{_C[-1]}::DOUBLE"
+    for coefficient in reversed(_C[:-1]):
+        series = f"({coefficient}::DOUBLE + {k} * {series})"
+    erfc = f"({k} * exp(-{x} * {x} + {series}))"
+    return f"(0.5::DOUBLE * CASE WHEN {x} >= 0 THEN {erfc} ELSE 2.0::DOUBLE - {erfc} END)"
+
+
+def bh_sql(source: str, keys: str, p: str = "p_value", name: str = "name") -> str:
+    """Select list item source: q per row of ``source`` by sorted suffix minimum."""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""(SELECT *, min(least(1.0, {p} * n / rk)) OVER ({part} ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q_value
+  FROM (SELECT *, row_number() OVER ({part} ORDER BY {p}, {name}) AS rk, count(*) OVER ({part}) AS n FROM {source}) z)"""
+
+
+@entry(
+    "val_1_p_values",
+    f"""WITH {fx.RUNS} SELECT run_id, round({upper_tail_sql("((key % 21 - 10) / 200.0 * 40)")}, 6) AS p_value FROM runs""",
+)
+def val_1(spark, sf):
+    from panelweave.functions import normal_upper_tail
+
+    return fx.run_rows(spark, sf).select("run_id", fx.r6(normal_upper_tail((F.col("key") % 21 - 10) / 200.0 * 40)).alias("p_value"))
+
+
+@entry(
+    "val_2_benjamini_hochberg",
+    f"""WITH {fx.RUNS}, f AS (SELECT run_id, family_id, p_value FROM runs)
+SELECT run_id, family_id, round(q_value, 6) AS q_value FROM {bh_sql("f", "family_id", name="run_id")} y""",
+)
+def val_2(spark, sf):
+    from panelweave.operators.inference import benjamini_hochberg
+
+    rows = fx.run_rows(spark, sf).select("run_id", "family_id", "p_value")
+    return fx.rounded(benjamini_hochberg(rows, ["family_id"]), "q_value").select("run_id", "family_id", "q_value")
+
+
+_EVIDENCE_SQL = f""", evidence0 AS (SELECT variant, name, family, place, observations AS holdout_observations, sharpe AS holdout_sharpe, ic_mean AS holdout_ic_mean,
+    ic_tstat AS holdout_ic_tstat, total_return AS holdout_total_return, CASE WHEN observations < 2 THEN 1.0 ELSE {upper_tail_sql("ic_tstat")} END AS p_value
+  FROM metrics WHERE split = 'holdout' AND family <> 'capacity'),
+last_p AS (SELECT name, arg_max(p_value, place) AS p_value FROM evidence0 GROUP BY name),
+adjusted AS (SELECT name, q_value FROM {bh_sql("last_p", "")} y),
+evidence AS MATERIALIZED (SELECT e.*, q_value FROM evidence0 e JOIN adjusted a ON a.name = e.name)"""
+_EVIDENCE = ["holdout_sharpe", "holdout_ic_mean", "holdout_ic_tstat", "holdout_total_return", "p_value", "q_value"]
+
+
+@entry("val_3_candidate_evidence", run_sql(FULL, f"{_EVIDENCE_SQL} SELECT name, family, holdout_observations, {sql6(*_EVIDENCE)} FROM evidence"))
+def val_3(spark, sf):
+    return fx.rounded(run(spark, sf, FULL).evidence, *_EVIDENCE).select("name", "family", "holdout_observations", *_EVIDENCE)
+
+
+_CHECKS_SQL = f"""{_EVIDENCE_SQL},
+agent AS (SELECT e.*, (SELECT max(holdout_sharpe) FROM evidence WHERE family = 'baseline') AS best,
+    (SELECT avg(CASE WHEN sharpe >= 0 THEN 1.0 ELSE 0.0 END) FROM windows WHERE variant = 'primary/agent_signal') AS stable
+  FROM evidence e WHERE family = 'primary'),
+checks AS MATERIALIZED (
+  SELECT 'positive_holdout_sharpe' AS name, true AS required, holdout_sharpe > 0 AS passed, holdout_sharpe AS observed, 0.0::DOUBLE AS threshold,
+    printf('Holdout Sharpe %.4f must be greater than %.4f.', holdout_sharpe, 0.0::DOUBLE) AS reason FROM agent
+  UNION ALL SELECT 'positive_holdout_ic', true, holdout_ic_mean > 0, holdout_ic_mean, 0.0, printf('Holdout IC %.4f must be greater than %.4f.', holdout_ic_mean, 0.0::DOUBLE) FROM agent
+  UNION ALL SELECT 'fdr_significant', true, q_value <= 0.1, q_value, 0.1, printf('Agent FDR q-value %.4f must be at most %.4f.', q_value, 0.1::DOUBLE) FROM agent
+  UNION ALL SELECT 'positive_holdout_return', true, holdout_total_return > 0, holdout_total_return, 0.0, printf('Holdout total return %.4f must be positive.', holdout_total_return) FROM agent
+  UNION ALL SELECT 'beats_best_baseline', true, holdout_sharpe >= best, holdout_sharpe, best,
+    printf('Agent holdout Sharpe %.4f must be at least best baseline %.4f.', holdout_sharpe, best) FROM agent
+  UNION ALL SELECT 'walk_forward_stable', true, stable >= 0.5, stable, 0.5, 'At least half of walk-forward windows must have non-negative Sharpe.' FROM agent
+  UNION ALL SELECT 'data_ready', true, false, 0.0, 1.0, 'Data must be point-in-time, survivorship-bias-free, and corporate-action adjusted.' FROM agent)"""
+
+
+@entry("val_4_5_checks", run_sql(FULL, f"{_CHECKS_SQL} SELECT name, required, passed, round(observed, 6) AS observed, round(threshold, 6) AS threshold, reason FROM checks"))
+def val_4(spark, sf):
+    return fx.rounded(run(spark, sf, FULL).checks, "observed", "threshold").select(
+        "name", "required", "passed", "observed", "threshold", "reason"
+    )
+
+
+@entry(
+    "val_6_verdict",
+    run_sql(
+        FULL,
+        f"""{_CHECKS_SQL} SELECT CASE WHEN bool_or(required AND NOT passed AND name IN ('positive_holdout_sharpe', 'positive_holdout_ic', 'fdr_significant', 'positive_holdout_return')) THEN 'REJECT'
+  WHEN bool_or(required AND NOT passed) THEN 'REVIEW' ELSE 'PROMOTE' END AS verdict, string_agg(reason, ' ' ORDER BY reason) FILTER (WHERE NOT passed) AS reasons FROM checks""",
+    ),
+)
+def val_6(spark, sf):
+    return run(spark, sf, FULL).verdict.withColumn("reasons", F.concat_ws(" ", "reasons"))
+
+
+@entry(
+    "val_6_verdict_table",
+    f"""WITH {fx.RUNS}, c AS (
+  SELECT run_id, 'positive_holdout_sharpe' AS name, true AS required, key % 5 <> 0 AS passed, 'sharpe' AS reason FROM runs
+  UNION ALL SELECT run_id, 'positive_holdout_return', key % 2 = 0, CASE WHEN key % 2 = 0 THEN key % 3 <> 0 END, 'return' FROM runs
+  UNION ALL SELECT run_id, 'data_ready', true, key % 7 <> 0, 'data' FROM runs)
+SELECT run_id, CASE WHEN bool_or(required AND NOT coalesce(passed, true) AND name <> 'data_ready') THEN 'REJECT'
+  WHEN bool_or(required AND NOT coalesce(passed, true)) THEN 'REVIEW' ELSE 'PROMOTE' END AS verdict,
+  coalesce(string_agg(reason, ' ' ORDER BY reason) FILTER (WHERE required AND NOT coalesce(passed, true)), '') AS reasons FROM c GROUP BY run_id""",
+)
+def val_6_table(spark, sf):
+    """Verdicts of every stored run at once from a check table."""
+    from panelweave.operators.inference import verdicts
+
+    k = F.col("key")
+
+    def check(name, required, passed, reason):
+        return F.struct(
+            F.lit(name).alias("name"), required.alias("required"), passed.alias("passed"), F.lit(reason).alias("reason")
+        )
+
+    rows = F.array(
+        check("positive_holdout_sharpe", F.lit(True), k % 5 != 0, "sharpe"),
+        check("positive_holdout_return", k % 2 == 0, F.when(k % 2 == 0, k % 3 != 0), "return"),
+        check("data_ready", F.lit(True), k % 7 != 0, "data"),
+    )
+    checks = fx.run_rows(spark, sf).select("run_id", F.explode(rows).alias("c")).select("run_id", "c.*")
+    return verdicts(checks, ["run_id"]).withColumn("reasons", F.concat_ws(" ", "reasons"))

@@ -29,8 +29,8 @@ LIQUIDITY = "dollar_volume_20d"
 class Research:
     """Tables of one run.  ``panel`` needs date, date_idx, symbol, adj_close, volume (and sector if used).
 
-    ``staged`` writes the signal table and the rebalance rows once to the shared folder, which is what
-    a large run wants (several consumers); small runs recompute instead.
+    ``staged`` writes the signal table, the rebalance rows and the daily book once to the shared folder,
+    because each has several consumers; without it every consumer recomputes them.
     """
 
     def __init__(
@@ -40,17 +40,27 @@ class Research:
         borrow: DataFrame | None = None,
         may_short: Column | None = None,
         split: bool | None = None,
-        staged: bool | None = None,
+        staged: bool = True,
     ) -> None:
         self.panel, self.config, self.borrow, self.may_short = panel, config, borrow, may_short
         self.split = needs_split(panel, split)
-        self.staged = self.split if staged is None else staged
+        self.staged = staged
         self.grid = config.variants()
         self.positions_grid = list({v.position: v for v in self.grid}.values())
 
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         return stage(df, label) if self.staged else df
 
+    def adopt(self, other: Research) -> Research:
+        """Read the tables another run has written, when its grid contains this one's variants."""
+        positions, names = [v.position for v in self.positions_grid], [v.variant for v in self.grid]
+        if not set(names) <= {v.variant for v in other.grid}:
+            raise ValueError("the other run lacks some variants of this one")
+        self.strategies = other.strategies
+        self.aligned = other.aligned.where(F.col("variant").isin(positions))
+        self.daily = other.daily.where(F.col("variant").isin(names))
+        return self
+
     # ------------------------------------------------------------ signals
 
     @cached_property
