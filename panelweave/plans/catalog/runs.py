@@ -50,10 +50,17 @@ def src_8(spark, sf):
     )
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def parsed(spark, sf):
-    """Manifests as they arrive: JSON text parsed with the fixed schema."""
-    text = fx.manifests(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
-    return text.select(F.from_json("value", rn.MANIFEST_SCHEMA).alias("m")).select("m.*")
+    """Manifests read back from the session's packed manifest folder (written once)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        path = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+        write_manifests(fx.manifests(spark, sf), path)
+        _STORES[key] = path
+    return read_manifests(spark, f"{_STORES[key]}/*/*.txt", multi_line=False)
 
 
 @entry(
@@ -130,7 +137,7 @@ family AS MATERIALIZED (
     CASE WHEN has_agent THEN ic_mean / 2 ELSE ic_mean / 3 END AS holdout_ic_mean,
     CASE WHEN has_agent THEN coalesce(sharpe, 0) / 2 ELSE coalesce(sharpe, 0) / 3 END AS holdout_sharpe,
     CASE WHEN has_agent THEN total_return / 2 ELSE total_return / 3 END AS holdout_total_return,
-    CASE WHEN has_agent AND key % 23 <> 5 THEN p_value ELSE 1.0 END AS agent_p_value, CASE WHEN has_agent THEN 0.5 ELSE 1.0 END AS agent_q_value,
+    CASE WHEN has_agent AND key % 23 <> 5 THEN p_value ELSE 1.0 END AS agent_p_value, CASE WHEN has_agent THEN 0.5 ELSE 1.0 END::DOUBLE AS agent_q_value,
     NOT has_agent AS missing_agent_evidence FROM runs),
 facts AS MATERIALIZED (
   SELECT family_id, count(*) AS run_count, count(*) FILTER (WHERE selection_policy = 'pre_registered') AS pre_registered_count,
@@ -157,9 +164,9 @@ _FAMILY_COLUMNS = [
 _EVIDENCE = ["holdout_ic_mean", "holdout_sharpe", "holdout_total_return", "agent_p_value", "agent_q_value"]
 
 
-@entry("fam_1_family_rows", f"WITH {FAMILY} SELECT {', '.join(_FAMILY_COLUMNS)}, {', '.join(f'round({c}, 6) AS {c}' for c in _EVIDENCE)} FROM family")
+@entry("fam_1_family_rows", f"WITH {FAMILY} SELECT {', '.join(_FAMILY_COLUMNS)}, {', '.join(f'round({c}, 9) AS {c}' for c in _EVIDENCE)} FROM family")
 def fam_1(spark, sf):
-    return fx.rounded(rn.family_rows(parsed(spark, sf)), *_EVIDENCE).select(*_FAMILY_COLUMNS, *_EVIDENCE)
+    return fx.rounded(rn.family_rows(parsed(spark, sf)), *_EVIDENCE, digits=9).select(*_FAMILY_COLUMNS, *_EVIDENCE)
 
 
 def families(spark, sf):
