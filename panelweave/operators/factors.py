@@ -10,22 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelweave.functions import ratio
 from panelweave.operators.groupwise import needs_split, value_positions, with_average_rank
 
-_SYMBOL = Window.partitionBy("symbol").orderBy("date_idx")
+
+def _frame(first: int, last: int) -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("date_idx").rangeBetween(first, last)
 
 
 def at_offset(value: str | Column, rows: int) -> Column:
     """Value ``rows`` calendar rows ahead (negative: back); null when that cell is missing."""
-    return F.max(value).over(_SYMBOL.rangeBetween(rows, rows))
+    return F.max(value).over(_frame(rows, rows))
 
 
 def trailing(agg: Column, rows: int) -> Column:
-    return agg.over(_SYMBOL.rangeBetween(-(rows - 1), 0))
+    return agg.over(_frame(-(rows - 1), 0))
 
 
 def full(rows: int, value: str, agg: Column, min_periods: int | None = None) -> Column:

@@ -12,4 +12,4 @@ def all_entries() -> dict[str, tuple]:
     return merged
 
 
-MODULES = ["data", "signals", "backtest", "runs"]
+MODULES = ["data", "signals", "backtest", "runs", "corpus"]
