@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelweave.functions import ratio
-from panelweave.operators.groupwise import needs_split, value_positions, with_average_rank
+from panelweave.operators.groupwise import needs_split, spread, value_positions, with_average_rank
 
 
 def _frame(first: int, last: int) -> WindowSpec:
@@ -123,7 +123,7 @@ def with_factors(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Add factor columns to a panel that has ``date_idx``; infinities and NaN become null."""
     wanted = FACTOR_NAMES if names is None else list(dict.fromkeys(names))
     check_factor_names(wanted)
-    raw = with_building_blocks(df).withColumns({n: FACTORS[n]() for n in wanted})
+    raw = with_building_blocks(spread(df, ["symbol"])).withColumns({n: FACTORS[n]() for n in wanted})
     finite = {
         n: F.when(~F.isnan(n) & (F.abs(F.col(n)) != F.lit(float("inf"))), F.col(n)) for n in wanted
     }

@@ -25,6 +25,7 @@ from panelweave.session import stage
 # A group can never be larger than the input, so below this size every group fits in one task.
 COMPACT_INPUT_BYTES = 256 * 1024 * 1024
 _UNKNOWN_SIZE = 1 << 62
+_ADVISORY_BYTES = 64 * 1024 * 1024  # AQE merges shuffle partitions up to this size
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -42,6 +43,19 @@ def needs_split(df: DataFrame, split: bool | None = None) -> bool:
     return input_bytes(df) > COMPACT_INPUT_BYTES if split is None else split
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition on ``keys`` over all cores when the input is too small for AQE to do so.
+
+    Windows cost far more CPU than bytes; coalescing by size would put a small panel on one core.  A
+    larger input is left to the planner (shuffle partitions and AQE), so the exchange is never doubled:
+    the window that follows needs this very partitioning.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_bytes(df) < cores * _ADVISORY_BYTES:
+        return df.repartition(cores, *keys)
+    return df
+
+
 def _range_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,7 +116,7 @@ def with_average_rank(
     counts = counts or {}
     if not needs_split(df, split):
         group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        out = df
+        out = spread(df, keys) if keys else df
         for name, value in ranks.items():
             present = group.orderBy(F.col(value).asc_nulls_last())
             first = F.rank().over(present)
