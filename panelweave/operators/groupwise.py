@@ -9,8 +9,9 @@ Two plans exist for each primitive and both give the same rows:
   on (group, value) so a hot group is cut across partitions, numbered within each partition and
   shifted by the totals of the partitions before it.
 
-``split=None`` decides from the bytes the query reads (no job is run for that); callers that
-know better pass a flag.
+``split=None`` decides: a query that reads few bytes cannot have a large group (no job is run to see
+that); beyond it one narrow count per group finds the largest group, and only a group above the limit
+asks for the split plan.  Callers that know their groups pass a flag.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from panelweave.session import stage
 
 # A group can never be larger than the input, so below this size every group fits in one task.
 COMPACT_INPUT_BYTES = 256 * 1024 * 1024
+# Rows of one group a single window task handles comfortably (narrow rows, spill included).
+GROUP_ROWS = 5_000_000
 _UNKNOWN_SIZE = 1 << 62
 _ADVISORY_BYTES = 64 * 1024 * 1024  # AQE merges shuffle partitions up to this size
 
@@ -39,8 +42,19 @@ def input_bytes(df: DataFrame) -> int:
     return total
 
 
-def needs_split(df: DataFrame, split: bool | None = None) -> bool:
-    return input_bytes(df) > COMPACT_INPUT_BYTES if split is None else split
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group.  Only the key columns are read, and counts combine on the map side."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n"))
+    return counted.first()[0] or 0
+
+
+def needs_split(df: DataFrame, split: bool | None = None, keys: list[str] | None = None) -> bool:
+    """Whether some group (the whole table without ``keys``) is too large for one task."""
+    if split is not None:
+        return split
+    if input_bytes(df) <= COMPACT_INPUT_BYTES:
+        return False
+    return largest_group(df, keys) > GROUP_ROWS if keys else True
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +128,7 @@ def with_average_rank(
     number of non-null values in the group.
     """
     counts = counts or {}
-    if not needs_split(df, split):
+    if not needs_split(df, split, keys):
         group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         out = spread(df, keys) if keys else df
         for name, value in ranks.items():
@@ -149,7 +163,7 @@ def with_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], split: bool | None = None
 ) -> DataFrame:
     """Add linearly interpolated quantiles of ``value`` per group, plus the group's non-null count ``n_values``."""
-    if not needs_split(df, split):
+    if not needs_split(df, split, keys):
         group = Window.partitionBy(*keys)
         out = df.withColumn("n_values", F.count(value).over(group))
         for name, q in quantiles.items():
@@ -182,7 +196,7 @@ def with_group_totals(
     df: DataFrame, keys: list[str], totals: dict[str, Column], split: bool | None = None
 ) -> DataFrame:
     """Add per-group aggregates to each row: a window when groups are small, else aggregate and join."""
-    if not needs_split(df, split):
+    if not needs_split(df, split, keys):
         group = Window.partitionBy(*keys)
         return df.select("*", *[agg.over(group).alias(name) for name, agg in totals.items()])
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in totals.items()])

@@ -21,9 +21,10 @@ def benjamini_hochberg(
     Equal p-values share one q, so each distinct p counts once with its last position; a p-value that
     many rows share (1.0 for missing evidence) is one row of the table that is ordered.
     """
-    spots = _ordered_pvalues(df, keys, p, needs_split(df, split))
+    split = needs_split(df, split, keys)
+    spots = _ordered_pvalues(df, keys, p, split)
     raw = F.least(F.lit(1.0), F.col(p) * F.col("__n") / F.col("__upto"))
-    table = _suffix_minimum(spots.withColumn("__raw", raw), keys, p, needs_split(df, split))
+    table = _suffix_minimum(spots.withColumn("__raw", raw), keys, p, split)
     return attach(df, table.select(*keys, p, F.col("__min").alias(q)), [*keys, p], "left")
 
 

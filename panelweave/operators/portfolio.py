@@ -49,7 +49,7 @@ def with_legs(
     is_short, n_long and n_short.  ``shortable`` is a boolean Column; null counts as false.
     """
     keys = keys or KEYS
-    split = needs_split(df, split)
+    split = needs_split(df, split, keys)
     values = sorted(set(quantiles))
     cuts = {}
     for i, q in enumerate(values):

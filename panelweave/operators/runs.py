@@ -210,7 +210,7 @@ def compare_families(
     """
     if not 0.0 < fdr_alpha <= 0.25:
         raise ValueError("fdr_alpha must be greater than 0 and at most 0.25")
-    split = needs_split(rows, split)
+    split = needs_split(rows, split, ["family_id"] if per_family else None)
     scoped = rows.withColumn("__scope", F.col("family_id") if per_family else F.lit("all"))
     adjusted = benjamini_hochberg(scoped, ["__scope"], "agent_p_value", "family_q_value", split)
     facts = family_facts(scoped, ["__scope"]).drop("warnings", "run_count")

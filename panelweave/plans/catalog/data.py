@@ -27,12 +27,13 @@ def entry(key: str, sql: str | None = None):
 
 
 def requested(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols asked for: every symbol of the market plus one nobody trades."""
+    """Symbols asked for: every symbol of the market plus some nobody trades."""
     symbols = fx.market(spark, sf).select("symbol").distinct()
-    return symbols.union(symbols.agg(F.lit("MISSING").alias("symbol")))
+    absent = fx.table(spark, sf, "region").select(F.concat(F.lit("MISSING-"), F.upper("r_name")).alias("symbol"))
+    return symbols.union(absent)
 
 
-REQUESTED = "requested AS (SELECT DISTINCT symbol FROM market UNION ALL SELECT 'MISSING')"
+REQUESTED = "requested AS (SELECT DISTINCT symbol FROM market UNION ALL SELECT concat('MISSING-', upper(r_name)) FROM region)"
 
 
 # ---------------------------------------------------------------- sources

@@ -43,7 +43,7 @@ class Research:
         staged: bool = True,
     ) -> None:
         self.panel, self.config, self.borrow, self.may_short = panel, config, borrow, may_short
-        self.split = needs_split(panel, split)
+        self.split = needs_split(panel, split, ["date"])
         self.staged = staged
         self.grid = config.variants()
         self.positions_grid = list({v.position: v for v in self.grid}.values())

@@ -27,7 +27,7 @@ def test_chain_round_trip_and_tampering(spark):
     assert ev.verify_chains(links, records).count() == 0
     forged = records.withColumn("payload", F.when((F.col("chain") == 0) & (F.col("index") == 2), "x").otherwise(F.col("payload")))
     assert [tuple(r) for r in ev.verify_chains(links, forged).collect()] == [(0, 2, "hash chain hash mismatch")]
-    errors = {(r.index, r.error) for r in ev.verify_chains(links.where("index != 1"), records).where("chain = 0").collect()}
+    errors = {(r["index"], r.error) for r in ev.verify_chains(links.where("index != 1"), records).where("chain = 0").collect()}
     assert (1, "record has no chain row") in errors and (2, "hash chain previous hash mismatch") in errors
 
 

@@ -130,3 +130,15 @@ def test_input_bytes_counts_files_only(spark, tmp_path):
     spark.range(1000).write.parquet(path)
     assert 0 < gw.input_bytes(spark.read.parquet(path)) < gw.COMPACT_INPUT_BYTES
     assert not gw.needs_split(spark.read.parquet(path))
+
+
+def test_largest_group_decides_above_the_byte_limit(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(1000).select((F.col("id") % 3 == 0).alias("g"), "id").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert gw.largest_group(df, ["g"]) == 666
+    monkeypatch.setattr(gw, "COMPACT_INPUT_BYTES", 1)
+    assert not gw.needs_split(df, keys=["g"])
+    assert gw.needs_split(df)
+    monkeypatch.setattr(gw, "GROUP_ROWS", 600)
+    assert gw.needs_split(df, keys=["g"])
