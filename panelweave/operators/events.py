@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.groupwise import spread
+
 # Review statuses and ledger vocabulary.
 REVIEW_STATUSES = ["approved", "archived", "draft", "ran", "rejected"]
 DECISIONS = ["approved", "rejected"]
@@ -172,7 +174,7 @@ def build_chains(records: DataFrame, chain: str = "chain", index: str = "index",
     payloads; parallelism comes from many chains.  Chains are export packs of limited length (the
     caller cuts packs), which bounds the array.
     """
-    folded = records.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(index, payload))).alias("rows"))
+    folded = spread(records, [chain]).groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(index, payload))).alias("rows"))
     empty = F.array().cast(
         f"array<struct<{index}:bigint,{payload}:string,previous_hash:string,chain_hash:string>>"
     )

@@ -109,6 +109,19 @@ def quality_warnings(quality: DataFrame) -> DataFrame:
     return quality.select("symbol", F.explode(F.array_compact(found)).alias("w")).select("symbol", "w.*")
 
 
+def panel_warnings(panel: DataFrame, requested: DataFrame) -> DataFrame:
+    """(rule, message) rows: requested symbols without data and repeated date-symbol rows."""
+    absent = missing_symbols(panel, requested).select(
+        F.lit("missing_symbol").alias("rule"), F.format_string("Missing requested symbols: %s.", F.col("symbol")).alias("message")
+    )
+    repeats = panel.groupBy("date", "symbol").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n").alias("n"))
+    repeated = repeats.where(F.col("n") > 0).select(
+        F.lit("duplicate_rows").alias("rule"),
+        F.format_string("Market data contains %d duplicate date-symbol rows.", F.col("n")).alias("message"),
+    )
+    return absent.unionByName(repeated)
+
+
 def source_warnings(
     source: Column, point_in_time: Column, survivorship_free: Column, adjusted: Column, has_provenance: Column
 ) -> Column:

@@ -129,12 +129,13 @@ def size_orders(df: DataFrame, notional: float, max_participation: float) -> Dat
     )
 
 
-def prune_history(df: DataFrame, as_of: str, rows: int = 61) -> DataFrame:
-    """Keep the last ``rows`` calendar rows up to ``as_of``.
+def prune_history(df: DataFrame, as_of: str, rows: int = 61, dates: DataFrame | None = None) -> DataFrame:
+    """Keep the last ``rows`` calendar rows up to ``as_of``; factors on the last date need no older row.
 
-    Factors on the last date need no older row, so the last date's signal is exact.  Earlier dates
-    are not: when the last date has no signal, rerun on the whole history.
+    ``dates`` is the panel's calendar when it is at hand (saves a scan of the panel).
     """
-    eligible = df.where(F.col("date") <= F.lit(as_of).cast("date"))
-    recent = eligible.select("date").distinct().orderBy(F.desc("date")).limit(rows)
+    day = F.lit(as_of).cast("date")
+    eligible = df.where(F.col("date") <= day)
+    known = eligible if dates is None else dates.where(F.col("date") <= day)
+    recent = known.select("date").distinct().orderBy(F.desc("date")).limit(rows)
     return eligible.where(F.col("date") >= recent.agg(F.min("date")).scalar())

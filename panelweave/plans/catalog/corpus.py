@@ -10,6 +10,7 @@ from panelweave.operators import ideas as idea
 from panelweave.operators.factors import FACTOR_NAMES
 from panelweave.operators.provenance import content_hash
 from panelweave.plans.catalog import fixtures as fx
+from panelweave.session import stage
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -444,7 +445,7 @@ UNION ALL SELECT chain, "index", 'hash chain hash mismatch' FROM j WHERE chain_h
 def chn_1(spark, sf):
     """Chains with forged and missing links, checked against their records."""
     place = F.col("chain") * 256 + F.col("index")
-    links = ev.build_chains(chain_records(spark, sf)).where(place % 509 != 8)
+    links = stage(ev.build_chains(chain_records(spark, sf)), "chains").where(place % 509 != 8)
     forged = links.withColumn("previous_hash", F.when(place % 97 == 5, "forged").otherwise(F.col("previous_hash")))
     return ev.verify_chains(forged, chain_records(spark, sf))
 

@@ -419,6 +419,17 @@ def dq_7(spark, sf):
     return dq.quality_warnings(dq.symbol_quality(flawed(spark, sf)))
 
 
+@entry(
+    "dq_7_panel_warnings",
+    f"""WITH {fx.MARKET}, {REQUESTED}
+SELECT 'missing_symbol' AS rule, printf('Missing requested symbols: %s.', symbol) AS message FROM requested WHERE symbol NOT IN (SELECT symbol FROM market)
+UNION ALL SELECT 'duplicate_rows', printf('Market data contains %d duplicate date-symbol rows.', count(*)) FROM market WHERE symbol_no % 4 = 1 HAVING count(*) > 0""",
+)
+def dq_7_panel(spark, sf):
+    once = fx.market(spark, sf)
+    return dq.panel_warnings(once.unionByName(once.where(F.col("symbol_no") % 4 == 1)), requested(spark, sf))
+
+
 @entry(
     "dq_7_source_warnings",
     f"""WITH {fx.RUNS} SELECT run_id, concat_ws(' ',

@@ -8,6 +8,7 @@ from panelweave.operators import borrow as bor
 from panelweave.operators import factors as fac
 from panelweave.operators import signals as sig
 from panelweave.operators.portfolio import target_weights
+from panelweave.plans.as_of import signal_as_of
 from panelweave.plans.catalog import fixtures as fx
 from panelweave.plans.catalog.data import sql_normal
 
@@ -218,9 +219,7 @@ weights AS (SELECT *, CASE WHEN n < 5 THEN 0.0 WHEN ish THEN -1.0 / ns WHEN il T
 
 def as_of_rows(spark, sf):
     """Signal of the last date on or before AS_OF; history is cut to what the factors can reach."""
-    recent = sig.prune_history(fx.panel(spark, sf), AS_OF)
-    rows = sig.composite_signal(fac.with_factors(recent, [*fx.POSITIVE, *fx.NEGATIVE]), fx.POSITIVE, fx.NEGATIVE)
-    day = sig.latest_signal(rows, AS_OF)
+    day = signal_as_of(fx.panel(spark, sf), AS_OF, fx.POSITIVE, fx.NEGATIVE, fx.dates(spark, sf))
     return bor.attach_borrow(day, bor.normalize_borrow(fx.borrow(spark, sf), fx.dates(spark, sf)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelweave.config import ResearchConfig, Strategy
 from panelweave.operators import evaluate, portfolio
 from panelweave.operators.factors import with_factors, with_forward_returns
+from panelweave.plans.as_of import signal_as_of
 from panelweave.plans.research import Research
 from panelweave.sources.panel import with_date_index
 
@@ -46,7 +47,7 @@ def run(spark, panel, **changes):
         transaction_cost_bps=5.0,
         walk_forward_windows=2,
     )
-    return Research(panel, ResearchConfig(**{**settings, **changes}), staged=False)
+    return Research(panel, ResearchConfig(**{**settings, **changes}))
 
 
 def as_dict(df, key):
@@ -184,3 +185,17 @@ def test_split_plan_gives_the_same_run(spark):
 
     one = metrics(False, True)
     assert one and one == metrics(True, True)
+
+
+def test_as_of_signal_uses_no_later_rows_and_falls_back(spark):
+    panel = make_panel(spark, 75)
+    days = weekdays(75)
+    last = str(days[70])
+    got = {r.symbol: (r.date, r.signal) for r in signal_as_of(panel, last, ["momentum_60d"], ["volatility_20d"]).collect()}
+    known = signal_as_of(panel.where(F.col("date") <= last), last, ["momentum_60d"], ["volatility_20d"])
+    assert got == {r.symbol: (r.date, r.signal) for r in known.collect()} and {d for d, _ in got.values()} == {days[70]}
+    gap = panel.where(~F.col("date_idx").isin(70) | (F.col("symbol") == "AAA")).withColumn(
+        "adj_close", F.when(F.col("date_idx") == 70, F.lit(None)).otherwise(F.col("adj_close"))
+    )
+    older = signal_as_of(gap, last, ["momentum_60d"], []).collect()
+    assert {r.date for r in older} == {days[69]}

@@ -142,3 +142,16 @@ def test_largest_group_decides_above_the_byte_limit(spark, tmp_path, monkeypatch
     assert gw.needs_split(df)
     monkeypatch.setattr(gw, "GROUP_ROWS", 600)
     assert gw.needs_split(df, keys=["g"])
+
+
+def test_staged_tables_can_be_released(spark):
+    import os
+
+    from panelweave.session import release_staged, shared_folder, stage
+
+    release_staged(spark)
+    kept = stage(spark.range(10), "unit")
+    assert kept.count() == 10
+    assert any("panelweave-unit" in n for n in os.listdir(shared_folder(spark)))
+    assert release_staged(spark) == 1
+    assert not any("panelweave-unit" in n for n in os.listdir(shared_folder(spark)))
