@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.jaccard_join import similarity_components
+from panelweave.llm.substring_dedup import kept_digest
 from panelweave.llm.tables import read
 
 
@@ -14,8 +15,13 @@ def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_components(read(spark, folder, "documents"), k=4, percent=85)
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return kept_digest(read(spark, folder, "documents"), span=35)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {}
