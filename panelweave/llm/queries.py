@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.jaccard_join import similarity_components
+from panelweave.llm.packing import pack_documents
 from panelweave.llm.substring_dedup import kept_digest
 from panelweave.llm.tables import read
 
@@ -19,8 +21,17 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept_digest(read(spark, folder, "documents"), span=35)
 
 
+#: Vocabulary file that the token operators read; its folder is the installed package of public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), window=1024, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op7_packing": op7_packing,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
