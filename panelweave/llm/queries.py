@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.jaccard_join import similarity_components
 from panelweave.llm.packing import pack_documents
+from panelweave.llm.quality import learn, score_quality
 from panelweave.llm.substring_dedup import kept_digest
 from panelweave.llm.tables import read
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return score_quality(docs, learn(docs, read(spark, folder, "labels")))
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_components(read(spark, folder, "documents"), k=4, percent=85)
 
@@ -30,6 +36,7 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_packing": op7_packing,
     "op9_substring_dedup": op9_substring_dedup,
