@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelweave.llm.jaccard_join import similarity_components
+from panelweave.llm.line_dedup import dedup_lines
+from panelweave.llm.mixing import mix_sources
 from panelweave.llm.packing import pack_documents
 from panelweave.llm.quality import learn, score_quality
 from panelweave.llm.substring_dedup import kept_digest
@@ -19,6 +22,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, learn(docs, read(spark, folder, "labels")))
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(read(spark, folder, "documents")).drop("source", "routed")
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_components(read(spark, folder, "documents"), k=4, percent=85)
 
@@ -35,11 +42,18 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), window=1024, end_id=0)
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = dedup_lines(read(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_packing": op7_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {}
