@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.llm.fingerprints import edited_fingerprints
 from panelweave.llm.jaccard_join import similarity_components
 from panelweave.llm.line_dedup import dedup_lines
 from panelweave.llm.mixing import mix_sources
@@ -34,6 +35,10 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept_digest(read(spark, folder, "documents"), span=35)
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(read(spark, folder, "documents"))
+
+
 #: Vocabulary file that the token operators read; its folder is the installed package of public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_fingerprints": op5_fingerprints,
     "op7_packing": op7_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
