@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.components import connected_components
-from panelweave.llm.tables import drop_staged, stage
+from panelweave.llm.tables import drop_staged, packed_texts, stage, unpacked
 from panelweave.llm.words import shingle_sets, slices
 
 #: Shingles whose frequency the order knows. The table is broadcast, so its size is fixed: 16 bytes each.
@@ -39,12 +39,18 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     never names a component unless nothing else is in it. Other columns are ignored. Sets hold 64-bit
     hashes; verification compares 48 bits of them.
     """
-    nodes, classes = _nodes(docs.select("doc_id", "text"), k, percent)
-    postings = _repeated_postings(classes)
-    sets = stage(_sets(docs, postings, classes, k), "sets")
-    links = _verified(_pivot_pairs(postings, percent), sets, percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = _prefixes(docs, k, percent)
+    nodes = every.select("doc_id", "node", "n_shingles")
+    classes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    postings = _repeated_postings(every)
+    pairs = stage(_pivot_pairs(postings, percent), "pairs")
+    sets = _sets(docs, classes, pairs, k)
+    links = _verified(pairs, sets, percent)
     first = connected_components(links)
-    rest = _verified(_pairs_across(postings, first, percent), sets, percent)
+    pairs = stage(_pairs_across(postings, first, percent), "pairs")
+    more = _sets(docs, classes, pairs, k, sets)
+    rest = _verified(pairs, sets.unionByName(more), percent)
     found = connected_components(links.unionByName(rest)) if not rest.isEmpty() else first
     label = (
         classes.join(found, "node", "left")
@@ -111,8 +117,8 @@ def _match_count(extra: np.ndarray, free: int, n: int) -> int:
     return best
 
 
-def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: each row's set name, and each distinct set with its prefix."""
+def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, node, n_shingles, matches, prefix): each row's set by name, and its prefix. Written."""
     tokens, counts = _frequent(docs, k)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,19 +149,13 @@ def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
                 )
 
     schema = "doc_id long, node long, n_shingles long, matches int, prefix binary"
-    every = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema), "prefixes")
-    nodes = every.select("doc_id", "node", "n_shingles")
-    filled = every.where("n_shingles > 0")
-    # Equal sets have equal prefixes: the smallest doc_id's row stands for all of them.
-    least = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    one = filled.join(least, (filled.node == least.node) & filled.doc_id.eqNullSafe(least.doc_id), "left_semi")
-    return nodes, stage(one.dropDuplicates(["node"]), "classes")
+    return stage(docs.mapInArrow(rows, schema), "prefixes")
 
 
-def _repeated_postings(classes: DataFrame) -> DataFrame:
-    """(token, node, n, matches, level): the prefix entries whose token stands in two or more prefixes.
+def _repeated_postings(every: DataFrame) -> DataFrame:
+    """(token, node, n, matches, place): the prefix entries whose token stands in prefixes of different sets.
 
-    ``level`` is the smallest m whose prefix reaches this entry. Written.
+    ``place`` counts the tokens before it in the node's order. Written.
     """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,55 +164,69 @@ def _repeated_postings(classes: DataFrame) -> DataFrame:
             size = np.array([len(x) for x in prefixes], np.int64)
             if not size.sum():
                 continue
-            m = batch.column("matches").to_numpy().astype(np.int64)
             place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            level = np.maximum(1, place - np.repeat(size - m, size) + 1)
             repeat = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(), size))
             yield pa.record_batch(
-                [pa.array(np.concatenate(prefixes)), repeat("node"), repeat("n_shingles"), repeat("matches"), pa.array(level.astype(np.int32))],
-                names=["token", "node", "n", "matches", "level"],
+                [pa.array(np.concatenate(prefixes)), repeat("node"), repeat("n_shingles"), repeat("matches"), pa.array(place.astype(np.int32))],
+                names=["token", "node", "n", "matches", "place"],
             )
 
-    table = classes.select("node", "n_shingles", "matches", "prefix").mapInArrow(entries, "token long, node long, n long, matches int, level int")
-    shared = stage(table.groupBy("token").count().where("count > 1").select("token"), "tokens")
-    kept = stage(table.join(shared, "token", "left_semi"), "postings")
+    table = every.where("n_shingles > 0").select("node", "n_shingles", "matches", "prefix").mapInArrow(entries, "token long, node long, n long, matches int, place int")
+    spread = table.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y"))
+    shared = stage(spread.where("x <> y").select("token"), "tokens")
+    kept = stage(table.join(shared, "token", "left_semi").distinct(), "postings")
     drop_staged(shared)
     return kept
 
 
-def _sets(docs: DataFrame, postings: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(node, hashes): whole sets of the nodes that have a chance of a partner, as 48-bit numbers."""
-    wanted = classes.join(postings.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
-    wanted = stage(wanted, "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, hashes): whole sets of the nodes in ``pairs``, as 48-bit numbers, but for those in ``known``. Written."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = wanted.join(known.select("node"), "node", "left_anti") if known is not None else wanted
+    ids = stage(classes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "wanted")
+    texts = packed_texts(docs)
+    chosen = texts.join(ids, texts.doc_id.eqNullSafe(ids.id), "left_semi").select("packed")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = shingle_sets(part.column("text"), k)
-                short = [x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for x in sets]
-                yield pa.record_batch([pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array(short, pa.binary())], names=["node", "hashes"])
+        for _, text in unpacked(batches):
+            sets = shingle_sets(text, k)
+            short = [x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for x in sets]
+            yield pa.record_batch([pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array(short, pa.binary())], names=["node", "hashes"])
+
+    return stage(chosen.mapInArrow(rows, "node long, hashes binary"), "sets")
 
-    return texts.mapInArrow(rows, "node long, hashes binary").dropDuplicates(["node"])
 
+def _near(percent: int) -> Column:
+    """Whether a shared token counts for a pair of postings (..._a, ..._b).
 
-def _matched(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of postings (…_a, …_b) -> (a, b) that share the smaller number of matches within its levels and fit in size."""
+    A similar pair shares at least ``least`` tokens. Before the k-th shared one stand k - 1, so it leaves least - k + 1
+    tokens of each set from its place on. The first m shared tokens therefore all pass.
+    """
+    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    m = F.least("matches_a", "matches_b")
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return sizes & (F.col("place_a") <= F.col("n_a") - least + m - 1) & (F.col("place_b") <= F.col("n_b") - least + m - 1)
+
+
+def _matched(pairs: DataFrame) -> DataFrame:
+    """Pairs of postings that count -> (a, b) with as many shared tokens as the smaller of their numbers of matches."""
     m = F.least("matches_a", "matches_b")
-    fit = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.greatest("level_a", "level_b") <= m)
-    counted = pairs.where(fit).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(m).alias("m"))
-    return counted.where("shared >= m").select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(m).alias("m")).where("shared >= m").select("a", "b")
 
 
 def _side(postings: DataFrame, name: str, *more: str) -> DataFrame:
-    return postings.select("token", F.col("node").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "matches", "level", *more)])
+    return postings.select("token", F.col("node").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "matches", "place", *more)])
 
 
 def _pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each node with the first node of each of its tokens: linear in the postings, however many share a token."""
-    pivot = postings.groupBy("token").agg(F.min(F.struct("node", "n", "matches", "level")).alias("p"))
-    pivot = stage(pivot.select("token", "p.*"), "pivots")
-    return _matched(_side(postings, "a").join(_side(pivot, "b"), "token").where("a <> b"), percent)
+    """Each node with one node of each of its tokens: linear in the postings, however many share a token.
+
+    A token's pivot is the node whose prefix is shared most, in a group of near copies the least edited one.
+    """
+    counted = stage(postings.join(postings.groupBy("node").agg(F.count("*").alias("known")), "node"), "counted")
+    best = F.max(F.struct((F.col("known") * 1000 / F.col("n")).cast("int").alias("known"), "node", "n", "matches", "place")).alias("p")
+    pivot = stage(counted.groupBy("token").agg(best).select("token", "p.*"), "pivots")
+    return _matched(_side(postings, "a").join(_side(pivot, "b"), "token").where((F.col("a") != F.col("b")) & _near(percent)))
 
 
 def _pairs_across(postings: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -229,9 +243,8 @@ def _pairs_across(postings: DataFrame, found: DataFrame, percent: int) -> DataFr
     rows = stage(rows.join(major, "token").withColumn("minor", F.col("component") != F.col("major")), "open")
     left = _side(rows.where("minor"), "a", "component")
     right = _side(rows, "b", "component", "minor")
-    fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    pairs = left.join(right, "token").where((F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b"))) & fit)
-    return _matched(pairs, percent)
+    apart = (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
+    return _matched(left.join(right, "token").where(apart & _near(percent)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,4 +266,5 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(pairs.join(right, "b").join(left, "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(compare, "a long, b long"), "verified")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "hashes_a", "hashes_b")
+    return stage(both.mapInArrow(compare, "a long, b long").distinct(), "verified")

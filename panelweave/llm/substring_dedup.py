@@ -19,11 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.tables import drop_staged, stage
+from panelweave.llm.tables import drop_staged, packed_texts, stage, unpacked
 from panelweave.llm.words import Spans, Words, gram_hashes, slices
 
 
@@ -40,7 +39,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 8) -> DataFrame:
     repeats = _repeats(texts, span, k)
     ranges = repeats.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     ranges = ranges.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"))
-    packed = _packed(texts)
+    packed = packed_texts(texts)
     both = packed.join(ranges, packed.doc_id.eqNullSafe(ranges.id) & (packed.version == ranges.v), "left")
     return both.select("doc_id", "packed", "starts", "ends").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
@@ -51,27 +50,6 @@ def kept_digest(docs: DataFrame, span: int, k: int = 8) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-def _packed(texts: DataFrame) -> DataFrame:
-    """Texts compressed for the exchange; null becomes empty."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(1)
-        for batch in batches:
-            for part in slices(batch):
-                packed = [squeeze.compress(x.as_buffer()) for x in pc.fill_null(part.column("text").cast(pa.large_string()), "").cast(pa.large_binary())]
-                yield pa.record_batch([part.column("doc_id"), part.column("version"), pa.array(packed, pa.binary())], names=["doc_id", "version", "packed"])
-
-    return texts.mapInArrow(pack, "doc_id long, version int, packed binary")
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Parts of batches with their texts, about ``limit`` packed bytes at a time."""
-    open_ = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for part in slices(batch, "packed", limit // 2):
-            yield part, pa.array([open_.decompress(x.as_py()) for x in part.column("packed")], pa.large_binary()).cast(pa.large_string())
-
-
 def _anchors(hashes: np.ndarray, doc: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share their anchor: first window, number of windows, anchor's k-gram hash, document."""
     n = len(hashes) - span + 1
@@ -138,11 +116,11 @@ def _windows(texts: DataFrame, runs: DataFrame, span: int) -> DataFrame:
     """(window, doc_id, version, start, times): the windows of ``runs``, named by their content."""
     of = runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "size", "gram", "times")).alias("runs"))
     of = of.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), *[F.col(f"runs.{x}").alias(x) for x in ("start", "size", "gram", "times")])
-    packed = _packed(texts).dropDuplicates(["doc_id", "version"])
+    packed = packed_texts(texts).dropDuplicates(["doc_id", "version"])
     both = packed.join(of, packed.doc_id.eqNullSafe(of.id) & (packed.version == of.v))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, text in _unpacked(batches):
+        for part, text in unpacked(batches):
             words = Words(text)
             spans = Spans(words.hashes())
             number = pc.list_value_length(part.column("start")).to_numpy().astype(np.int64)
@@ -162,7 +140,7 @@ def _windows(texts: DataFrame, runs: DataFrame, span: int) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, text in _unpacked(batches):
+    for part, text in unpacked(batches):
         words = Words(text)
         raw = words.raw.tobytes()
         removed, kept = [], []

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.session import shared_folder, stage
+from panelweave import session
+from panelweave.llm.words import slices
+from panelweave.session import shared_folder
+
+__all__ = ["drop_staged", "packed_texts", "read", "shared_folder", "stage", "unpacked", "word_count"]
 
-__all__ = ["drop_staged", "read", "shared_folder", "stage", "word_count"]
+#: Makes Spark delete the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: What every operator of this package takes as a word, as a regular expression of Java's.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +27,41 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once in the shared folder and read it back; its shuffle files go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return session.stage(df, label)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """``texts`` with the last column, text, as compressed bytes for an exchange; null becomes empty."""
+    *names, _ = texts.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            for part in slices(batch):
+                plain = pc.fill_null(part.column("text").cast(pa.large_string()), "").cast(pa.large_binary())
+                packed = pa.array([squeeze.compress(x.as_buffer()) for x in plain], pa.binary())
+                yield pa.record_batch([*(part.column(x) for x in names), packed], names=[*names, "packed"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    return texts.mapInArrow(pack, f"{kinds}, packed binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of batches with a column of packed texts, and these texts."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for part in slices(batch, "packed", 1 << 20):
+            yield part, pa.array([expand.decompress(x.as_py()) for x in part.column("packed")], pa.large_binary()).cast(pa.large_string())
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
