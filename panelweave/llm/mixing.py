@@ -96,14 +96,14 @@ def route(supply: dict[str, tuple[int, tuple[str | None, ...]]], target: dict[st
     return found
 
 
-def mix_sources(docs: DataFrame, repeats: int = 3, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, members: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, repeats: int = 3, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, members: str | None = None, also: list[str] | None = None) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``uses``, ``taken`` and ``routed`` to (doc_id, source).
 
     ``size``: words of the text (null and empty: 0); ``uses``: how often the mix takes the document, at most
     ``repeats``; ``taken`` = uses * size; ``routed``: the source that each use counts for. A column ``members`` (array) puts
     documents into several sources at once; without it a document belongs to ``source``, null being one too.
     Documents without words are used once if their pattern is used at all. Equal rows are exchangeable, so
-    reruns agree. An empty table gives no rows; other columns are ignored.
+    reruns agree. An empty table gives no rows; columns in ``also`` are handed through, others ignored.
     """
     own = F.array_sort(F.array_distinct(F.col(members))) if members else F.array("source")
     key = F.to_json(F.struct(own.alias("m")), {"ignoreNullFields": "false"})
@@ -113,6 +113,7 @@ def mix_sources(docs: DataFrame, repeats: int = 3, seed: int = 17, weights: tupl
         own.alias("members"),
         key.alias("pattern"),
         word_count(F.col("text")).alias("size"),
+        *(also or []),
     ).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size", "source"))
     rows = stage(rows.withColumn("part", F.shiftrightunsigned("draw", 54).cast("int")), "mixed")
     found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
@@ -158,4 +159,4 @@ def mix_sources(docs: DataFrame, repeats: int = 3, seed: int = 17, weights: tupl
     placed = placed.withColumn("uses", uses).withColumn("middle", F.col("at") + F.col("size") / 2)
     routed = F.expr("transform(slice(sequence(0, uses), 1, uses), r -> coalesce(get(names, size(filter(ends, e -> e <= r * whole + middle))), names[size(names) - 1]))")
     out = placed.withColumn("routed", routed).join(F.broadcast(quotas), F.col("source").eqNullSafe(F.col("of")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", "uses", (F.col("uses") * F.col("size")).cast("long").alias("taken"), "routed")
+    return out.select("doc_id", "source", "size", "source_size", "target", "uses", (F.col("uses") * F.col("size")).cast("long").alias("taken"), "routed", *(also or []))

@@ -240,3 +240,14 @@ def score_quality(docs: DataFrame, model: AdditiveModel, *more: str) -> DataFram
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in more)
     return own.mapInArrow(rows, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
+
+
+def keep_good(docs: DataFrame, model: AdditiveModel) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores 0.5 or more."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(features(part.column("text"))) >= 0.5))
+
+    return docs.mapInArrow(rows, docs.schema)
