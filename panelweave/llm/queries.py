@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm.fingerprints import edited_fingerprints
+from panelweave.llm.hash_forest import nearest
 from panelweave.llm.jaccard_join import similarity_components
 from panelweave.llm.line_dedup import dedup_lines
 from panelweave.llm.mixing import mix_sources
@@ -18,6 +19,10 @@ from panelweave.llm.substring_dedup import kept_digest
 from panelweave.llm.tables import read
 
 
+def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(read(spark, folder, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return score_quality(docs, learn(docs, read(spark, folder, "labels")))
@@ -53,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hash_forest": op1_hash_forest,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
