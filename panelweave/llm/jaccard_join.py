@@ -23,7 +23,7 @@ from panelweave.llm.words import shingle_sets, slices
 #: Shingles whose frequency the order knows. The table is broadcast, so its size is fixed: 16 bytes each.
 FREQUENT = 100_000
 #: Hashes that a task counts at once; repeats inside such a window are reported.
-WINDOW = 1 << 22
+WINDOW = 1 << 20
 LONGEST_MATCH = 6
 #: Cost of verifying a pair, in entries of the index read.
 VERIFY_COST = 32

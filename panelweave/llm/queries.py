@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm.fingerprints import edited_fingerprints
@@ -15,8 +15,10 @@ from panelweave.llm.line_dedup import dedup_lines
 from panelweave.llm.mixing import mix_sources
 from panelweave.llm.packing import pack_documents
 from panelweave.llm.quality import learn, score_quality
+from panelweave.llm.quotations import link_quotations
 from panelweave.llm.substring_dedup import kept_digest
 from panelweave.llm.tables import read
+from panelweave.llm.token_counts import attribute_tokens
 
 
 def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_components(read(spark, folder, "documents"), k=4, percent=85)
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return attribute_tokens(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), ["source", "lang", "text"], by_line=["text"])
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept_digest(read(spark, folder, "documents"), span=35)
 
@@ -48,6 +54,31 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def quoting_messages(conversations: DataFrame) -> DataFrame:
+    """The given conversations as mail: from the second turn on, each message quotes what it answers.
+
+    The table has no quotes of its own. A turn quotes the one before, with its quote of the one before that a level
+    deeper; every fifth turn quotes the second last instead.
+    """
+    said = conversations.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("first"))
+    said = said.select("conv_id", "turn", F.coalesce("first.text", F.lit("")).alias("said"))
+
+    def quoted(column: str, marks: str) -> Column:
+        return F.concat(F.lit(marks), F.replace(F.col(column), F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+
+    step = F.when(F.col("turn") % 5 == 4, 2).otherwise(1)
+    rows = conversations.select("conv_id", "turn", "role", "text", (F.col("turn") - step).alias("near"), (F.col("turn") - step - 1).alias("far"))
+    near = said.select("conv_id", F.col("turn").alias("near"), F.col("said").alias("near_said"))
+    far = said.select("conv_id", F.col("turn").alias("far"), F.col("said").alias("far_said"))
+    rows = rows.join(near, ["conv_id", "near"], "left").join(far, ["conv_id", "far"], "left")
+    text = F.concat(F.coalesce(quoted("far_said", "> > "), F.lit("")), F.coalesce(quoted("near_said", "> "), F.lit("")), F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def op6_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return link_quotations(quoting_messages(read(spark, folder, "conversations")))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), window=1024, end_id=0)
 
@@ -63,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_fingerprints": op5_fingerprints,
+    "op6_quotations": op6_quotations,
     "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }

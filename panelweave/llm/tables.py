@@ -58,7 +58,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
     """Parts of batches with a column of packed texts, and these texts."""
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        for part in slices(batch, "packed", 1 << 20):
+        for part in slices(batch, "packed", 1 << 19):
             yield part, pa.array([expand.decompress(x.as_py()) for x in part.column("packed")], pa.large_binary()).cast(pa.large_string())
 
 
