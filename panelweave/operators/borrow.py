@@ -45,8 +45,8 @@ def normalize_borrow(raw: DataFrame, panel: DataFrame, symbols: DataFrame | None
         F.when(quantity <= 0, False).otherwise(parse_flag("shortable")).alias("shortable"),
         F.col("borrow_fee_bps").cast("double").alias("borrow_fee_bps"),
     )
-    first, last = panel.agg(F.min("date")).scalar(), panel.agg(F.max("date")).scalar()
-    kept = typed.where(F.col("date").between(first, last))
+    span = panel.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()  # one pass
+    kept = typed.where(F.col("date").between(span["first"], span["last"]))
     if symbols is not None:
         kept = kept.join(symbols.select(F.upper("symbol").alias("symbol")), "symbol", "left_semi")
     # Grouping on the key finds repeats with map-side combine and leaves one row per key.

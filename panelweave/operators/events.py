@@ -6,7 +6,7 @@ large share of all events is still combined on every mapper.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.groupwise import spread
@@ -106,29 +106,46 @@ def fold_promotions(events: DataFrame) -> DataFrame:
     )
 
 
+# Sequence numbers of one ordered block of a key.
+BLOCK = 65_536
+
+
+def _latest_before(events: DataFrame, key: str, order: str, value: Column, into: str) -> DataFrame:
+    """Add the latest non-null ``value`` of the rows of the same key with a smaller ``order``.
+
+    Rows are ordered inside blocks of the sequence; what the blocks before leave is one row per block.
+    """
+    rows = events.withColumn("__value", value).withColumn("__block", F.floor(F.col(order) / BLOCK))
+    latest = F.last("__value", ignorenulls=True)
+    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(key, "__block").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__value"))
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(key).alias("__key"), F.col("__block").alias("__of"), latest.over(earlier).alias("__carried"))
+    near = rows.withColumn("__near", latest.over(inside))
+    on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__of"))
+    return near.join(carried, on).select(*events.columns, F.coalesce("__near", "__carried").alias(into))
+
+
 def ledger_errors(events: DataFrame) -> DataFrame:
     """(seq, error) rows for every broken ledger rule.
 
-    Rules that look back ("first of its kind", "an earlier recommendation") compare a row with the
-    smallest sequence of its key, found by aggregation and joined on the key; no ordered window over
-    a key that may be hot.
+    A decision is held against the latest recommendation of its id before it, and counts as the id's decision
+    only if there is one.  "First of its kind" compares a row with the smallest sequence of its key, found by
+    aggregation; the latest recommendation comes from windows over blocks of the sequence (``_latest_before``), so
+    a key that is hot is ordered by many tasks.
     """
     c = F.col
     recommended, decided = c("event_type") == "recommended", c("event_type") == "decided"
     known = ["family_id", "hypothesis_id", "candidate_id", "run_id", "evidence_path", "evidence_sha256", "actor"]
-    first = events.groupBy("recommendation_id").agg(
+    told = F.when(recommended, F.struct("seq", *[c(k).alias(f"__{k}") for k in known]))
+    seen = _latest_before(events, "recommendation_id", "seq", told, "__rec")
+    first = seen.groupBy("recommendation_id").agg(
         F.min(F.when(recommended, c("seq"))).alias("__first_rec"),
-        F.min(F.when(decided, c("seq"))).alias("__first_dec"),
-    )
-    # Later duplicates replace the earlier recommendation, so a decision meets the last one before it;
-    # with unique ids (checked below) that is the first one.
-    details = events.where(recommended).groupBy("recommendation_id").agg(
-        F.min_by(F.struct(*[c(k).alias(f"__{k}") for k in known]), "seq").alias("__rec")
+        F.min(F.when(decided & c("__rec").isNotNull(), c("seq"))).alias("__first_dec"),
     )
     pairs = events.where(recommended).groupBy("family_id", "run_id").agg(F.min("seq").alias("__first_pair"))
     joined = (
-        events.join(first, "recommendation_id", "left")
-        .join(details, "recommendation_id", "left")
+        seen.join(first, "recommendation_id", "left")
         .join(
             pairs.select(c("family_id").alias("__pf"), c("run_id").alias("__pr"), "__first_pair"),
             (F.coalesce(c("family_id"), F.lit("")) == F.coalesce(c("__pf"), F.lit("")))
@@ -136,7 +153,7 @@ def ledger_errors(events: DataFrame) -> DataFrame:
             "left",
         )
     )
-    has_earlier = c("__first_rec").isNotNull() & (c("__first_rec") < c("seq"))
+    has_earlier = c("__rec").isNotNull()
     rules: list[tuple[Column, str]] = [
         (F.coalesce(F.trim("actor"), F.lit("")) == "", "actor must not be empty"),
         (F.coalesce(c("recommendation_id"), F.lit("")) == "", "recommendation_id must not be empty"),
@@ -162,6 +179,10 @@ def ledger_errors(events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- hash chains
 
 
+# Rows of one chain; a fold copies its result at each step, so its work grows with the square of this.
+LONGEST_CHAIN = 4096
+
+
 def link_hash(payload: Column, previous: Column) -> Column:
     """SHA-256 of a record's payload digest and the hash before it ('' for the first)."""
     return F.sha2(F.concat_ws("|", F.sha2(payload, 256), F.coalesce(previous, F.lit(""))), 256)
@@ -172,9 +193,11 @@ def build_chains(records: DataFrame, chain: str = "chain", index: str = "index",
 
     A chain is sequential by definition, so each is folded by one ``aggregate`` over its ordered
     payloads; parallelism comes from many chains.  Chains are export packs of limited length (the
-    caller cuts packs), which bounds the array.
+    caller cuts packs), which bounds the array: one of more than ``LONGEST_CHAIN`` rows raises an error.
     """
     folded = spread(records, [chain]).groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(index, payload))).alias("rows"))
+    fits = F.size("rows") <= LONGEST_CHAIN
+    folded = folded.where(F.when(fits, True).otherwise(F.raise_error(F.lit(f"a chain has more than {LONGEST_CHAIN} rows"))))
     empty = F.array().cast(
         f"array<struct<{index}:bigint,{payload}:string,previous_hash:string,chain_hash:string>>"
     )
@@ -192,12 +215,37 @@ def build_chains(records: DataFrame, chain: str = "chain", index: str = "index",
     return folded.select(chain, F.explode(F.aggregate("rows", empty, step)).alias("r")).select(chain, "r.*")
 
 
-def verify_chains(links: DataFrame, records: DataFrame, chain: str = "chain", index: str = "index") -> DataFrame:
-    """(chain, index, error) for every broken link.
+def chain_heads(links: DataFrame, chain: str = "chain", index: str = "index") -> DataFrame:
+    """(chain, row_count, final_hash): what a manifest keeps of each chain."""
+    return links.groupBy(chain).agg(F.count(F.lit(1)).alias("row_count"), F.max_by("chain_hash", index).alias("final_hash"))
+
+
+def verify_chains(
+    links: DataFrame, records: DataFrame, chain: str = "chain", index: str = "index", heads: DataFrame | None = None
+) -> DataFrame:
+    """(chain, index, error) for every broken link, repeated row and, against ``heads``, cut or lengthened chain.
 
     The predecessor comes from an equality join on (chain, index - 1): no ordered window, so one very
-    long chain is checked by all tasks.
+    long chain is checked by all tasks.  Errors of a whole chain have a null index.
     """
+    found = _link_errors(links.dropDuplicates([chain, index]), records, chain, index)
+    repeated = links.groupBy(chain, index).count().where("count > 1")
+    found = found.unionByName(repeated.select(chain, index, F.lit("chain row is repeated").alias("error")))
+    if heads is None:
+        return found
+    kept = heads.select(F.col(chain), F.col("row_count").alias("__rows"), F.col("final_hash").alias("__final"), F.lit(True).alias("__listed"))
+    both = chain_heads(links, chain, index).join(kept, chain, "full")
+    errors = F.array(
+        F.when(F.col("row_count").isNull(), "chain is missing"),
+        F.when(F.col("__listed").isNull(), "chain is not listed"),
+        F.when(F.col("row_count") != F.col("__rows"), "row count mismatch"),
+        F.when(F.col("final_hash") != F.col("__final"), "final hash mismatch"),
+    )
+    whole = both.select(chain, F.lit(None).cast(links.schema[index].dataType).alias(index), F.explode(F.array_compact(errors)).alias("error"))
+    return found.unionByName(whole)
+
+
+def _link_errors(links: DataFrame, records: DataFrame, chain: str, index: str) -> DataFrame:
     keys = [chain, index]
     before = links.select(
         F.col(chain), (F.col(index) + 1).alias(index), F.col("chain_hash").alias("__before"), F.lit(True).alias("__has")

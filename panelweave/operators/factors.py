@@ -105,6 +105,23 @@ FACTORS: dict[str, Callable[[], Column]] = {
 
 FACTOR_NAMES = list(FACTORS)
 
+# Calendar rows up to and including a date that its factor value depends on.  A factor on returns reaches one
+# row further back than its window.  None: not declared, so no history may be cut.
+LOOKBACK: dict[str, int | None] = {
+    "momentum_5d": 6, "momentum_10d": 11, "momentum_20d": 21, "momentum_60d": 61,
+    "reversal_5d": 6, "reversal_10d": 11, "reversal_20d": 21,
+    "volatility_10d": 11, "volatility_20d": 21, "volatility_60d": 61, "downside_volatility_20d": 21,
+    "volume_spike_5d": 5, "volume_spike_20d": 20, "dollar_volume_20d": 20, "price_volume_corr_20d": 21, "rsi_14": 15,
+    "moving_average_gap_20d": 20, "moving_average_gap_50d": 50, "return_zscore_20d": 21,
+    "drawdown_20d": 20, "drawdown_60d": 60, "amihud_illiquidity_20d": 21,
+}
+
+
+def history_rows(names: list[str]) -> int | None:
+    """Calendar rows that the factors need for one date; None if one of them does not declare its own."""
+    rows = [LOOKBACK.get(n) for n in names]
+    return None if None in rows else max(rows, default=1)
+
 
 def check_factor_names(names: list[str]) -> None:
     unknown = sorted(set(names) - set(FACTORS))
@@ -112,11 +129,15 @@ def check_factor_names(names: list[str]) -> None:
         raise ValueError(f"unknown factors requested: {unknown}")
 
 
-def register_factor(name: str, build: Callable[[], Column]) -> None:
-    """Add a user factor: a function returning a Column over the panel and the ``__`` helper columns."""
+def register_factor(name: str, build: Callable[[], Column], lookback: int | None = None) -> None:
+    """Add a user factor: a function returning a Column over the panel and the ``__`` helper columns.
+
+    ``lookback``: calendar rows that a value depends on, its own included; without it, whole histories are read.
+    """
     if name in FACTORS:
         raise ValueError(f"factor {name} already exists")
     FACTORS[name] = build
+    LOOKBACK[name] = lookback
 
 
 def with_factors(df: DataFrame, names: list[str] | None = None) -> DataFrame:

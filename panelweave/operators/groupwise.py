@@ -10,7 +10,7 @@ Two plans exist for each primitive and both give the same rows:
   shifted by the totals of the partitions before it.
 
 ``split=None`` decides: a query that reads few bytes cannot have a large group (no job is run to see
-that); beyond it one narrow count per group finds the largest group, and only a group above the limit
+that); beyond it, or where a source does not tell its size, one narrow count per group finds the largest group, and only a group above the limit
 asks for the split plan.  Callers that know their groups pass a flag.
 """
 
@@ -31,15 +31,11 @@ _UNKNOWN_SIZE = 1 << 62
 _ADVISORY_BYTES = 64 * 1024 * 1024  # AQE merges shuffle partitions up to this size
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind ``df`` as the optimizer sees them (driver-made tables count 0)."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files behind ``df`` as the optimizer sees them (driver-made tables count 0); None if a source does not tell."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        size = int(leaves.apply(i).stats().sizeInBytes())
-        if size < _UNKNOWN_SIZE:
-            total += size
-    return total
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return None if any(size >= _UNKNOWN_SIZE for size in sizes) else sum(sizes)
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -52,9 +48,11 @@ def needs_split(df: DataFrame, split: bool | None = None, keys: list[str] | None
     """Whether some group (the whole table without ``keys``) is too large for one task."""
     if split is not None:
         return split
-    if input_bytes(df) <= COMPACT_INPUT_BYTES:
+    size = input_bytes(df)
+    # Without keys the group is the table: a total order takes at least a byte a row, so few bytes are few rows.
+    if size is not None and size <= (COMPACT_INPUT_BYTES if keys else GROUP_ROWS):
         return False
-    return largest_group(df, keys) > GROUP_ROWS if keys else True
+    return (largest_group(df, keys) if keys else df.count()) > GROUP_ROWS
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,13 +63,16 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     the window that follows needs this very partitioning.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes(df) < cores * _ADVISORY_BYTES:
+    size = input_bytes(df)
+    if size is not None and size < cores * _ADVISORY_BYTES:
         return df.repartition(cores, *keys)
     return df
 
 
 def _range_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Ranges of about the advisory size each, at least the session's number of shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(input_bytes(df) or 0) // _ADVISORY_BYTES))
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -64,9 +64,12 @@ def symbol_coverage(panel: DataFrame) -> DataFrame:
     )
 
 
-def symbol_quality(panel: DataFrame) -> DataFrame:
-    """Coverage plus counts of bad prices, empty volume, extreme returns and stale rows per symbol."""
-    expected = panel.agg(F.count_distinct("date").alias("n")).scalar()
+def symbol_quality(panel: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Coverage plus counts of bad prices, empty volume, extreme returns and stale rows per symbol.
+
+    ``dates`` is the panel's calendar when it is at hand (saves deriving the panel a second time).
+    """
+    expected = (panel if dates is None else dates).agg(F.count_distinct("date").alias("n")).scalar()
     lowest = F.least(*PRICE_COLUMNS)
     counted = with_row_checks(panel).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("observations"),

@@ -84,7 +84,7 @@ def comparison_rows(manifests: DataFrame) -> DataFrame:
         _or("code.commit", "unknown").alias("code_commit"),
         _or("code.dirty", False).alias("code_dirty"),
         *[_or(f"metrics.test.{m}", 0.0).alias(f"test_{m}") for m in _TEST],
-        F.coalesce(F.size("data.observed_symbols"), F.lit(0)).alias("observed_symbols"),
+        F.when(F.col("data.observed_symbols").isNull(), 0).otherwise(F.size("data.observed_symbols")).alias("observed_symbols"),
     )
 
 
@@ -172,9 +172,18 @@ def family_rows(manifests: DataFrame) -> DataFrame:
 
 
 def latest_per_run(rows: DataFrame) -> DataFrame:
-    """One row per run_id: the last one generated wins."""
+    """One row per run_id: the last one generated wins, of equally old ones the last by manifest path and content.
+
+    A missing generation time is the oldest, not a reason to lose the row.
+    """
+    return rows.groupBy("run_id").agg(_last_written(rows).alias("r")).select("run_id", "r.*")
+
+
+def _last_written(rows: DataFrame) -> Column:
+    """The columns but run_id of the newest row of a group, as a struct."""
     packed = F.struct(*[c for c in rows.columns if c != "run_id"])
-    return rows.groupBy("run_id").agg(F.max_by(packed, "generated_at").alias("r")).select("run_id", "r.*")
+    order = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("generated_at", "created_at", "manifest_path") if c in rows.columns]
+    return F.max_by(packed, F.struct(*order, F.to_json(packed)))
 
 
 def family_facts(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -308,10 +317,11 @@ def registry_records(manifests: DataFrame, created_at: Column) -> DataFrame:
 
 
 def upsert_runs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Registry after an upsert by run_id: incoming rows replace existing ones.
+    """Registry after an upsert by run_id: incoming rows replace existing ones, of several incoming rows the newest.
 
     Columns one side lacks (older tables without family columns) come out null.
     """
+    incoming = incoming.groupBy("run_id").agg(_last_written(incoming).alias("r")).select("run_id", "r.*")
     kept = existing.join(incoming.select("run_id"), "run_id", "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
@@ -333,10 +343,11 @@ def latest_runs(registry: DataFrame, limit: int = 20) -> DataFrame:
     return registry.orderBy(F.desc("generated_at"), F.desc("run_id")).limit(limit)
 
 
-def service_counters(registry: DataFrame, limit: int = 1000) -> DataFrame:
-    """Number of runs (reported up to ``limit``) and the newest run id."""
+def service_counters(registry: DataFrame, limit: int | None = None) -> DataFrame:
+    """Number of runs (reported up to ``limit`` if one is given) and the newest run id."""
+    runs = F.count(F.lit(1))
     return registry.agg(
-        F.least(F.count(F.lit(1)), F.lit(limit)).alias("run_count"),
+        (runs if limit is None else F.least(runs, F.lit(limit))).alias("run_count"),
         F.max_by("run_id", F.struct("generated_at", "run_id")).alias("latest_run_id"),
     )
 

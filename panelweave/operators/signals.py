@@ -129,8 +129,8 @@ def size_orders(df: DataFrame, notional: float, max_participation: float) -> Dat
     )
 
 
-def prune_history(df: DataFrame, as_of: str, rows: int = 61, dates: DataFrame | None = None) -> DataFrame:
-    """Keep the last ``rows`` calendar rows up to ``as_of``; factors on the last date need no older row.
+def prune_history(df: DataFrame, as_of: str, rows: int, dates: DataFrame | None = None) -> DataFrame:
+    """Keep the last ``rows`` calendar rows up to ``as_of``: what the factors of the last date reach (``history_rows``).
 
     ``dates`` is the panel's calendar when it is at hand (saves a scan of the panel).
     """

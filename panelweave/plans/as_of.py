@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from panelweave.operators.factors import with_factors
+from panelweave.operators.factors import history_rows, with_factors
 from panelweave.operators.signals import composite_signal, latest_signal, prune_history
 from panelweave.session import stage
 
@@ -14,14 +15,17 @@ def signal_as_of(
 ) -> DataFrame:
     """Rows of the latest signal date <= ``as_of`` with ``signal``.
 
-    Only the last calendar rows are read first.  Every window needs all its rows, so a date that gets a
-    signal from the cut history has the same signal in the whole one; when no date gets any, the whole
-    history is used.
+    First only the calendar rows are read that the factors of the last date reach, and only that date's
+    signal is taken from them: an earlier date would miss its oldest rows.  Without a signal on that date, or with a factor
+    that does not declare its lookback, the whole history is used.
     """
     names = [*positive, *negative]
-    recent = with_factors(prune_history(panel, as_of, dates=dates), names)
-    day = latest_signal(stage(composite_signal(recent, positive, negative), "as-of"), as_of)
-    if not day.isEmpty():
-        return day
+    rows = history_rows(names)
+    if rows is not None:
+        recent = prune_history(panel, as_of, rows, dates)
+        last = recent.agg(F.max("date")).scalar()
+        day = stage(composite_signal(with_factors(recent, names).where(F.col("date") == last), positive, negative), "as-of")
+        if not day.isEmpty():
+            return day
     whole = composite_signal(with_factors(panel, names), positive, negative)
     return latest_signal(stage(whole, "as-of"), as_of)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from panelweave.config import RANDOM_BASELINE, ResearchConfig, Strategy
+from panelweave.functions.numeric import ERF_SMALL, ERFC_LARGE, ERFC_MIDDLE, MIDDLE_UP_TO, SMALL_UP_TO
 from panelweave.operators import borrow as bor
 from panelweave.operators import evaluate, portfolio, variants
 from panelweave.plans.catalog import fixtures as fx
@@ -481,20 +483,25 @@ def cap_4(spark, sf):
 
 # ---------------------------------------------------------------- validity
 
-_C = (
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-)
+def _rational_sql(tables, x: str) -> str:
+    (*top, lead), bottom = tables
+    above, below = f"{lead!r}::DOUBLE", "1.0::DOUBLE"
+    for c in top:
+        above = f"({above} * {x} + {c!r}::DOUBLE)"
+    for c in bottom:
+        below = f"({below} * {x} + {c!r}::DOUBLE)"
+    return f"({above} / {below})"
 
 
 def upper_tail_sql(t: str) -> str:
-    """P(Z > t) with the same series as the engine."""
+    """P(Z > t) from the same published tables."""
     x = f"({t} / 1.4142135623730951::DOUBLE)"
-    k = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * abs({x})))"
-    series = f"{_C[-1]}::DOUBLE"
-    for coefficient in reversed(_C[:-1]):
-        series = f"({coefficient}::DOUBLE + {k} * {series})"
-    erfc = f"({k} * exp(-{x} * {x} + {series}))"
-    return f"(0.5::DOUBLE * CASE WHEN {x} >= 0 THEN {erfc} ELSE 2.0::DOUBLE - {erfc} END)"
+    z = f"abs({x})"
+    fall, inverse = f"exp(-{z} * {z})", f"(1.0::DOUBLE / ({z} * {z}))"
+    far = f"((0.5641895835477563::DOUBLE - {inverse} * {_rational_sql(ERFC_LARGE, inverse)}) / {z} * {fall})"
+    beyond = f"(CASE WHEN {z} <= {MIDDLE_UP_TO} THEN {_rational_sql(ERFC_MIDDLE, z)} * {fall} ELSE {far} END)"
+    small = f"1.0::DOUBLE - {x} * {_rational_sql(ERF_SMALL, f'({x} * {x})')}"
+    return f"(0.5::DOUBLE * CASE WHEN {z} <= {SMALL_UP_TO} THEN {small} WHEN {x} >= 0 THEN {beyond} ELSE 2.0::DOUBLE - {beyond} END)"
 
 
 def bh_sql(source: str, keys: str, p: str = "p_value", name: str = "name") -> str:
@@ -506,7 +513,8 @@ def bh_sql(source: str, keys: str, p: str = "p_value", name: str = "name") -> st
 
 @entry(
     "val_1_p_values",
-    f"""WITH {fx.RUNS} SELECT run_id, round({upper_tail_sql("((key % 21 - 10) / 200.0 * 40)")}, 6) AS p_value FROM runs""",
+    f"""WITH {fx.RUNS}, exact(k, p) AS (VALUES {", ".join(f"({k}, {math.erfc((k - 10) / 5 / math.sqrt(2)) / 2!r}::DOUBLE)" for k in range(21))})
+SELECT run_id, round(p, 6) AS p_value FROM runs JOIN exact ON k = key % 21""",
 )
 def val_1(spark, sf):
     from panelweave.functions import normal_upper_tail

@@ -132,7 +132,8 @@ def sql_normal(*parts: str) -> str:
 
 
 def _between(low: float, high: float, tag: str) -> str:
-    return f"({low}::DOUBLE + {high - low}::DOUBLE * {_sql_uniform(chr(39) + '42' + chr(39), 'symbol', chr(39) + tag + chr(39))})"
+    seed, name = "'42'", f"'{tag}'"
+    return f"({low}::DOUBLE + {high - low}::DOUBLE * {_sql_uniform(seed, 'symbol', name)})"
 
 
 _K, _D = "'42'", "strftime(date, '%Y-%m-%d')"

@@ -199,7 +199,7 @@ def fam_4(spark, sf):
   CASE WHEN ms THEN 'Compared family rows use different data sources.' END, CASE WHEN md THEN 'Compared family rows use different snapshot dataset ids.' END) AS warnings FROM facts""",
 )
 def fam_5(spark, sf):
-    facts = rn.family_facts(rn.family_rows(parsed(spark, sf)))
+    facts = rn.family_facts(rn.latest_per_run(rn.family_rows(parsed(spark, sf))))
     return facts.select("family_id", "run_count", "pre_registered_count", F.concat_ws(" ", "warnings").alias("warnings"))
 
 
@@ -297,7 +297,7 @@ def reg_4(spark, sf):
 
 @entry(
     "reg_5_counters",
-    f"WITH {REGISTRY} SELECT least(count(*), 1000) AS run_count, arg_max(run_id, concat(generated_at, run_id)) AS latest_run_id FROM registry",
+    f"WITH {REGISTRY} SELECT count(*) AS run_count, arg_max(run_id, concat(generated_at, run_id)) AS latest_run_id FROM registry",
 )
 def reg_5(spark, sf):
     return rn.service_counters(registry(spark, sf))
@@ -360,14 +360,19 @@ SELECT (SELECT name FROM test WHERE family IN ('primary', 'baseline') ORDER BY s
 FROM test"""
 
 
+_BOOTSTRAP = run_sql(bt.AGENT, bt._BOOT)
+_INT_TAIL = _INT_TAIL.replace(
+    "concat_ws('; ', CASE",
+    f"""concat_ws('; ', CASE WHEN (SELECT positive_sharpe_probability FROM ({_BOOTSTRAP}) b) < 0.6 THEN 'bootstrap Sharpe confidence is weak' END,
+    CASE WHEN (SELECT positive_ic_probability FROM ({_BOOTSTRAP}) b) < 0.6 THEN 'bootstrap IC confidence is weak' END, CASE""",
+)
+
+
 @entry("int_1_interpretation", run_sql(bt.FULL, _INT_TAIL))
 def int_1(spark, sf):
     r = bt.run(spark, sf, bt.FULL)
     windows = r.walk_forward.where(F.col("variant") == "primary/agent_signal")
-    none = spark.range(0).select(
-        F.lit(0.0).alias("positive_sharpe_probability"), F.lit(0.0).alias("positive_ic_probability")
-    )
-    out = rn.interpretation(r.metrics.where(F.col("split") == "test"), windows, none)
+    out = rn.interpretation(r.metrics.where(F.col("split") == "test"), windows, r.bootstrap)
     return out.withColumn("weak_points", F.concat_ws("; ", "weak_points"))
 
 

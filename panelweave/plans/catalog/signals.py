@@ -160,7 +160,8 @@ def sig_3(spark, sf):
     return fx.rounded(sig.restrict_to_keys(baseline, agent(spark, sf)), "signal", digits=9).select("date", "symbol", "signal")
 
 
-RANDOM_SQL = f"round({sql_normal(chr(39) + '12345' + chr(39), chr(115) + 'trftime(date, ' + chr(39) + '%Y-%m-%d' + chr(39) + ')', 'symbol')}, 12)"
+_SEED, _DAY = "'12345'", "strftime(date, '%Y-%m-%d')"
+RANDOM_SQL = f"round({sql_normal(_SEED, _DAY, 'symbol')}, 12)"
 
 
 @entry(
