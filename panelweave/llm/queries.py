@@ -13,6 +13,7 @@ from panelweave.llm.hash_forest import nearest
 from panelweave.llm.jaccard_join import similarity_components
 from panelweave.llm.line_dedup import dedup_lines
 from panelweave.llm.mixing import mix_sources
+from panelweave.llm.oracles import ORACLE
 from panelweave.llm.packing import pack_documents
 from panelweave.llm.quality import learn, score_quality
 from panelweave.llm.quotations import link_quotations
@@ -50,6 +51,8 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(read(spark, folder, "documents"))
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 #: Vocabulary file that the token operators read; its folder is the installed package of public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -100,5 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
-
-ORACLE: dict[str, str] = {}
