@@ -5,6 +5,8 @@ one of them unchanged, at a place that the lengths give. So every line is indexe
 segment) and probes the index of its own length and of the length below. Where an index entry has more
 than ``CROWDED`` lines, the pairs are not taken from it: the other half of its lines is split into ``PIECES``
 pieces, all but one of which must agree too. Candidates are verified with Spark's banded edit distance.
+
+Joins that carry texts are merge joins at every size, so that their cost in a small run tells that of a large one.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def dedup_lines(docs: DataFrame, shortest: int = 32) -> DataFrame:
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    both = row.join(gone, own, "left")
+    both = row.join(gone.hint("merge"), own, "left")
     return both.select(
         *[c for c in spare if c != "text"],
         F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
@@ -79,7 +81,7 @@ def removed_lines(docs: DataFrame, shortest: int = 32) -> DataFrame:
     pairs = _pairs(plain).unionByName(_pairs(crowded)).distinct()
     left = text.select(F.col("name").alias("a"), F.col("line").alias("line_a"))
     right = text.select(F.col("name").alias("b"), F.col("line").alias("line_b"))
-    near = pairs.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", 1) >= 0)
+    near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.levenshtein("line_a", "line_b", 1) >= 0)
     links = stage(near.select("a", "b"), "links")
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -87,7 +89,7 @@ def removed_lines(docs: DataFrame, shortest: int = 32) -> DataFrame:
     earliest = both.join(other, "b").groupBy("a").agg(F.min("other").alias("other"))
     repeated = kinds.join(earliest, kinds["name"] == earliest["a"], "left").where("times > 1 or a is not null")
     earliest = stage(repeated.select("name", F.least("first", F.coalesce("other", "first")).alias("first")), "earliest")
-    spots = lines.select("_doc", "_version", "_line", "name").join(earliest, "name")
+    spots = lines.select("_doc", "_version", "_line", "name").join(earliest.hint("merge"), "name")
     return spots.where(F.struct("_doc", "_version", "_line") > F.col("first")).select("_doc", "_version", "_line")
 
 
@@ -95,7 +97,7 @@ def _line_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """(name, line) of the lines in ``chosen``, read from the first place of each."""
     spot = chosen.select("name", "first.*").distinct().groupBy("_doc", "_version").agg(F.collect_list(F.struct("_line", "name")).alias("spots"))
     spot = spot.select(F.col("_doc").alias("d"), F.col("_version").alias("v"), "spots")
-    held = texts.join(spot, texts["_doc"].eqNullSafe(spot["d"]) & (texts["_version"] == spot["v"]))
+    held = texts.join(spot.hint("merge"), texts["_doc"].eqNullSafe(spot["d"]) & (texts["_version"] == spot["v"]))
     parts = held.select(F.split("text", "\n", -1).alias("parts"), F.explode("spots").alias("spot"))
     line = F.trim(F.get("parts", F.col("spot._line")), F.lit(" \t\r\v\f"))
     return parts.select(F.col("spot.name").alias("name"), line.alias("line")).dropDuplicates(["name"])
