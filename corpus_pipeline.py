@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of documents with word shingles alike, the one with the smallest doc_id stays, and of equal rows one."""
     found = similarity_components(docs, k=5, percent=80)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    kept = docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
     equal = Window.partitionBy("doc_id", F.hash("text")).orderBy(F.col("source"), F.col("lang"), F.col("n_chars"))
     return kept.withColumn("_copy", F.row_number().over(equal)).where("_copy = 1").select(docs.columns)
 
@@ -49,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     uses = uses.where("uses > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("version").alias("_version"), "uses")
     same = docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["source"].eqNullSafe(F.col("_source")) & (F.hash(docs["text"]) == F.col("_version"))
     equal = Window.partitionBy("doc_id", "source", F.hash("text")).orderBy("lang", "n_chars")
-    once = docs.join(uses, same).withColumn("_copy", F.row_number().over(equal)).where("_copy = 1")
+    once = docs.join(uses.hint("merge"), same).withColumn("_copy", F.row_number().over(equal)).where("_copy = 1")
     return once.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(docs.columns)
 
 
