@@ -7,8 +7,8 @@ s AS MATERIALIZED (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4)
   UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 85 * (p.n + q.n - both)),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)"""
 
@@ -37,4 +37,30 @@ SELECT doc_id, count(n) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
   CASE WHEN count(n) > 0 THEN sha256(coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) END AS kept_sha256
 FROM documents LEFT JOIN marked USING (doc_id) GROUP BY 1"""
 
-ORACLE = {"op4_jaccard_join": OP4, "op9_substring_dedup": OP9, "op10_line_dedup": OP10}
+_MARKS = r"^((?:[ \t]*>)+)[ \t]?"
+
+OP6 = rf"""WITH RECURSIVE rows AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn - CASE WHEN turn % 5 = 4 THEN 2 ELSE 1 END AS near FROM conversations),
+mail AS MATERIALIZED (
+  SELECT r.conv_id, r.turn, r.role, concat(CASE WHEN f.text IS NOT NULL THEN concat('> > ', replace(f.text, chr(10), concat(chr(10), '> > ')), chr(10)) END,
+    CASE WHEN n.text IS NOT NULL THEN concat('> ', replace(n.text, chr(10), concat(chr(10), '> ')), chr(10)) END, r.text) AS text
+  FROM rows r LEFT JOIN rows n ON n.conv_id = r.conv_id AND n.turn = r.near LEFT JOIN rows f ON f.conv_id = r.conv_id AND f.turn = r.near - 1),
+lines AS MATERIALIZED (
+  SELECT conv_id, turn, i, x, length(regexp_replace(regexp_extract(x, '{_MARKS}', 1), '[^>]', '', 'g')) AS level, lower(trim(regexp_replace(regexp_replace(x, '{_MARKS}', ''), '\s+', ' ', 'g'))) AS said
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM mail)),
+stepped AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) THEN 1 ELSE 0 END AS new FROM lines WHERE said <> ''),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM stepped),
+passages AS MATERIALIZED (SELECT conv_id, turn, n, level, string_agg(said, chr(10) ORDER BY i) AS whole, list(said) AS each FROM numbered GROUP BY ALL),
+names AS MATERIALIZED (SELECT conv_id, turn, n, level, 1 AS kind, whole AS name FROM passages UNION SELECT conv_id, turn, n, level, 0, unnest(each) FROM passages),
+found AS (SELECT q.conv_id, q.turn, q.n, q.level, arg_max(o.turn, q.kind * 1000000000 + o.turn) AS source
+  FROM names q JOIN names o ON o.conv_id = q.conv_id AND o.kind = q.kind AND o.name = q.name AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+linked AS MATERIALIZED (SELECT m.conv_id, m.turn, (SELECT count(*) FROM passages p WHERE p.conv_id = m.conv_id AND p.turn = m.turn AND p.level > 0) AS n_quotes,
+    count(f.source) AS n_linked, arg_max(f.source, f.source - f.level * 1000000000) AS parent FROM mail m LEFT JOIN found f ON f.conv_id = m.conv_id AND f.turn = m.turn GROUP BY 1, 2),
+up AS (SELECT conv_id, turn, turn AS root, parent AS next, 0 AS depth FROM linked
+  UNION ALL SELECT u.conv_id, u.turn, l.turn, l.parent, u.depth + 1 FROM up u JOIN linked l ON l.conv_id = u.conv_id AND l.turn = u.next),
+tops AS (SELECT conv_id, turn, root, depth FROM up WHERE next IS NULL),
+contents AS (SELECT conv_id, turn, trim(string_agg(x, chr(10) ORDER BY i), concat(' ', chr(9), chr(10), chr(13))) AS content FROM lines WHERE level = 0 GROUP BY 1, 2)
+SELECT m.conv_id, m.turn, m.role, coalesce(content, '') AS content, parent AS parent_turn, root AS root_turn, depth AS reply_depth,
+  row_number() OVER (PARTITION BY m.conv_id ORDER BY root, m.turn) - 1 AS position, n_quotes, n_linked, CAST(to_json({{'role': m.role, 'content': coalesce(content, '')}}) AS VARCHAR) AS message
+FROM mail m JOIN linked USING (conv_id, turn) JOIN tops USING (conv_id, turn) LEFT JOIN contents USING (conv_id, turn)"""
+
+ORACLE = {"op4_jaccard_join": OP4, "op6_quotations": OP6, "op9_substring_dedup": OP9, "op10_line_dedup": OP10}
