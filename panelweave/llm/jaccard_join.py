@@ -5,6 +5,8 @@ Two sets with overlap of at least T share at least m shingles among their first
 m up to T. Each document picks its own m: where its prefix holds frequent shingles, a longer prefix that
 asks for more common shingles meets fewer candidates. A pair is judged by the smaller m of the two.
 The choice changes the work, never the result, since every surviving pair is verified on whole sets.
+
+Joins that carry texts or sets are merge joins at every size, so that their cost in a small run tells that of a large one.
 """
 
 from __future__ import annotations
@@ -105,13 +107,18 @@ def _match_count(extra: np.ndarray, free: int, n: int) -> int:
     """Shared shingles to ask for: the least of index entries read plus pairs verified.
 
     ``extra``: how many other documents are expected behind each shingle of the longest prefix; ``free``: n - T.
-    A candidate stands in at least m lists, hence no more candidates than entries / m.
+    Shingles of about the same frequency mostly come from the same passage or group of copies, hence from the same documents.
+    So those documents are candidates if the prefix has at least m of these shingles; strays are not.
     """
+    if not extra.any():
+        return 1
     best, cheapest = 1, None
-    read = np.cumsum(extra)
+    level = np.where(extra > 0, np.log2(np.maximum(extra, 1)) * 4, -1).astype(np.int64)
     for m in range(1, min(LONGEST_MATCH, n - free) + 1):
-        entries = float(read[free + m - 1])
-        cost = entries + (free + m) + VERIFY_COST * entries / m
+        own = extra[: free + m]
+        _, first, size = np.unique(level[: free + m], return_index=True, return_counts=True)
+        candidates = float(own[first][size >= m].sum())
+        cost = float(own.sum()) + (free + m) + VERIFY_COST * candidates
         if cheapest is None or cost < cheapest:
             best, cheapest = m, cost
     return best
@@ -174,7 +181,7 @@ def _repeated_postings(every: DataFrame) -> DataFrame:
     table = every.where("n_shingles > 0").select("node", "n_shingles", "matches", "prefix").mapInArrow(entries, "token long, node long, n long, matches int, place int")
     spread = table.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y"))
     shared = stage(spread.where("x <> y").select("token"), "tokens")
-    kept = stage(table.join(shared, "token", "left_semi").distinct(), "postings")
+    kept = stage(table.join(shared.hint("merge"), "token", "left_semi").distinct(), "postings")
     drop_staged(shared)
     return kept
 
@@ -185,7 +192,7 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, known:
     wanted = wanted.join(known.select("node"), "node", "left_anti") if known is not None else wanted
     ids = stage(classes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "wanted")
     texts = packed_texts(docs)
-    chosen = texts.join(ids, texts.doc_id.eqNullSafe(ids.id), "left_semi").select("packed")
+    chosen = texts.join(ids.hint("merge"), texts.doc_id.eqNullSafe(ids.id), "left_semi").select("packed")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, text in unpacked(batches):
@@ -266,5 +273,5 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "hashes_a", "hashes_b")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "hashes_a", "hashes_b")
     return stage(both.mapInArrow(compare, "a long, b long").distinct(), "verified")
