@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.tables import stage
+from panelweave.llm.tables import fresh, stage
 
 CROWDED = 32
 PIECES = 16
@@ -31,18 +31,18 @@ def dedup_lines(docs: DataFrame, shortest: int = 32) -> DataFrame:
     """
     spare = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     where = removed_lines(docs, shortest)
-    gone = where.groupBy("_doc", "_version").agg(F.collect_set("_line").alias("_gone"))
-    row = docs.select(*spare)
-    own = (row["doc_id"].cast("long").eqNullSafe(gone["_doc"])) & (F.hash(row["text"]) == gone["_version"])
+    doc, version, gone = fresh(docs.columns, "_doc", "_version", "_gone")
+    lost = where.groupBy("_doc", "_version").agg(F.collect_set("_line").alias("_gone")).toDF(doc, version, gone)
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.hash("text") == F.col(version))
     parts = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    both = row.join(gone.hint("merge"), own, "left")
+    both = docs.select(*spare).join(lost.hint("merge"), own, "left")
     return both.select(
         *[c for c in spare if c != "text"],
-        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
     )
 
 

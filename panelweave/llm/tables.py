@@ -14,8 +14,10 @@ from panelweave import session
 from panelweave.llm.words import slices
 from panelweave.session import shared_folder
 
-__all__ = ["drop_staged", "packed_texts", "read", "shared_folder", "stage", "unpacked", "word_count"]
+__all__ = ["drop_staged", "fresh", "packed_texts", "prepare", "read", "shared_folder", "stage", "unpacked", "word_count"]
 
+#: Rows of a batch that goes to Python. Texts are long: the usual ten thousand of them take tens of megabytes several times.
+BATCH_ROWS = 1000
 #: Makes Spark delete the shuffle files of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -23,7 +25,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def prepare(spark: SparkSession) -> None:
+    """The session setting that these operators' memory counts on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -62,6 +70,18 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, pa.array([expand.decompress(x.as_py()) for x in part.column("packed")], pa.large_binary()).cast(pa.large_string())
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that a table with the columns ``taken`` does not have."""
+    known = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
