@@ -17,7 +17,7 @@ from panelweave.llm.line_dedup import dedup_lines
 from panelweave.llm.mixing import mix_sources
 from panelweave.llm.packing import pack_documents
 from panelweave.llm.quality import keep_good, learn
-from panelweave.llm.tables import read, shared_folder
+from panelweave.llm.tables import fresh, prepare, read, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,32 +29,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts, and with them documents of which nothing but white space is left."""
+    prepare(spark)
     changed = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with word shingles alike, the one with the smallest doc_id stays, and of equal rows one."""
+    prepare(spark)
     found = similarity_components(docs, k=5, percent=80)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
-    equal = Window.partitionBy("doc_id", F.hash("text")).orderBy(F.col("source"), F.col("lang"), F.col("n_chars"))
-    return kept.withColumn("_copy", F.row_number().over(equal)).where("_copy = 1").select(docs.columns)
+    name, copy = fresh(docs.columns, "_stay", "_copy")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    equal = Window.partitionBy("doc_id", F.hash("text")).orderBy("source", "lang", "n_chars")
+    return kept.withColumn(copy, F.row_number().over(equal)).where(F.col(copy) == 1).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, copies as rows of their own."""
+    doc, source, version, number, copy = fresh(docs.columns, "_doc", "_source", "_version", "_uses", "_copy")
     marked = docs.select("doc_id", "source", "text", F.hash("text").alias("version"))
     uses = mix_sources(marked, also=["version"]).groupBy("doc_id", "source", "version").agg(F.sum("uses").alias("uses"))
-    uses = uses.where("uses > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("version").alias("_version"), "uses")
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["source"].eqNullSafe(F.col("_source")) & (F.hash(docs["text"]) == F.col("_version"))
+    uses = uses.where("uses > 0").toDF(doc, source, version, number)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.hash("text") == F.col(version))
     equal = Window.partitionBy("doc_id", "source", F.hash("text")).orderBy("lang", "n_chars")
-    once = docs.join(uses.hint("merge"), same).withColumn("_copy", F.row_number().over(equal)).where("_copy = 1")
-    return once.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(docs.columns)
+    once = docs.join(uses.hint("merge"), same).withColumn(copy, F.row_number().over(equal)).where(F.col(copy) == 1)
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 1024 tokens."""
+    prepare(spark)
     return pack_documents(docs, public_tokenizers.path(TOKENIZER), window=1024, end_id=0)
 
 
