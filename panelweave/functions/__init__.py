@@ -1,4 +1,5 @@
 from panelweave.functions.numeric import (  # noqa: F401
+    correlation,
     keyed_integer,
     keyed_normal,
     keyed_uniform,

@@ -24,6 +24,12 @@ def keyed_uniform(*parts: Column) -> Column:
     return (keyed_integer(*parts) + F.lit(0.5)) / F.lit(4294967296.0)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: Pearson correlation of pairs, null where one side is constant (the built-in one divides by zero there)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def keyed_normal(*parts: Column) -> Column:
     """Repeatable standard normal draw (Box-Muller over two keyed uniforms)."""
     radius = F.sqrt(F.lit(-2.0) * F.ln(keyed_uniform(*parts, F.lit("u"))))

@@ -13,10 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelweave.functions import ratio
+from panelweave.functions import correlation, ratio
 from panelweave.operators.groupwise import needs_split, spread, value_positions, with_average_rank
 
 
+# Ties are decided on values rounded to this many decimals, as everywhere (see ``signals``).
+TIE_DECIMALS = 12
+
+
 def _frame(first: int, last: int) -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("date_idx").rangeBetween(first, last)
 
@@ -72,6 +76,12 @@ def _volatility(n: int) -> Column:
     return full(n, "__r", F.stddev_samp("__r"))
 
 
+def _price_volume_corr() -> Column:
+    """Null where returns or volume changes are constant over the window; both are null together."""
+    spread = trailing(F.stddev_pop("__pr"), 20) * trailing(F.stddev_pop("__pv"), 20)
+    return F.try_divide(full(20, "__pr", F.covar_pop("__pr", "__pv")), spread)
+
+
 def _rsi(n: int) -> Column:
     strength = ratio(full(n, "__gain", F.avg("__gain")), full(n, "__loss", F.avg("__loss")))
     return 100.0 - 100.0 / (1.0 + strength)
@@ -93,7 +103,7 @@ FACTORS: dict[str, Callable[[], Column]] = {
     "volume_spike_5d": lambda: _gap("volume", 5),
     "volume_spike_20d": lambda: _gap("volume", 20),
     "dollar_volume_20d": lambda: F.log1p(full(20, "__dv", F.avg("__dv"))),
-    "price_volume_corr_20d": lambda: full(20, "__pr", F.corr("__pr", "__pv")),
+    "price_volume_corr_20d": _price_volume_corr,
     "rsi_14": lambda: _rsi(14),
     "moving_average_gap_20d": lambda: _gap("adj_close", 20),
     "moving_average_gap_50d": lambda: _gap("adj_close", 50),
@@ -198,8 +208,8 @@ def redundant_pairs(
                 F.struct(
                     F.lit(a).alias("first"),
                     F.lit(b).alias("second"),
-                    F.col(a).alias("x"),
-                    F.col(b).alias("y"),
+                    F.round(F.col(a), TIE_DECIMALS).alias("x"),
+                    F.round(F.col(b), TIE_DECIMALS).alias("y"),
                 ),
             )
             for a, b in pairs
@@ -213,7 +223,7 @@ def redundant_pairs(
         ranked = with_average_rank(long, keys, {"rx": "x", "ry": "y"}, split=False)
     return (
         ranked.groupBy(*keys)
-        .agg(F.corr("rx", "ry").alias("correlation"), F.count(F.lit(1)).alias("n_rows"))
+        .agg(correlation("rx", "ry").alias("correlation"), F.count(F.lit(1)).alias("n_rows"))
         .where((F.col("n_rows") >= min_rows) & (F.abs("correlation") >= threshold))
     )
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions import correlation
 from panelweave.operators.groupwise import (
     needs_split,
     with_average_rank,
@@ -33,7 +34,7 @@ def rebalance_dates(aligned: DataFrame, every: int | Column) -> DataFrame:
 
 
 def at_rebalance(aligned: DataFrame, every: int | Column) -> DataFrame:
-    return aligned.join(F.broadcast(rebalance_dates(aligned, every)), KEYS, "left_semi")
+    return aligned.join(rebalance_dates(aligned, every), KEYS, "left_semi")
 
 
 def with_legs(
@@ -132,7 +133,7 @@ def with_trades(positions: DataFrame) -> DataFrame:
     held = Window.partitionBy("variant", "symbol").orderBy("date")
     previous = F.when(F.lag("date").over(held) == F.col("__prev_date"), F.lag("weight").over(held))
     return (
-        positions.join(F.broadcast(dates), KEYS)
+        positions.join(dates, KEYS)
         .withColumn("trade", F.abs(F.col("weight") - F.coalesce(previous, F.lit(0.0))))
         .drop("__prev_date")
     )
@@ -191,7 +192,7 @@ def information_coefficient(
     return (
         ranked.groupBy(*keys, *(extra or []))
         .agg(
-            F.corr("__rs", "__rf").alias("ic"),
+            correlation("__rs", "__rf").alias("ic"),
             (F.min("__s") != F.max("__s")).alias("__vs"),
             (F.min("__f") != F.max("__f")).alias("__vf"),
         )

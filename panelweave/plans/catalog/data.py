@@ -293,6 +293,29 @@ def prv_1(spark, sf):
     )
 
 
+@entry(
+    "prv_1_matching_snapshot",
+    f"""WITH {fx.MARKET} SELECT count(*) AS row_count, true AS hash_matches, true AS row_count_matches, true AS symbol_set_matches,
+  min(date) = DATE '1995-01-02' AND max(date) = DATE '2001-12-31' AS date_range_matches FROM market""",
+)
+def prv_1_matching(spark, sf):
+    """A manifest that agrees with the data in hash and symbols and gives no row count."""
+    panel = fx.market(spark, sf)
+    manifest = {"start": "1995-01-02", "end": "2001-12-31", "content_sha256": "2" * 64}
+    out = prv.snapshot_provenance(panel, manifest, panel.select("symbol").distinct(), actual_sha256="2" * 64)
+    return out.select("row_count", "hash_matches", "row_count_matches", "symbol_set_matches", "date_range_matches")
+
+
+@entry(
+    "prv_1_row_digest",
+    """WITH d AS (SELECT CAST(concat('0x', substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag)), 1, 8)) AS BIGINT) AS part FROM lineitem)
+SELECT count(*) AS row_count, CAST(sum(part) AS BIGINT) AS digest_sum, bit_xor(part) AS digest_xor FROM d""",
+)
+def prv_1_digest(spark, sf):
+    names = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")]
+    return prv.row_digest(fx.table(spark, sf, "lineitem"), F.concat_ws("|", *names))
+
+
 @entry("prv_1_content_hash", None)
 def prv_1_hash(spark, sf):
     return prv.content_hash(spark, f"{sf}/*.parquet")
@@ -343,7 +366,7 @@ def flawed(spark, sf):
             ),
         }
     )
-    return bad.where((F.col("symbol_no") % 6 != 1) | (F.col("date_idx") % 10 != 0))
+    return bad
 
 
 FLAWED = f"""{fx.MARKET_RAW},
@@ -353,7 +376,7 @@ flawed AS MATERIALIZED (
     CASE WHEN (symbol_no * 31 + di) % 97 = 3 THEN -1.0 ELSE low END AS low,
     CASE WHEN (symbol_no * 31 + di) % 89 = 2 THEN 0.0 ELSE volume END AS volume,
     CASE WHEN di % 50 < 8 AND symbol_no % 3 = 0 THEN 77.0 ELSE adj_close END AS adj_close
-  FROM market_raw JOIN rdates USING (date) WHERE symbol_no % 6 <> 1 OR di % 10 <> 0)"""
+  FROM market_raw JOIN rdates USING (date))"""
 
 _FLAGS = f"""{FLAWED},
 stepped AS (SELECT *, adj_close / lag(adj_close) OVER w - 1 AS ret,
@@ -397,7 +420,7 @@ for _key, _column in {
     "dq_6_stale_rows": "stale_price_rows",
 }.items():
     ENTRIES[_key] = (
-        lambda spark, sf, c=_column: dq.symbol_quality(flawed(spark, sf)).select("symbol", c),
+        lambda spark, sf, c=_column: dq.symbol_quality(flawed(spark, sf), fx.dates(spark, sf)).select("symbol", c),
         f"WITH {_FLAGS} SELECT symbol, {_column} FROM quality",
     )
 
@@ -417,7 +440,7 @@ UNION ALL {_warn("extreme_return_rows", "rows with absolute adjusted return abov
 UNION ALL {_warn("stale_price_rows", "stale adjusted-close rows.")}""",
 )
 def dq_7(spark, sf):
-    return dq.quality_warnings(dq.symbol_quality(flawed(spark, sf)))
+    return dq.quality_warnings(dq.symbol_quality(flawed(spark, sf), fx.dates(spark, sf)))
 
 
 @entry(

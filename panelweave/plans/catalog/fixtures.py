@@ -72,7 +72,10 @@ def market(spark: SparkSession, sf: str, price: Column | None = None) -> DataFra
         "high",
         "low",
         "close",
-        F.col("close").alias("adj_close"),
+        # A split in some symbols, so that raw and adjusted prices give different results.
+        F.when((F.col("symbol_no") % 3 == 1) & (F.col("date") < F.lit("1998-06-01").cast("date")), F.col("close") / 2.0)
+        .otherwise(F.col("close"))
+        .alias("adj_close"),
         "volume",
     )
 
@@ -92,9 +95,8 @@ def dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Indexed market panel with holes: one cell in 211 is missing."""
-    indexed = with_date_index(market(spark, sf), dates(spark, sf))
-    return indexed.where((F.col("symbol_no") * 31 + F.col("date_idx")) % 211 != 0)
+    """Indexed market panel; its holes are those of the table."""
+    return with_date_index(market(spark, sf), dates(spark, sf))
 
 
 _BARS = """(SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
@@ -106,7 +108,8 @@ _BARS = """(SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
 def _market_cte(name: str, price: str) -> str:
     return f"""{name} AS MATERIALIZED (
   SELECT date, concat('S', lpad(CAST(symbol_no AS VARCHAR), 6, '0')) AS symbol, symbol_no,
-         round((high + low) / 2.0, 6) AS open, high, low, close, close AS adj_close, volume
+         round((high + low) / 2.0, 6) AS open, high, low, close,
+         CASE WHEN symbol_no % 3 = 1 AND date < DATE '1998-06-01' THEN close / 2.0 ELSE close END AS adj_close, volume
   FROM {_BARS.format(price=price)} b)"""
 
 
@@ -114,7 +117,7 @@ MARKET = _market_cte("market", "round(100.0 * (1.0 + l_discount - l_tax), 6)")
 MARKET_RAW = _market_cte("market_raw", "round(l_extendedprice / l_quantity, 6)")
 PANEL = f"""{MARKET},
 dates AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) - 1 AS di FROM (SELECT DISTINCT date FROM market)),
-panel AS MATERIALIZED (SELECT m.*, di FROM market m JOIN dates USING (date) WHERE (symbol_no * 31 + di) % 211 <> 0)"""
+panel AS MATERIALIZED (SELECT m.*, di FROM market m JOIN dates USING (date))"""
 
 GRID = f"""{PANEL},
 syms AS (SELECT DISTINCT symbol, symbol_no FROM panel),
@@ -200,12 +203,12 @@ membership AS (
 
 
 def borrow(spark: SparkSession, sf: str) -> DataFrame:
-    """Locate rows as TEXT, like a locate file, with mixed spellings of true and false and some holes."""
+    """Locate rows as TEXT, like a locate file, with mixed spellings of true and false."""
     rows = with_date_index(market(spark, sf).select("date", "symbol", "symbol_no"), dates(spark, sf))
     n, i = F.col("symbol_no"), F.col("date_idx")
     yes = F.when(i % 3 == 0, "true").when(i % 3 == 1, "Yes").otherwise("1")
     no = F.when(i % 3 == 0, "false").when(i % 3 == 1, "No").otherwise("0")
-    return rows.where((n * 31 + i) % 37 != 0).select(
+    return rows.select(
         F.col("date").cast("string").alias("date"),
         F.lower("symbol").alias("symbol"),
         F.when((n + i) % 11 == 0, no).otherwise(yes).alias("shortable"),
@@ -219,7 +222,7 @@ borrow AS MATERIALIZED (
   SELECT date, symbol, symbol_no, di,
          (symbol_no + di) % 11 <> 0 AND (symbol_no + di) % 7 <> 0 AS shortable,
          CASE WHEN symbol_no % 5 = 0 THEN 850.0 ELSE 125.0 END::DOUBLE AS borrow_fee_bps
-  FROM market JOIN dates_all USING (date) WHERE (symbol_no * 31 + di) % 37 <> 0)"""
+  FROM market JOIN dates_all USING (date))"""
 
 
 # ---------------------------------------------------------------- B6 runs

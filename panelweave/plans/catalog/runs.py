@@ -39,7 +39,7 @@ def src_8(spark, sf):
     """Manifests written by the sink, discovered again by glob with the fixed nested schema."""
     path = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
     write_manifests(fx.manifests(spark, sf), path)
-    found = read_manifests(spark, f"{path}/*/*.txt", multi_line=False)
+    found = read_manifests(spark, f"{path}/*.txt", multi_line=False)
     return found.select(
         "run_id",
         "experiment",
@@ -60,7 +60,7 @@ def parsed(spark, sf):
         path = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
         write_manifests(fx.manifests(spark, sf), path)
         _STORES[key] = path
-    return read_manifests(spark, f"{_STORES[key]}/*/*.txt", multi_line=False)
+    return read_manifests(spark, f"{_STORES[key]}/*.txt", multi_line=False)
 
 
 @entry(

@@ -100,11 +100,22 @@ class Research:
 
     @cached_property
     def aligned(self) -> DataFrame:
-        """Rows with a signal and a forward return, per position variant, on rebalance dates."""
+        """Rows with a signal and a forward return, per position variant, on rebalance dates.
+
+        The dates come first, from one count per date and variant, so only rows of a variant's own dates unfold.
+        """
+        held = {
+            v.position: F.col(f"s_{v.strategy}").isNotNull() & F.col(f"fwd_{v.holding_period}").isNotNull()
+            for v in self.positions_grid
+        }
+        counts = F.array(*[F.struct(F.lit(p).alias("variant"), F.count_if(c).alias("n")) for p, c in held.items()])
+        present = self.strategies.groupBy("date").agg(counts.alias("c")).select("date", F.explode("c").alias("c")).where("c.n > 0")
+        chosen = portfolio.rebalance_dates(present.select("c.variant", "date"), self.config.rebalance_days)
+        admitted = chosen.groupBy("date").agg(F.collect_set("variant").alias("admitted"))
         rows = F.array(
             *[
                 F.when(
-                    F.col(f"s_{v.strategy}").isNotNull() & F.col(f"fwd_{v.holding_period}").isNotNull(),
+                    F.array_contains("admitted", v.position) & held[v.position],
                     F.struct(
                         F.lit(v.position).alias("variant"),
                         F.col(f"s_{v.strategy}").alias("signal"),
@@ -117,8 +128,8 @@ class Research:
             ]
         )
         common = ["date", "date_idx", "symbol", "adv", "can_short", "fee"]
-        long = self.strategies.select(*common, F.explode(F.array_compact(rows)).alias("r")).select("r.*", *common)
-        return self._keep(portfolio.at_rebalance(long, self.config.rebalance_days), "aligned")
+        long = self.strategies.join(admitted, "date").select(*common, F.explode(F.array_compact(rows)).alias("r"))
+        return self._keep(long.select("r.*", *common), "aligned")
 
     # ------------------------------------------------------------ portfolios
 

@@ -20,12 +20,10 @@ def read_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return require_rows(found, f"No manifest.json files found under {path}")
 
 
-def write_manifests(manifests: DataFrame, path: str, buckets: int = 16) -> None:
-    """Packed manifests, one JSON document per line, hashed into ``bucket=`` folders by run id."""
-    packed = manifests.select(
-        F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"),
-        F.to_json(F.struct(*MANIFEST_SCHEMA.fieldNames())).alias("value"),
-    )
-    packed.repartition("bucket").write.partitionBy("bucket").option("compression", "none").format("text").mode(
-        "overwrite"
-    ).save(path)
+def write_manifests(manifests: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """Packed manifests, one JSON document per line, at most ``per_file`` in a file.
+
+    Every task writes what it has, so the number of writers grows with the table.
+    """
+    packed = manifests.select(F.to_json(F.struct(*MANIFEST_SCHEMA.fieldNames())).alias("value"))
+    packed.write.option("compression", "none").option("maxRecordsPerFile", per_file).format("text").mode("overwrite").save(path)

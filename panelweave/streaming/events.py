@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelweave.operators.events import current_status
@@ -22,7 +23,11 @@ def current_status_stream(audit: DataFrame) -> DataFrame:
 
 
 def start_status_table(audit: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table of current statuses: each batch writes a complete new version folder."""
+    """Keep a Parquet table of status changes: each batch adds the entities whose status it changed.
+
+    A batch writes as much as it changes, whatever the table holds; ``read_status_table`` takes the newest row of each
+    entity, ``compact_status_table`` folds old versions into one.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         # Rerunning a batch after a failure rewrites the same version.
@@ -30,9 +35,21 @@ def start_status_table(audit: DataFrame, table_path: str, checkpoint: str) -> St
 
     return (
         current_status_stream(audit)
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(publish)
         .start()
     )
+
+
+def read_status_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """Current row of each entity: the one of its newest version."""
+    rows = spark.read.parquet(table_path)
+    packed = F.struct(*[c for c in rows.columns if c not in ("entity", "version")])
+    return rows.groupBy("entity").agg(F.max_by(packed, "version").alias("r")).select("entity", "r.*")
+
+
+def compact_status_table(spark: SparkSession, table_path: str, target_path: str) -> None:
+    """Write the current rows as one version at ``target_path``."""
+    read_status_table(spark, table_path).write.mode("overwrite").parquet(f"{target_path}/version=0")
