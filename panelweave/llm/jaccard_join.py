@@ -43,9 +43,10 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = _prefixes(docs, k, percent)
-    nodes = every.select("doc_id", "node", "n_shingles")
+    nodes = stage(every.select("doc_id", "node", "n_shingles"), "nodes")
     classes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     postings = _repeated_postings(every)
+    drop_staged(every)
     pairs = stage(_pivot_pairs(postings, percent), "pairs")
     sets = _sets(docs, classes, pairs, k)
     links = _verified(pairs, sets, percent)
@@ -61,7 +62,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
         .agg(F.min("doc_id").alias("component_id"))
     )
     named = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(label, "component")
-    joined = nodes.join(named.select("node", "component_id"), "node", "left")
+    joined = nodes.join(named.select("node", "component_id").hint("merge"), "node", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -233,7 +234,7 @@ def _pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     counted = stage(postings.join(postings.groupBy("node").agg(F.count("*").alias("known")), "node"), "counted")
     best = F.max(F.struct((F.col("known") * 1000 / F.col("n")).cast("int").alias("known"), "node", "n", "matches", "place")).alias("p")
     pivot = stage(counted.groupBy("token").agg(best).select("token", "p.*"), "pivots")
-    return _matched(_side(postings, "a").join(_side(pivot, "b"), "token").where((F.col("a") != F.col("b")) & _near(percent)))
+    return _matched(_side(postings, "a").join(_side(pivot, "b").hint("merge"), "token").where((F.col("a") != F.col("b")) & _near(percent)))
 
 
 def _pairs_across(postings: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -242,16 +243,16 @@ def _pairs_across(postings: DataFrame, found: DataFrame, percent: int) -> DataFr
     Tokens inside one component are done. Elsewhere the rows of a token's largest component meet only the other
     rows, never each other, so a large group of copies beside some strangers costs its size times their number.
     """
-    labelled = postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = postings.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = stage(labelled.join(open_tokens, "token", "left_semi"), "open")
+    rows = stage(labelled.join(open_tokens.hint("merge"), "token", "left_semi"), "open")
     sizes = rows.groupBy("token", "component").count()
     major = sizes.groupBy("token").agg(F.max(F.struct("count", "component"))["component"].alias("major"))
-    rows = stage(rows.join(major, "token").withColumn("minor", F.col("component") != F.col("major")), "open")
+    rows = stage(rows.join(major.hint("merge"), "token").withColumn("minor", F.col("component") != F.col("major")), "open")
     left = _side(rows.where("minor"), "a", "component")
     right = _side(rows, "b", "component", "minor")
     apart = (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
-    return _matched(left.join(right, "token").where(apart & _near(percent)))
+    return _matched(left.join(right.hint("merge"), "token").where(apart & _near(percent)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
