@@ -217,9 +217,12 @@ def _near(percent: int) -> Column:
 
 
 def _matched(pairs: DataFrame) -> DataFrame:
-    """Pairs of postings that count -> (a, b) with as many shared tokens as the smaller of their numbers of matches."""
+    """Pairs of postings that count -> (a, b), a < b, with as many shared tokens as the smaller of their numbers of matches.
+
+    Which side of a pair is a may differ from token to token, so sides are ordered before tokens are counted.
+    """
     m = F.least("matches_a", "matches_b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(m).alias("m")).where("shared >= m").select("a", "b")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.first(m).alias("m")).where("shared >= m").select("a", "b")
 
 
 def _side(postings: DataFrame, name: str, *more: str) -> DataFrame:

@@ -59,6 +59,24 @@ def test_similarity_components_without_rows(no_docs):
     assert jaccard_join.similarity_components(no_docs).count() == 0
 
 
+def test_similarity_components_bridged_groups(spark, monkeypatch):
+    """Two groups of near copies joined by one pair, whose shared shingles are held mostly by either group."""
+    longest = jaccard_join.LONGEST_MATCH
+    monkeypatch.setattr(jaccard_join, "_match_count", lambda extra, free, n: min(longest, n - free))
+    texts = {}
+    for case in range(4):
+        shared = [f"s{case}x{i}" for i in range(89)]
+        for side in range(2):
+            own = [f"v{case}x{side}x{i}" for i in range(10)]
+            texts[1000 * case + 100 * side] = [*shared, *own, f"u{case}x{side}"]
+            for i in range(8):
+                lost = shared[8 * side + i]
+                texts[1000 * case + 100 * side + 1 + i] = [*[x for x in shared if x != lost], *own, f"w{case}x{side}", f"z{case}x{side}"]
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(table, 1, 80).collect()}
+    assert found == {d: d // 1000 * 1000 for d in texts}
+
+
 @pytest.mark.parametrize("span", [12, 35])
 def test_remove_repeats(docs, rows, span):
     words = [WORD.findall(text or "") for _, text, *_ in rows]
