@@ -20,6 +20,8 @@ from panelweave.llm.quality import keep_good, learn
 from panelweave.llm.tables import fresh, prepare, read, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Edits that two lines may differ by, from these lengths on.
+LINE_EDITS = ((0, 1), (100, 2), (200, 3))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts, and with them documents of which nothing but white space is left."""
+    """Repeated lines go from the texts, and with them documents of which nothing but white space is left.
+
+    Lines under 32 characters go where they are the same, longer ones within ``LINE_EDITS``.
+    """
     prepare(spark)
-    changed = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    changed = dedup_lines(docs, tau=LINE_EDITS, exact=1).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

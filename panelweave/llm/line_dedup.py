@@ -1,36 +1,43 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-For one edit a line is split into two segments; a similar line of the same length or one shorter must have
-one of them unchanged, at a place that the lengths give. So every line is indexed by (length, segment number,
-segment) and probes the index of its own length and of the length below. Where an index entry has more
-than ``CROWDED`` lines, the pairs are not taken from it: the other half of its lines is split into ``PIECES``
-pieces, all but one of which must agree too. Candidates are verified with Spark's banded edit distance.
+For t edits a line is split into t + 1 segments; a line within t edits, of the same length or up to t longer, must
+have one of them unchanged, shifted by at most what the edits before and after it allow. So every line is indexed by
+(length, segment number, segment) and probes the index of its own length and of the t lengths below at these shifts.
+Where an index entry has more than ``CROWDED`` lines, the pairs are not taken from it: what is left of its lines is
+split into segments again, and again while entries stay crowded. Candidates are verified with Spark's banded edit distance.
 
 Joins that carry texts are merge joins at every size, so that their cost in a small run tells that of a large one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.tables import fresh, stage
 
 CROWDED = 32
-PIECES = 16
+#: Splits of crowded entries for more than one edit. A split leaves as many crowded ways to the same pair as there are edits.
+SPLITS = 4
+#: (length, edits): lines from this length on may differ by so many edits.
+TAU = ((0, 1),)
 
 
-def dedup_lines(docs: DataFrame, shortest: int = 32) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int], ...] = TAU, exact: int | None = None) -> DataFrame:
     """All columns of ``docs`` with repeated lines taken out of ``text``, and ``n_lines`` and ``n_removed``.
 
-    Lines end at line feeds and are compared without outer white space; those of fewer than ``shortest`` characters stay.
-    An occurrence goes if the same line, or one at an edit distance of 1, occurs earlier in the table: in
-    order of doc_id (null first), the text's hash and the line number. What is left of a text keeps its line
+    Lines end at line feeds and are compared without outer white space. Those of at least ``shortest`` characters are
+    compared by edit distance, those of at least ``exact`` (by default ``shortest``) for equality; blank and shorter ones stay.
+    An occurrence goes if the same line, or one within the edits that ``tau`` gives for the shorter of both, occurs earlier in
+    the table: in order of doc_id (null first), the text's hash and the line number. What is left of a text keeps its line
     feeds. Null texts stay null with no lines, an empty text has one line; rows with equal doc_id and text are one document
     and get the same result; other columns are handed through, ``n_lines`` and ``n_removed`` replaced.
     """
     spare = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    where = removed_lines(docs, shortest)
+    where = removed_lines(docs, shortest, tau, exact)
     doc, version, gone = fresh(docs.columns, "_doc", "_version", "_gone")
     lost = where.groupBy("_doc", "_version").agg(F.collect_set("_line").alias("_gone")).toDF(doc, version, gone)
     own = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.hash("text") == F.col(version))
@@ -46,79 +53,109 @@ def dedup_lines(docs: DataFrame, shortest: int = 32) -> DataFrame:
     )
 
 
-def _halves(text: Column, length: Column, extra: int) -> list[Column]:
-    """Keys of the two segments of a line of ``length`` characters, for lines that are ``extra`` shorter."""
-    size = length - extra
-    first = (size / 2).cast("int")
-    return [
-        F.xxhash64(size, F.lit(1), F.substring(text, F.lit(1), first)),
-        F.xxhash64(size, F.lit(2), F.substring(text, first + 1 + extra, size - first)),
-    ]
+def _edits(length: Column, tau: tuple[tuple[int, int], ...]) -> Column:
+    return reduce(lambda found, step: F.when(length >= step[0], step[1]).otherwise(found), sorted(tau), F.lit(0))
+
+
+def _windows(edits: int) -> list[tuple[int, int, int]]:
+    """(extra, segment, shift): where a line ``extra`` longer than an indexed one may hold its segment."""
+    places = range(edits + 1)
+    return [(d, i, s) for d in places for i in places for s in range(max(-i, d - edits + i), min(i, d + edits - i) + 1)]
+
+
+def _plan(edits: set[int]) -> Column:
+    names = ("t", "d", "i", "s")
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, (t, *w), strict=True)]) for t in sorted(edits) for w in _windows(t)])
 
 
-def removed_lines(docs: DataFrame, shortest: int = 32) -> DataFrame:
+def _segment(size: Column, p: Column) -> tuple[Column, Column]:
+    """First character, from 0, and length of segment p.i of an indexed text of ``size``, in a text that holds it shifted by p.s."""
+    cut = lambda i: (size * i / (p["t"] + 1)).cast("int")
+    return cut(p["i"]) + p["s"], cut(p["i"] + 1) - cut(p["i"])
+
+
+def _without(text: Column, start: Column, size: Column) -> Column:
+    return F.concat(F.substring(text, F.lit(1), start), F.substring(text, start + size + 1, F.char_length(text)))
+
+
+def removed_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int], ...] = TAU, exact: int | None = None) -> DataFrame:
     """(_doc, _version, _line): the line occurrences that repeat an earlier one."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.hash("text").alias("_version"), "text")
     every = texts.select("_doc", "_version", F.posexplode(F.split("text", "\n", -1)).alias("_line", "line"))
-    every = every.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\v\f"))).withColumn("length", F.char_length("line")).where(F.col("length") >= shortest)
-    line, length = F.col("line"), F.col("length")
-    keys = [*_halves(line, length, 0), *_halves(line, length, 1)]
-    lines = stage(every.select("_doc", "_version", "_line", F.xxhash64("line").alias("name"), *[k.alias(f"k{i}") for i, k in enumerate(keys)]), "lines")
+    every = every.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\v\f"))).where(F.char_length("line") >= max(1, min(shortest, shortest if exact is None else exact)))
+    every = every.withColumn("name", F.xxhash64("line"))
+    lines = stage(every.select("_doc", "_version", "_line", "name"), "lines")
     first = F.min(F.struct("_doc", "_version", "_line")).alias("first")
-    kinds = stage(lines.groupBy("name").agg(first, F.count("*").alias("times"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)]), "kinds")
-
-    # Entry i: 0 and 1 stand in the index and probe it, 2 and 3 probe the index of the length below.
-    entries = kinds.select("name", "first", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("i", "key"))
-    entries = entries.withColumn("probe", F.col("i") >= 2)
-    indexed = F.sum((~F.col("probe")).cast("long"))
-    met = entries.groupBy("key").agg(indexed.alias("indexed"), F.count("*").alias("all")).where("indexed > 0 and all > 1")
-    met = stage(met.select("key", (F.col("all") > CROWDED).alias("crowded")), "met")
-    chosen = stage(entries.join(met, "key").select("key", "crowded", "name", "first", "probe", (F.col("i") % 2).alias("half")), "chosen")
-    text = stage(_line_texts(texts, chosen), "texts")
-
-    plain = chosen.where("not crowded").select("key", "name", "probe")
-    crowded = chosen.where("crowded").join(text, "name").select(F.explode(_finer_keys()).alias("key"), "name", "probe")
-    pairs = _pairs(plain).unionByName(_pairs(crowded)).distinct()
+    long = F.when(F.char_length("line") >= shortest, F.col("line"))
+    kinds = stage(every.groupBy("name").agg(first, F.count("*").alias("times"), F.first(long).alias("line")), "kinds")
+
+    # An entry without shift or extra characters stands in the index and probes it, the others only probe.
+    edits = {t for _, t in tau}
+    length = F.char_length("line")
+    fitting = F.filter(_plan(edits), lambda p: _edits(length - p["d"], tau) == p["t"])
+
+    def entry(p: Column) -> Column:
+        size = length - p["d"]
+        start, wide = _segment(size, p)
+        return F.struct(F.xxhash64(size, p["i"], F.substring("line", start + 1, wide)).alias("key"), p.alias("p"))
+
+    entries = kinds.where("line is not null").select("name", F.explode(F.transform(fitting, entry)).alias("e"))
+    entries = entries.select("e.key", "name", "e.p", (F.col("e.p.d") + F.abs("e.p.s") > 0).alias("probe"))
+    chosen = stage(entries.join(_met(entries), "key"), "chosen")
+    wanted = chosen.select("name").distinct()
+    text = stage(kinds.select("name", "line").join(wanted.hint("merge"), "name", "left_semi"), "texts")
+
+    pairs = _pairs(chosen.where("not crowded").select("key", "name", "probe", "p.d"))
+    rest = _without(F.col("line"), *_segment(length - F.col("p.d"), F.col("p")))
+    crowded = chosen.where("crowded").join(text.hint("merge"), "name").select("key", "name", "probe", "p.t", "p.d", rest.alias("rest"))
+    pairs = reduce(DataFrame.unionByName, _finer_pairs(crowded, edits), pairs).distinct()
     left = text.select(F.col("name").alias("a"), F.col("line").alias("line_a"))
     right = text.select(F.col("name").alias("b"), F.col("line").alias("line_b"))
-    near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.levenshtein("line_a", "line_b", 1) >= 0)
+    allowed = _edits(F.least(F.char_length("line_a"), F.char_length("line_b")), tau)
+    near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.call_function("levenshtein", F.col("line_a"), F.col("line_b"), allowed) >= 0)
     links = stage(near.select("a", "b"), "links")
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = kinds.select(F.col("name").alias("b"), F.col("first").alias("other"))
     earliest = both.join(other, "b").groupBy("a").agg(F.min("other").alias("other"))
-    repeated = kinds.join(earliest, kinds["name"] == earliest["a"], "left").where("times > 1 or a is not null")
+    repeated = kinds.drop("line").join(earliest, kinds["name"] == earliest["a"], "left").where("times > 1 or a is not null")
     earliest = stage(repeated.select("name", F.least("first", F.coalesce("other", "first")).alias("first")), "earliest")
     spots = lines.select("_doc", "_version", "_line", "name").join(earliest.hint("merge"), "name")
     return spots.where(F.struct("_doc", "_version", "_line") > F.col("first")).select("_doc", "_version", "_line")
 
 
-def _line_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(name, line) of the lines in ``chosen``, read from the first place of each."""
-    spot = chosen.select("name", "first.*").distinct().groupBy("_doc", "_version").agg(F.collect_list(F.struct("_line", "name")).alias("spots"))
-    spot = spot.select(F.col("_doc").alias("d"), F.col("_version").alias("v"), "spots")
-    held = texts.join(spot.hint("merge"), texts["_doc"].eqNullSafe(spot["d"]) & (texts["_version"] == spot["v"]))
-    parts = held.select(F.split("text", "\n", -1).alias("parts"), F.explode("spots").alias("spot"))
-    line = F.trim(F.get("parts", F.col("spot._line")), F.lit(" \t\r\v\f"))
-    return parts.select(F.col("spot.name").alias("name"), line.alias("line")).dropDuplicates(["name"])
-
-
-def _finer_keys() -> Column:
-    """For a crowded entry: its key with all of the other half but one piece, for each piece."""
-    more = F.col("probe").cast("int")
-    size = F.char_length("line") - more
-    first = (size / 2).cast("int")
-    rest = F.when(F.col("half") == 0, F.substring("line", first + 1, size - first + more)).otherwise(F.substring("line", F.lit(1), first + more))
-    span = F.when(F.col("half") == 0, size - first).otherwise(first)
-    start = lambda j: (span * j / PIECES).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(PIECES - 1)),
-        lambda j: F.xxhash64(F.col("key"), j, F.substring(rest, F.lit(1), start(j)), F.substring(rest, start(j + 1) + 1 + more, F.greatest(span - start(j + 1), F.lit(0)))),
-    )
+def _met(entries: DataFrame) -> DataFrame:
+    """(key, crowded) of the keys that an indexed line shares with another entry. Written."""
+    indexed = F.sum((~F.col("probe")).cast("long"))
+    met = entries.groupBy("key").agg(indexed.alias("indexed"), F.count("*").alias("all")).where("indexed > 0 and all > 1")
+    return stage(met.select("key", (F.col("all") > CROWDED).alias("crowded")), "met")
+
+
+def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
+    """Pairs of crowded entries (key, name, probe, t, d, rest), whose rests are split until entries are not crowded."""
+    crowded = stage(crowded, "crowded")
+    pairs = []
+    size = F.char_length("rest") - F.col("d")
+    for split in count(1):
+        if crowded.isEmpty():
+            return pairs
+        fitting = F.filter(_plan(edits), lambda p: (p["t"] == F.col("t")) & (p["d"] == F.col("d")))
+
+        def entry(p: Column) -> Column:
+            start, wide = _segment(size, p)
+            key = F.xxhash64("key", p["i"], F.substring("rest", start + 1, wide))
+            return F.struct(key.alias("key"), (F.col("probe") | (p["s"] != 0)).alias("probe"), _without(F.col("rest"), start, wide).alias("rest"))
+
+        finer = crowded.select("name", "t", "d", F.explode(F.transform(fitting, entry)).alias("e")).select("e.*", "name", "t", "d")
+        finer = stage(finer.join(_met(finer), "key"), "finer")
+        # All entries of a key have the same t and the same indexed length of the rest.
+        again = F.col("crowded") & (size > F.col("t")) & ((F.col("t") == 1) | F.lit(split < SPLITS))
+        pairs.append(_pairs(finer.where(~again).select("key", "name", "probe", "d")))
+        crowded = finer.where(again).drop("crowded")
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
     """(a, b) of an indexed line and one that finds it, pairs of equal length once."""
     left = entries.where("not probe").select("key", F.col("name").alias("a"))
-    right = entries.select("key", F.col("name").alias("b"), "probe")
-    return left.join(right, "key").where("a <> b and (probe or a < b)").select("a", "b")
+    right = entries.select("key", F.col("name").alias("b"), "d")
+    return left.join(right, "key").where("a <> b and (d > 0 or a < b)").select("a", "b")

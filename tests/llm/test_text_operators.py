@@ -131,6 +131,45 @@ def test_dedup_lines(spark, docs, rows, monkeypatch, crowded):
     assert sum(x[3] for x in expected) > 10
 
 
+@pytest.mark.parametrize("crowded", [1, 32])
+def test_dedup_lines_of_several_edits(spark, monkeypatch, crowded):
+    """Edits by the length of the shorter line, and exact repeats of short lines."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    draw, tau = random.Random(7), ((0, 1), (60, 2), (120, 3))
+    every, stems = [], ["".join(draw.choice("abcdef gh") for _ in range(n)).strip() + "." for n in (40, 59, 60, 61, 90, 119, 121, 124, 200, 300)]
+    for i in range(70):
+        line = list(stems[i % len(stems)] if i % 7 else "".join(draw.choice("ab") for _ in range(70)))
+        for _ in range(draw.randint(0, 5)):
+            at, kind = draw.randrange(1, len(line) - 1), draw.randrange(3)
+            line[at : at + (kind < 2)] = [] if kind == 0 else [draw.choice("xyzab")]
+        every.append((i, f"own {i}\n\n  short one \n" + "".join(line)))
+    first = {}
+    for doc_id, text in every:
+        for n, line in enumerate(text.split("\n")):
+            first.setdefault(line.strip(), (doc_id, n))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, above[j] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    def alike(a, b):
+        shorter = min(len(a), len(b))
+        return a == b or (shorter >= 32 and abs(len(a) - len(b)) <= 3 and distance(a, b) <= max(t for n, t in tau if shorter >= n))
+
+    early = {x: min(first[y] for y in first if alike(x, y)) for x in first if x}
+    expected = {(d, n) for d, text in every for n, line in enumerate(text.split("\n")) if line.strip() and early[line.strip()] < (d, n)}
+    table = spark.createDataFrame(every, "doc_id long, text string")
+    found = [(r._doc, r._line) for r in line_dedup.removed_lines(table, tau=tau, exact=1).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert len([x for x in expected if x[1] == 3]) > 20 and len([x for x in expected if x[1] == 2]) == 69
+
+
 def test_dedup_lines_without_rows(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
