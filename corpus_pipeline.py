@@ -46,18 +46,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     name, copy = fresh(docs.columns, "_stay", "_copy")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    equal = Window.partitionBy("doc_id", F.hash("text")).orderBy("source", "lang", "n_chars")
+    equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
     return kept.withColumn(copy, F.row_number().over(equal)).where(F.col(copy) == 1).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, copies as rows of their own."""
     doc, source, version, number, copy = fresh(docs.columns, "_doc", "_source", "_version", "_uses", "_copy")
-    marked = docs.select("doc_id", "source", "text", F.hash("text").alias("version"))
+    marked = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("version"))
     uses = mix_sources(marked, also=["version"]).groupBy("doc_id", "source", "version").agg(F.sum("uses").alias("uses"))
     uses = uses.where("uses > 0").toDF(doc, source, version, number)
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.hash("text") == F.col(version))
-    equal = Window.partitionBy("doc_id", "source", F.hash("text")).orderBy("lang", "n_chars")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(version))
+    equal = Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy("lang", "n_chars")
     once = docs.join(uses.hint("merge"), same).withColumn(copy, F.row_number().over(equal)).where(F.col(copy) == 1)
     return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(docs.columns)
 

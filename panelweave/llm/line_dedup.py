@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int],
     where = removed_lines(docs, shortest, tau, exact)
     doc, version, gone = fresh(docs.columns, "_doc", "_version", "_gone")
     lost = where.groupBy("_doc", "_version").agg(F.collect_set("_line").alias("_gone")).toDF(doc, version, gone)
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.hash("text") == F.col(version))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(version))
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
@@ -80,7 +80,7 @@ def _without(text: Column, start: Column, size: Column) -> Column:
 
 def removed_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int], ...] = TAU, exact: int | None = None) -> DataFrame:
     """(_doc, _version, _line): the line occurrences that repeat an earlier one."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.hash("text").alias("_version"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_version"), "text")
     every = texts.select("_doc", "_version", F.posexplode(F.split("text", "\n", -1)).alias("_line", "line"))
     every = every.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\v\f"))).where(F.char_length("line") >= max(1, min(shortest, shortest if exact is None else exact)))
     every = every.withColumn("name", F.xxhash64("line"))

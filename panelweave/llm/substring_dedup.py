@@ -35,7 +35,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 8) -> DataFrame:
     are documents of their own; a null doc_id is a document like any other. Other columns are ignored.
     Words are compared by 64-bit hashes.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     repeats = _repeats(texts, span, k)
     ranges = repeats.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     ranges = ranges.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"))
@@ -94,7 +94,7 @@ def _repeats(texts: DataFrame, span: int, k: int) -> DataFrame:
                     names=["doc_id", "version", "gram", "content", "start", "size"],
                 )
 
-    schema = "doc_id long, version int, gram long, content long, start int, size int"
+    schema = "doc_id long, version long, gram long, content long, start int, size int"
     every = stage(texts.mapInArrow(runs, schema), "runs")
     seeds = stage(every.groupBy("gram").count().where("count > 1").select("gram"), "seeds")
     seeded = stage(every.join(seeds, "gram", "left_semi"), "seeded")
@@ -136,7 +136,7 @@ def _windows(texts: DataFrame, runs: DataFrame, span: int) -> DataFrame:
                 names=["window", "doc_id", "version", "start", "times"],
             )
 
-    return both.select("doc_id", "version", "packed", "start", "size", "gram", "times").mapInArrow(extend, "window long, doc_id long, version int, start int, times long")
+    return both.select("doc_id", "version", "packed", "start", "size", "gram", "times").mapInArrow(extend, "window long, doc_id long, version long, start int, times long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

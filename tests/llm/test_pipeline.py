@@ -9,8 +9,12 @@ import pytest
 pytest.importorskip("public_tokenizers")
 duckdb = pytest.importorskip("duckdb")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline as pipeline  # noqa: E402
+from panelweave.llm.line_dedup import dedup_lines  # noqa: E402
 from panelweave.llm.queries import ORACLE, QUERIES  # noqa: E402
+from panelweave.llm.substring_dedup import remove_repeats  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +65,24 @@ def test_stages_without_rows(spark, folder):
         assert out.count() == 0
 
 
+def test_texts_of_one_id_with_equal_short_hashes(spark, folder):
+    """Different texts without an id, alike in a 32-bit hash, are told apart."""
+    texts = spark.range(400_000).selectExpr("concat_ws(' ', sha2(string(id), 256), sha2(string(-id), 256)) AS text")
+    clash = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("both")).where("size(both) > 1").limit(3).collect()
+    assert clash
+    first, second = zip(*(r.both[:2] for r in clash), strict=True)
+    rows = [(None, t, "en", "s0", len(t)) for t in first + second]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").localCheckpoint()
+    assert {r.text for r in pipeline.near_duplicates(spark, docs, folder).collect()} == set(first + second)
+    mixed = collections.Counter(r.text for r in pipeline.mixture(spark, docs, folder).collect())
+    assert set(mixed) == set(first + second) and len(set(mixed.values())) == 1
+    lines = docs.unionByName(docs.selectExpr("-1L AS doc_id", "text", "lang", "source", "n_chars").where(F.col("text").isin(*first)))
+    removed = [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(lines).collect()]
+    assert sorted(removed, key=repr) == sorted([(None, t, 0) for t in first + second] + [(-1, "", 1) for t in first], key=repr)
+    kept = [(r.doc_id, r.kept) for r in remove_repeats(lines, 2, 2).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, "") for t in first] + [(None, t) for t in second] + [(-1, "") for t in first], key=repr)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_matches_sql(spark, key):
