@@ -87,11 +87,11 @@ def removed_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int
     lines = stage(every.select("_doc", "_version", "_line", "name"), "lines")
     first = F.min(F.struct("_doc", "_version", "_line")).alias("first")
     long = F.when(F.char_length("line") >= shortest, F.col("line"))
-    kinds = stage(every.groupBy("name").agg(first, F.count("*").alias("times"), F.first(long).alias("line")), "kinds")
+    kinds = stage(every.groupBy("name").agg(first, F.count("*").alias("times"), F.first(long).alias("line"), F.first(F.char_length(long)).alias("length")), "kinds")
 
     # An entry without shift or extra characters stands in the index and probes it, the others only probe.
     edits = {t for _, t in tau}
-    length = F.char_length("line")
+    length = F.col("length")
     fitting = F.filter(_plan(edits), lambda p: _edits(length - p["d"], tau) == p["t"])
 
     def entry(p: Column) -> Column:
@@ -103,22 +103,22 @@ def removed_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int
     entries = entries.select("e.key", "name", "e.p", (F.col("e.p.d") + F.abs("e.p.s") > 0).alias("probe"))
     chosen = stage(entries.join(_met(entries), "key"), "chosen")
     wanted = chosen.select("name").distinct()
-    text = stage(kinds.select("name", "line").join(wanted.hint("merge"), "name", "left_semi"), "texts")
+    text = stage(kinds.select("name", "line", "length").join(wanted.hint("merge"), "name", "left_semi"), "texts")
 
     pairs = _pairs(chosen.where("not crowded").select("key", "name", "probe", "p.d"))
     rest = _without(F.col("line"), *_segment(length - F.col("p.d"), F.col("p")))
-    crowded = chosen.where("crowded").join(text.hint("merge"), "name").select("key", "name", "probe", "p.t", "p.d", rest.alias("rest"))
+    crowded = chosen.where("crowded").join(text.hint("merge"), "name").select("key", "name", "probe", "p.t", "p.d", rest.alias("rest")).withColumn("size", F.char_length("rest") - F.col("d"))
     pairs = reduce(DataFrame.unionByName, _finer_pairs(crowded, edits), pairs).distinct()
-    left = text.select(F.col("name").alias("a"), F.col("line").alias("line_a"))
-    right = text.select(F.col("name").alias("b"), F.col("line").alias("line_b"))
-    allowed = _edits(F.least(F.char_length("line_a"), F.char_length("line_b")), tau)
+    left = text.select(F.col("name").alias("a"), F.col("line").alias("line_a"), F.col("length").alias("length_a"))
+    right = text.select(F.col("name").alias("b"), F.col("line").alias("line_b"), F.col("length").alias("length_b"))
+    allowed = _edits(F.least("length_a", "length_b"), tau)
     near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.call_function("levenshtein", F.col("line_a"), F.col("line_b"), allowed) >= 0)
     links = stage(near.select("a", "b"), "links")
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = kinds.select(F.col("name").alias("b"), F.col("first").alias("other"))
     earliest = both.join(other, "b").groupBy("a").agg(F.min("other").alias("other"))
-    repeated = kinds.drop("line").join(earliest, kinds["name"] == earliest["a"], "left").where("times > 1 or a is not null")
+    repeated = kinds.drop("line", "length").join(earliest, kinds["name"] == earliest["a"], "left").where("times > 1 or a is not null")
     earliest = stage(repeated.select("name", F.least("first", F.coalesce("other", "first")).alias("first")), "earliest")
     spots = lines.select("_doc", "_version", "_line", "name").join(earliest.hint("merge"), "name")
     return spots.where(F.struct("_doc", "_version", "_line") > F.col("first")).select("_doc", "_version", "_line")
@@ -132,10 +132,10 @@ def _met(entries: DataFrame) -> DataFrame:
 
 
 def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
-    """Pairs of crowded entries (key, name, probe, t, d, rest), whose rests are split until entries are not crowded."""
+    """Pairs of crowded entries (key, name, probe, t, d, rest, size), whose rests are split until entries are not crowded."""
     crowded = stage(crowded, "crowded")
     pairs = []
-    size = F.char_length("rest") - F.col("d")
+    size = F.col("size")
     for split in count(1):
         if crowded.isEmpty():
             return pairs
@@ -144,7 +144,7 @@ def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
         def entry(p: Column) -> Column:
             start, wide = _segment(size, p)
             key = F.xxhash64("key", p["i"], F.substring("rest", start + 1, wide))
-            return F.struct(key.alias("key"), (F.col("probe") | (p["s"] != 0)).alias("probe"), _without(F.col("rest"), start, wide).alias("rest"))
+            return F.struct(key.alias("key"), (F.col("probe") | (p["s"] != 0)).alias("probe"), _without(F.col("rest"), start, wide).alias("rest"), (size - wide).alias("size"))
 
         finer = crowded.select("name", "t", "d", F.explode(F.transform(fitting, entry)).alias("e")).select("e.*", "name", "t", "d")
         finer = stage(finer.join(_met(finer), "key"), "finer")
