@@ -20,6 +20,7 @@ from panelweave.llm.quotations import link_quotations
 from panelweave.llm.substring_dedup import kept_digest
 from panelweave.llm.tables import read
 from panelweave.llm.token_counts import attribute_tokens
+from panelweave.llm.whitening import whiten
 
 
 def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +92,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(read(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_forest": op1_hash_forest,
     "op2_quality": op2_quality,
@@ -102,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
 }
