@@ -13,6 +13,8 @@ from panelweave.llm.hash_forest import nearest
 from panelweave.llm.jaccard_join import similarity_components
 from panelweave.llm.line_dedup import dedup_lines
 from panelweave.llm.mixing import mix_sources
+from panelweave.llm.mixing import mix_sources
+from panelweave.llm.near_vectors import link_near_vectors
 from panelweave.llm.oracles import ORACLE
 from panelweave.llm.packing import pack_documents
 from panelweave.llm.quality import learn, score_quality
@@ -96,6 +98,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(read(spark, folder, "embeddings"))
 
 
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return link_near_vectors(read(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_forest": op1_hash_forest,
     "op2_quality": op2_quality,
@@ -108,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op12_near_vectors": op12_near_vectors,
 }
