@@ -17,6 +17,7 @@ from panelweave.llm.mixing import mix_sources
 from panelweave.llm.near_vectors import link_near_vectors
 from panelweave.llm.oracles import ORACLE
 from panelweave.llm.packing import pack_documents
+from panelweave.llm.prefix_trie import prefix_trie
 from panelweave.llm.quality import learn, score_quality
 from panelweave.llm.quotations import link_quotations
 from panelweave.llm.substring_dedup import kept_digest
@@ -102,6 +103,10 @@ def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return link_near_vectors(read(spark, folder, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(read(spark, folder, "conversations")).drop("turn_conv_id", "turn_place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_forest": op1_hash_forest,
     "op2_quality": op2_quality,
@@ -115,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
     "op12_near_vectors": op12_near_vectors,
+    "op13_prefix_trie": op13_prefix_trie,
 }
