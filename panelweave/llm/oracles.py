@@ -63,4 +63,43 @@ SELECT m.conv_id, m.turn, m.role, coalesce(content, '') AS content, parent AS pa
   row_number() OVER (PARTITION BY m.conv_id ORDER BY root, m.turn) - 1 AS position, n_quotes, n_linked, CAST(to_json({{'role': m.role, 'content': coalesce(content, '')}}) AS VARCHAR) AS message
 FROM mail m JOIN linked USING (conv_id, turn) JOIN tops USING (conv_id, turn) LEFT JOIN contents USING (conv_id, turn)"""
 
-ORACLE = {"op4_jaccard_join": OP4, "op6_quotations": OP6, "op9_substring_dedup": OP9, "op10_line_dedup": OP10}
+OP12 = """WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+OP13 = """WITH t AS MATERIALIZED (
+  SELECT conv_id, text, digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS place FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL)),
+c AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, x: list_reduce([xor(a, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, place, text, digest FROM c JOIN t ON t.conv_id = c.base AND place <= h
+  UNION ALL SELECT conv_id, 1, place, text, digest FROM c JOIN t USING (conv_id) WHERE place > h),
+p AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, string_agg(digest, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS MATERIALIZED (SELECT path, max(depth) AS depth, min(conv_id) AS least, count(*) AS n_convs, max(chars) AS chars FROM p GROUP BY 1),
+k AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY 1) GROUP BY 1),
+below AS (SELECT p.path, sum((v.n_convs - 1) * v.chars) AS saved, count(*) FILTER (k.path IS NULL) AS leaves
+  FROM n v LEFT JOIN k ON k.path = v.path JOIN p ON p.conv_id = v.least AND p.depth <= v.depth GROUP BY 1)
+SELECT n.least AS conv_id, n.depth, up.least AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, below.leaves AS n_leaves,
+  below.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN below USING (path) LEFT JOIN k USING (path) LEFT JOIN e USING (path)
+LEFT JOIN n up ON n.depth > 0 AND up.path = left(n.path, length(n.path) - 64)"""
+
+ORACLE = {
+    "op4_jaccard_join": OP4,
+    "op6_quotations": OP6,
+    "op9_substring_dedup": OP9,
+    "op10_line_dedup": OP10,
+    "op12_near_vectors": OP12,
+    "op13_prefix_trie": OP13,
+}
