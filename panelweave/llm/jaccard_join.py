@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.components import connected_components
-from panelweave.llm.tables import drop_staged, packed_texts, stage, unpacked
+from panelweave.llm.tables import attach_spread, drop_staged, packed_texts, stage, unpacked
 from panelweave.llm.words import shingle_sets, slices
 
 #: Shingles whose frequency the order knows. The table is broadcast, so its size is fixed: 16 bytes each.
@@ -27,6 +27,8 @@ FREQUENT = 100_000
 #: Hashes that a task counts at once; repeats inside such a window are reported.
 WINDOW = 1 << 20
 LONGEST_MATCH = 6
+#: Bits of the filter of documents whose texts are wanted.
+FILTER_BITS = 1 << 23
 #: Cost of verifying a pair, in entries of the index read.
 VERIFY_COST = 32
 
@@ -41,19 +43,43 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     never names a component unless nothing else is in it. Other columns are ignored. Sets hold 64-bit
     hashes; verification compares 48 bits of them.
     """
+    nodes, named = _labelled(docs, k, percent)
+    joined = attach_spread(nodes, named.select("node", "component_id", "rows"), "node")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, version) of the document that stays of each group linked as in ``similarity_components``.
+
+    ``version`` is the text's 64-bit hash: rows with one doc_id or none and different texts are documents of their own.
+    The smallest doc_id stays (one with an id rather than one without), then the smallest version. Documents without
+    shingles all stay. Each pair is one row.
+    """
+    nodes, named = _labelled(docs, k, percent)
+    joined = attach_spread(nodes, named.select("node", "component", "rows"), "node")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("first")
+    kept = joined.where("n_shingles > 0").groupBy("component").agg(least).select("first.doc_id", "first.version")
+    return kept.unionByName(joined.where("n_shingles = 0").select("doc_id", "version").distinct())
+
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, version, node, n_shingles), no node without shingles; each node's (node, component, component_id, rows). Written."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = _prefixes(docs, k, percent)
-    nodes = stage(every.select("doc_id", "node", "n_shingles"), "nodes")
-    classes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = stage(every.select("doc_id", "version", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles"), "nodes")
+    classes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     postings = _repeated_postings(every)
     drop_staged(every)
-    pairs = stage(_pivot_pairs(postings, percent), "pairs")
+    pairs = _pivot_pairs(postings, percent)
     sets = _sets(docs, classes, pairs, k)
     links = _verified(pairs, sets, percent)
+    drop_staged(pairs)
     first = connected_components(links)
-    pairs = stage(_pairs_across(postings, first, percent), "pairs")
+    pairs = _pairs_across(postings, first, percent)
+    drop_staged(postings)
     more = _sets(docs, classes, pairs, k, sets)
     rest = _verified(pairs, sets.unionByName(more), percent)
+    drop_staged(pairs, sets, more)
     found = connected_components(links.unionByName(rest)) if not rest.isEmpty() else first
     label = (
         classes.join(found, "node", "left")
@@ -61,9 +87,8 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
         .groupBy("component")
         .agg(F.min("doc_id").alias("component_id"))
     )
-    named = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(label, "component")
-    joined = nodes.join(named.select("node", "component_id").hint("merge"), "node", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(found, "node", "left").select("node", "rows", F.coalesce("component", "node").alias("component")).join(label, "component")
+    return nodes, stage(named.select("node", "component", "component_id", "rows"), "named")
 
 
 def _set_hash(hashes: np.ndarray) -> int:
@@ -126,7 +151,7 @@ def _match_count(extra: np.ndarray, free: int, n: int) -> int:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, node, n_shingles, matches, prefix): each row's set by name, and its prefix. Written."""
+    """(doc_id, version, node, n_shingles, matches, prefix): each row's set by name, and its prefix. Written."""
     tokens, counts = _frequent(docs, k)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +177,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     matches.append(m)
                     prefixes.append(hashes[order[: free + m]].tobytes())
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "node", "n_shingles", "matches", "prefix"],
+                    [part.column("doc_id"), part.column("version"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())],
+                    names=["doc_id", "version", "node", "n_shingles", "matches", "prefix"],
                 )
 
-    schema = "doc_id long, node long, n_shingles long, matches int, prefix binary"
-    return stage(docs.mapInArrow(rows, schema), "prefixes")
+    schema = "doc_id long, version long, node long, n_shingles long, matches int, prefix binary"
+    return stage(docs.withColumn("version", F.xxhash64("text")).mapInArrow(rows, schema), "prefixes")
 
 
 def _repeated_postings(every: DataFrame) -> DataFrame:
@@ -187,12 +212,34 @@ def _repeated_postings(every: DataFrame) -> DataFrame:
     return kept
 
 
+def _wanted_bits(ids: DataFrame) -> np.ndarray:
+    """Which hashes modulo FILTER_BITS the ids have; of fixed size, so it tells less and less of very many ids."""
+    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    words = bits.groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
-    """(node, hashes): whole sets of the nodes in ``pairs``, as 48-bit numbers, but for those in ``known``. Written."""
+    """(node, hashes): whole sets of the nodes in ``pairs``, as 48-bit numbers, but for those in ``known``, each once. Written.
+
+    Texts are chosen by doc_id. Most others are left out before the exchange, by a filter of fixed size. A doc_id may have
+    several texts: what is not the set of a wanted node goes.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = wanted.join(known.select("node"), "node", "left_anti") if known is not None else wanted
-    ids = stage(classes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "wanted")
-    texts = packed_texts(docs)
+    wanted = stage(classes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("id")), "wanted")
+    ids = wanted.select("id").distinct()
+    bits = _wanted_bits(ids)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            yield batch.filter(pa.array(bits[bit // 32] >> (bit % 32).astype(np.uint32) & 1 == 1)).select(["doc_id", "text"])
+
+    hashed = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    texts = packed_texts(hashed.mapInArrow(asked, "doc_id long, text string"))
     chosen = texts.join(ids.hint("merge"), texts.doc_id.eqNullSafe(ids.id), "left_semi").select("packed")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +248,10 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, known:
             short = [x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for x in sets]
             yield pa.record_batch([pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array(short, pa.binary())], names=["node", "hashes"])
 
-    return stage(chosen.mapInArrow(rows, "node long, hashes binary"), "sets")
+    found = chosen.mapInArrow(rows, "node long, hashes binary").join(wanted.select("node").hint("merge"), "node", "left_semi")
+    sets = stage(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    drop_staged(wanted)
+    return sets
 
 
 def _near(percent: int) -> Column:
@@ -232,30 +282,36 @@ def _side(postings: DataFrame, name: str, *more: str) -> DataFrame:
 def _pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each node with one node of each of its tokens: linear in the postings, however many share a token.
 
-    A token's pivot is the node whose prefix is shared most, in a group of near copies the least edited one.
+    A token's pivot is the node whose prefix is shared most, in a group of near copies the least edited one. Written.
     """
     counted = stage(postings.join(postings.groupBy("node").agg(F.count("*").alias("known")), "node"), "counted")
     best = F.max(F.struct((F.col("known") * 1000 / F.col("n")).cast("int").alias("known"), "node", "n", "matches", "place")).alias("p")
     pivot = stage(counted.groupBy("token").agg(best).select("token", "p.*"), "pivots")
-    return _matched(_side(postings, "a").join(_side(pivot, "b").hint("merge"), "token").where((F.col("a") != F.col("b")) & _near(percent)))
+    drop_staged(counted)
+    pairs = stage(_matched(_side(postings, "a").join(_side(pivot, "b").hint("merge"), "token").where((F.col("a") != F.col("b")) & _near(percent))), "pairs")
+    drop_staged(pivot)
+    return pairs
 
 
 def _pairs_across(postings: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes in different components that share tokens.
 
     Tokens inside one component are done. Elsewhere the rows of a token's largest component meet only the other
-    rows, never each other, so a large group of copies beside some strangers costs its size times their number.
+    rows, never each other, so a large group of copies beside some strangers costs its size times their number. Written.
     """
     labelled = postings.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = stage(labelled.join(open_tokens.hint("merge"), "token", "left_semi"), "open")
-    sizes = rows.groupBy("token", "component").count()
+    opened = stage(labelled.join(open_tokens.hint("merge"), "token", "left_semi"), "open")
+    sizes = opened.groupBy("token", "component").count()
     major = sizes.groupBy("token").agg(F.max(F.struct("count", "component"))["component"].alias("major"))
-    rows = stage(rows.join(major.hint("merge"), "token").withColumn("minor", F.col("component") != F.col("major")), "open")
+    rows = stage(opened.join(major.hint("merge"), "token").withColumn("minor", F.col("component") != F.col("major")), "open")
+    drop_staged(opened)
     left = _side(rows.where("minor"), "a", "component")
     right = _side(rows, "b", "component", "minor")
     apart = (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
-    return _matched(left.join(right.hint("merge"), "token").where(apart & _near(percent)))
+    pairs = stage(_matched(left.join(right.hint("merge"), "token").where(apart & _near(percent))), "pairs")
+    drop_staged(rows)
+    return pairs
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

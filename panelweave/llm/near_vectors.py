@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.components import connected_components
-from panelweave.llm.tables import drop_staged, stage
+from panelweave.llm.tables import attach_spread, drop_staged, stage
 
 SEED = 12
 #: Width of a hash, in distances of unit vectors at the threshold.
@@ -37,8 +37,6 @@ WANTED = 0.99
 CROWDED, CHUNK, CELL = 64, 2048, 8
 #: Unit vectors and directions are whole numbers of these bits, so that products are exact in any order.
 UNIT_BITS, PLANE_BITS = 20, 10
-#: A key with more than this share of the rows is joined by a broadcast of such keys, of which there are 1,000 at most.
-HOT_SHARE = 1000
 #: Angles are compared with this margin.
 MARGIN = 1e-8
 
@@ -208,22 +206,6 @@ def _sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def attach_spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join of ``table`` (one row per key, with a column ``rows``: how many of ``rows`` have it) that spreads hot keys.
-
-    Keys with more than one in HOT_SHARE of all rows are at most HOT_SHARE; they are broadcast, so rows with them are
-    never sent to one task.
-    """
-    total = table.agg(F.sum("rows")).first()[0] or 0
-    values = [c for c in table.columns if c not in (key, "rows")]
-    hot = table.where(F.col("rows") * HOT_SHARE > total).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
-    rest = table.where(F.col("rows") * HOT_SHARE <= total).select(F.col(key).alias("_cold"), *values)
-    first = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    done = first.where(F.col("_hot").isNotNull() | F.col(key).isNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in values])
-    other = first.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*rows.columns)
-    return done.unionByName(other.join(rest, F.col(key) == F.col("_cold"), "left").select(*rows.columns, *values))
-
-
 def link_near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, embedding) -> vec_id, n_links, component_id, kept: one row per row of ``vectors``.
 

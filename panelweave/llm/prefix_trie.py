@@ -21,8 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.near_vectors import attach_spread
-from panelweave.llm.tables import drop_staged, stage
+from panelweave.llm.tables import attach_spread, drop_staged, stage
 from panelweave.operators.groupwise import input_bytes
 
 #: Two primes below 2**31, whose products fit a long; together they give a fingerprint of 62 bits.

@@ -14,13 +14,16 @@ from panelweave import session
 from panelweave.llm.words import slices
 from panelweave.session import shared_folder
 
-__all__ = ["drop_staged", "fresh", "packed_texts", "prepare", "read", "shared_folder", "stage", "unpacked", "word_count"]
+__all__ = ["attach_spread", "drop_staged", "fresh", "packed_texts", "prepare", "read", "shared_folder", "stage", "unpacked", "word_count"]
 
 #: Rows of a batch that goes to Python. Texts are long: the usual ten thousand of them take tens of megabytes several times.
 BATCH_ROWS = 1000
 #: Makes Spark delete the shuffle files of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Of a join's rows, the share from which a key is hot: one in so many, hence there are so many hot keys at most.
+HOT_SHARE = 1000
+
 #: What every operator of this package takes as a word, as a regular expression of Java's.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,3 +96,19 @@ def drop_staged(*tables: DataFrame) -> None:
         for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def attach_spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``table`` (one row per key, with a column ``rows``: how many of ``rows`` have it) that spreads hot keys.
+
+    Keys with more than one in HOT_SHARE of all rows are at most HOT_SHARE; they are broadcast, so rows with them are
+    never sent to one task, nor are rows without a key. ``rows`` is read twice.
+    """
+    total = table.agg(F.sum("rows")).first()[0] or 0
+    values = [c for c in table.columns if c not in (key, "rows")]
+    hot = table.where(F.col("rows") * HOT_SHARE > total).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+    rest = table.where(F.col("rows") * HOT_SHARE <= total).select(F.col(key).alias("_cold"), *values)
+    first = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    done = first.where(F.col("_hot").isNotNull() | F.col(key).isNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in values])
+    other = first.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*rows.columns)
+    return done.unionByName(other.join(rest, F.col(key) == F.col("_cold"), "left").select(*rows.columns, *values))

@@ -72,7 +72,7 @@ def test_texts_of_one_id_with_equal_short_hashes(spark, folder):
     assert clash
     first, second = zip(*(r.both[:2] for r in clash), strict=True)
     rows = [(None, t, "en", "s0", len(t)) for t in first + second]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").localCheckpoint()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").cache()
     assert {r.text for r in pipeline.near_duplicates(spark, docs, folder).collect()} == set(first + second)
     mixed = collections.Counter(r.text for r in pipeline.mixture(spark, docs, folder).collect())
     assert set(mixed) == set(first + second) and len(set(mixed.values())) == 1
@@ -83,11 +83,28 @@ def test_texts_of_one_id_with_equal_short_hashes(spark, folder):
     assert sorted(kept, key=repr) == sorted([(None, "") for t in first] + [(None, t) for t in second] + [(-1, "") for t in first], key=repr)
 
 
+def test_near_copies_without_an_id_or_sharing_one(spark, folder, prose):
+    """Documents are told by id and text: of each group one stays, whatever its ids."""
+    base, other, third = prose(1, 130), prose(2, 90), prose(3, 70)
+    copy = base.rsplit(" ", 2)[0]
+    rows = [(None, base), (None, copy), (None, other), (None, None), (None, None), (7, third), (7, third + " more"), (8, third), (9, prose(4, 80)), (9, prose(5, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, folder).collect()]
+    assert len([t for i, t in kept if i is None and t in (base, copy)]) == 1
+    assert sorted((i, t) for i, t in kept if i == 9) == sorted((i, t) for i, t in rows if i == 9)
+    assert len([t for i, t in kept if i in (7, 8)]) == 1 and not any(i == 8 for i, _ in kept)
+    assert (None, other) in kept and kept.count((None, None)) == 1 and len(kept) == 6
+    # doc_id 2 has a near copy of document 1 and a text of its own.
+    mixed = [(1, base), (2, copy), (2, other)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in mixed], docs.schema)
+    assert sorted((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, folder).collect()) == sorted([(1, base), (2, other)])
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_matches_sql(spark, key):
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     df = QUERIES[key](spark, FOLDER)
     cursor = con.execute(ORACLE[key])

@@ -59,6 +59,20 @@ def test_similarity_components_without_rows(no_docs):
     assert jaccard_join.similarity_components(no_docs).count() == 0
 
 
+def test_one_id_with_many_rows_gives_each_set_once(spark, prose, monkeypatch):
+    """A third of the rows have one doc_id and two texts by turns: two sets are compared, once."""
+    words = prose(1, 120).split(" ")
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    rows = [(1, texts[i % 2]) for i in range(300)] + [(i, prose(i, 40)) for i in range(10, 50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, sets, percent: seen.append((pairs.count(), sets.count())) or plain(pairs, sets, percent))
+    out = jaccard_join.similarity_components(table, 4, 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == sorted((i, i) for i, _ in rows)
+    assert seen[0] == (1, 2)
+
+
 def test_similarity_components_bridged_groups(spark, monkeypatch):
     """Two groups of near copies joined by one pair, whose shared shingles are held mostly by either group."""
     longest = jaccard_join.LONGEST_MATCH
