@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.jaccard_join import similarity_components
+from panelweave.llm.jaccard_join import first_of_each
 from panelweave.llm.line_dedup import dedup_lines
 from panelweave.llm.mixing import mix_sources
 from panelweave.llm.packing import pack_documents
@@ -40,12 +40,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with word shingles alike, the one with the smallest doc_id stays, and of equal rows one."""
+    """Of each group of documents with word shingles alike, the one with the smallest doc_id stays, and of equal rows one.
+
+    Rows that share a doc_id, or have none, are documents by their text. Texts without words all stay.
+    """
     prepare(spark)
-    found = similarity_components(docs, k=5, percent=80)
-    name, copy = fresh(docs.columns, "_stay", "_copy")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    doc, version, copy = fresh(docs.columns, "_doc", "_version", "_copy")
+    stay = first_of_each(docs, k=5, percent=80).toDF(doc, version)
+    kept = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(version)), "left_semi")
     equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
     return kept.withColumn(copy, F.row_number().over(equal)).where(F.col(copy) == 1).select(docs.columns)
 
