@@ -36,31 +36,30 @@ COST_METRICS = [
 ]
 
 
-def split_boundaries(daily: DataFrame, train_fraction: float, holdout_fraction: float) -> DataFrame:
+def split_boundaries(daily: DataFrame, train_fraction: float | Column, holdout_fraction: float | Column) -> DataFrame:
     """One row per variant: n, split_idx, validation_idx, holdout_idx (null when disabled) and their dates.
 
-    Variants without enough dates keep a row with ``splittable`` false and null boundaries.
+    A fraction may be a column that is the same in all rows of a variant; a holdout of 0 disables it. Variants without
+    enough dates keep a row with ``splittable`` false and null boundaries.
     """
     # A window per variant over its rebalance dates: bounded by the calendar.
     order = Window.partitionBy("variant").orderBy("date_idx")
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     rows = daily.where(F.col("net_return").isNotNull()).select(
         "variant",
         "date",
         "date_idx",
         (F.row_number().over(order) - 1).alias("pos"),
         F.count(F.lit(1)).over(Window.partitionBy("variant")).alias("n"),
+        as_column(train_fraction).alias("tf"),
+        as_column(holdout_fraction).alias("hf"),
     )
-    n = F.col("n")
-    if holdout_fraction <= 0.0:
-        train = F.least(F.greatest(F.floor(n * train_fraction), F.lit(1)), n - 2)
-        placed = rows.withColumns({"train_pos": train, "holdout_pos": F.lit(None).cast("long")})
-        enough = n >= 4
-    else:
-        holdout = n - F.greatest(F.lit(1), F.ceil(n * holdout_fraction))
-        placed = rows.withColumn("holdout_pos", holdout)
-        train = F.least(F.greatest(F.floor(n * train_fraction), F.lit(0)), F.col("holdout_pos") - 2)
-        placed = placed.withColumn("train_pos", train)
-        enough = F.col("holdout_pos") - 2 >= 0
+    n, two = F.col("n"), F.col("hf") <= 0.0
+    placed = rows.withColumn("holdout_pos", F.when(~two, n - F.greatest(F.lit(1), F.ceil(n * F.col("hf")))))
+    wanted = F.floor(n * F.col("tf"))
+    train = F.when(two, F.least(F.greatest(wanted, F.lit(1)), n - 2)).otherwise(F.least(F.greatest(wanted, F.lit(0)), F.col("holdout_pos") - 2))
+    placed = placed.withColumn("train_pos", train)
+    enough = F.when(two, n >= 4).otherwise(F.col("holdout_pos") - 2 >= 0)
 
     def at(position: Column, column: str, name: str) -> Column:
         return F.max(F.when(enough & (F.col("pos") == position), F.col(column))).alias(name)
@@ -163,9 +162,11 @@ def summarize(rows: DataFrame, keys: list[str], extra: list[Column] | None = Non
     return base.select(*keys, *others, *named)
 
 
-def split_metrics(daily: DataFrame, train_fraction: float, holdout_fraction: float) -> DataFrame:
+def split_metrics(
+    daily: DataFrame, train_fraction: float | Column, holdout_fraction: float | Column, boundaries: DataFrame | None = None
+) -> DataFrame:
     """(variant, split, metrics) for every split of every variant; an empty split gives a row of zeros."""
-    boundaries = split_boundaries(daily, train_fraction, holdout_fraction)
+    boundaries = split_boundaries(daily, train_fraction, holdout_fraction) if boundaries is None else boundaries
     rows = explode_splits(with_boundaries(daily, boundaries))
     found = summarize(rows, ["variant", "split"])
     names = F.explode(F.array(*[F.lit(s) for s in split_names()])).alias("split")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import replace
+from dataclasses import fields, replace
 
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from panelweave.config import RANDOM_BASELINE, ResearchConfig, Strategy
 from panelweave.functions.numeric import ERF_SMALL, ERFC_LARGE, ERFC_MIDDLE, MIDDLE_UP_TO, SMALL_UP_TO
 from panelweave.operators import borrow as bor
 from panelweave.operators import evaluate, portfolio, variants
+from panelweave.plans.batch import COMPARED, TOO_SHORT, Batch, parse_settings
 from panelweave.plans.catalog import fixtures as fx
 from panelweave.plans.catalog.signals import MIN_LIQUIDITY, RANDOM_SQL, SIGNALS
 from panelweave.plans.research import Research
@@ -58,7 +59,9 @@ BASELINES = replace(AGENT, baselines=FULL.baselines)
 STRESS = replace(AGENT, sector_neutral=True, liquidity_min_rank=MIN_LIQUIDITY)
 
 
+ALL_METRICS = [*evaluate.PERFORMANCE_METRICS[1:], *evaluate.COST_METRICS]
 _RUNS: dict[tuple[str, str], Research] = {}
+_BATCHES: dict[tuple[str, str], Batch] = {}
 
 
 def full_run(spark, sf) -> Research:
@@ -69,6 +72,48 @@ def full_run(spark, sf) -> Research:
     return Research(panel, FULL, locates, may_short)
 
 
+# Configurations of the batch: three that run, one whose dates do not suffice and two that are invalid.
+_VALUES = {f.name: getattr(AGENT, f.name) for f in fields(AGENT)}
+_REVERSAL = Strategy("agent_signal", ["reversal_5d"], [])
+BATCH = {
+    "base": _VALUES | {"baselines": FULL.baselines[:1]},
+    "slow": _VALUES | {"holding_period": 10, "rebalance_days": 7, "quantile": 0.3, "transaction_cost_bps": 20.0, "train_fraction": 0.6, "holdout_fraction": 0.2},
+    "too_wide": _VALUES | {"quantile": 0.6},
+    "reversal": _VALUES | {"signal": {"name": "agent_signal", "positive": ["reversal_5d"]}, "holding_period": 3, "borrow_fee_bps": 10.0},
+    "sparse": _VALUES | {"rebalance_days": 100_000},
+    "unknown": _VALUES | {"signal": {"name": "agent_signal", "negative": ["no_such_factor"]}},
+}
+BATCH_INVALID = {"too_wide": "quantile must be between 0 and 0.5", "unknown": "unknown factors requested: ['no_such_factor']"}
+
+
+def batch(spark, sf) -> Batch:
+    """The session's batch over the same panel, locates and shorting rule as the full run; its tables are made once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BATCHES:
+        full = full_run(spark, sf)
+        _BATCHES[key] = Batch(full.panel, BATCH, full.borrow, full.may_short)
+    return _BATCHES[key]
+
+
+def batch_sql(tail: str) -> str:
+    """Each configuration that can run as a run of its own; ``tail`` reads done (config, variants, name, family, split, metrics)."""
+    parts = []
+    for name, values in BATCH.items():
+        if name not in BATCH_INVALID:
+            config = parse_settings(values)
+            own = {"agent_signal": "round(pct_reversal_5d, 12)"} if name == "reversal" else _SIGNAL_SQL
+            columns = f"(SELECT count(*) FROM bounds) AS fitting, name, family, split, observations, {', '.join(ALL_METRICS)}"
+            parts.append(f"SELECT '{name}' AS config, {len(config.variants())} AS wanted, * FROM ({run_sql(config, f'SELECT {columns} FROM metrics', own)}) m_{name}")
+    errors = {name: "'" + error.replace("'", "''") + "'" for name, error in BATCH_INVALID.items()}
+    asked = ", ".join(f"('{name}', {i}, {errors.get(name, 'NULL')})" for i, name in enumerate(BATCH))
+    return f"""WITH every AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+done AS (SELECT * FROM every WHERE fitting = wanted),
+asked(config, place, invalid) AS (VALUES {asked}),
+outcomes AS (SELECT config, place, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, error FROM (
+  SELECT config, place, coalesce(invalid, CASE WHEN config NOT IN (SELECT config FROM done) THEN '{TOO_SHORT}' END) AS error FROM asked))
+{tail}"""
+
+
 def run(spark, sf, config: ResearchConfig) -> Research:
     """View of the session's full run for one configuration; its written tables are made once per session."""
     key = (spark.sparkContext.applicationId, sf)
@@ -125,12 +170,12 @@ def metrics_sql(rows: str, keys: str, extra: str = "") -> str:
     SELECT *, product(1 + net) OVER (PARTITION BY {keys} ORDER BY di) AS equity FROM {rows}) e) p GROUP BY {keys}"""
 
 
-def run_sql(config: ResearchConfig, tail: str) -> str:
+def run_sql(config: ResearchConfig, tail: str, signal_sql: dict[str, str] = _SIGNAL_SQL) -> str:
     grid = config.variants()
     positions = list({v.position: v for v in grid}.values())
     aligned = "\n  UNION ALL ".join(
-        f"SELECT '{v.position}' AS position, date, di, symbol, symbol_no, {_SIGNAL_SQL[v.strategy]} AS signal, fwd_{v.holding_period} AS fwd, adv, can_short, fee, "
-        f"{v.quantile}::DOUBLE AS q, {v.holding_period} AS h FROM wide WHERE {_SIGNAL_SQL[v.strategy]} IS NOT NULL AND fwd_{v.holding_period} IS NOT NULL"
+        f"SELECT '{v.position}' AS position, date, di, symbol, symbol_no, {signal_sql[v.strategy]} AS signal, fwd_{v.holding_period} AS fwd, adv, can_short, fee, "
+        f"{v.quantile}::DOUBLE AS q, {v.holding_period} AS h FROM wide WHERE {signal_sql[v.strategy]} IS NOT NULL AND fwd_{v.holding_period} IS NOT NULL"
         for v in positions
     )
     names = ", ".join(
@@ -318,9 +363,6 @@ def spl_3(spark, sf):
     )
 
 
-ALL_METRICS = [*evaluate.PERFORMANCE_METRICS[1:], *evaluate.COST_METRICS]
-
-
 @entry("spl_4_split_metrics", run_sql(AGENT, f"SELECT variant, split, observations, {sql6(*ALL_METRICS)} FROM metrics"))
 def spl_4(spark, sf):
     return fx.rounded(run(spark, sf, AGENT).metrics, *ALL_METRICS).select("variant", "split", "observations", *ALL_METRICS)
@@ -613,3 +655,38 @@ def val_6_table(spark, sf):
     )
     checks = fx.run_rows(spark, sf).select("run_id", F.explode(rows).alias("c")).select("run_id", "c.*")
     return verdicts(checks, ["run_id"]).withColumn("reasons", F.concat_ws(" ", "reasons"))
+
+
+# ---------------------------------------------------------------- batches
+
+
+@entry(
+    "snk_4_batch_summary",
+    batch_sql(
+        """SELECT CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'completed' END AS status, string_agg(config, ',' ORDER BY place) AS requested_configs,
+count(*) FILTER (WHERE status = 'completed') AS successful_runs, count(*) FILTER (WHERE status = 'failed') AS failed_runs,
+string_agg(config, ',' ORDER BY place) FILTER (WHERE status = 'completed') AS run_ids,
+string_agg(concat(config, ': ', error), '; ' ORDER BY place) FILTER (WHERE status = 'failed') AS failures FROM outcomes"""
+    ),
+)
+def snk_4(spark, sf):
+    out = batch(spark, sf).summary()
+    failures = F.array_join(F.transform("failures", lambda x: F.concat(x["config"], F.lit(": "), x["error"])), "; ")
+    counts = [F.col(c).cast("long").alias(c) for c in ("successful_runs", "failed_runs")]
+    return out.select("status", F.array_join("requested_configs", ",").alias("requested_configs"), *counts, F.array_join("run_ids", ",").alias("run_ids"), failures.alias("failures"))
+
+
+@entry("snk_4_batch_metrics", batch_sql(f"SELECT config, name, family, split, observations, {sql6(*ALL_METRICS)} FROM done"))
+def snk_4_metrics(spark, sf):
+    return fx.rounded(batch(spark, sf).metrics, *ALL_METRICS).select("config", "name", "family", "split", "observations", *ALL_METRICS)
+
+
+@entry(
+    "snk_4_batch_comparison",
+    batch_sql(
+        f"""SELECT config AS run_id, {', '.join(f'round({c}, 6) AS test_{c}' for c in COMPARED)}, row_number() OVER (ORDER BY sharpe DESC, config) AS rank
+FROM done WHERE family = 'primary' AND split = 'test'"""
+    ),
+)
+def snk_4_comparison(spark, sf):
+    return fx.rounded(batch(spark, sf).comparison("sharpe"), *[f"test_{c}" for c in COMPARED])

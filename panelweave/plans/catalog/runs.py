@@ -413,13 +413,3 @@ def snk_3(spark, sf):
     sinks.export_registry(registry(spark, sf), path, 1000)
     back = spark.read.schema("run_id string, generated_at string, test_sharpe double").json(path)
     return fx.rounded(back, "test_sharpe")
-
-
-@entry(
-    "snk_4_batch_summary",
-    f"""WITH {fx.RUNS}, o AS (SELECT CASE WHEN verdict = 'REJECT' THEN 'failed' ELSE 'succeeded' END AS status FROM runs)
-SELECT status, count(*) AS configs FROM o GROUP BY 1 UNION ALL SELECT 'requested', count(*) FROM o""",
-)
-def snk_4(spark, sf):
-    status = F.when(F.col("verdict") == "REJECT", "failed").otherwise("succeeded").alias("status")
-    return sinks.batch_summary(fx.run_rows(spark, sf).select("run_id", status))

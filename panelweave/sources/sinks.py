@@ -1,4 +1,4 @@
-"""Sinks: experiment rows replaced by key, registry export and batch summaries."""
+"""Sinks: experiment rows replaced by key and registry export. Batches write themselves (``plans/batch.py``)."""
 
 from __future__ import annotations
 
@@ -55,10 +55,3 @@ def export_registry(registry: DataFrame, path: str, limit: int = 1000) -> None:
     from panelweave.operators.runs import latest_runs
 
     latest_runs(registry, limit).write.mode("overwrite").json(path)
-
-
-def batch_summary(outcomes: DataFrame) -> DataFrame:
-    """(status, configs) plus the total; ``outcomes`` has one row per requested configuration."""
-    counted = outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("configs"))
-    total = outcomes.agg(F.lit("requested").alias("status"), F.count(F.lit(1)).alias("configs"))
-    return counted.unionByName(total)
