@@ -9,13 +9,14 @@ window partition is bounded by the calendar, whatever the size of the panel.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelweave.functions import correlation, ratio
-from panelweave.operators.groupwise import needs_split, spread, value_positions, with_average_rank
-
+from panelweave.functions import ratio
+from panelweave.operators.groupwise import needs_split, spread, with_average_rank
+from panelweave.session import stage
 
 # Ties are decided on values rounded to this many decimals, as everywhere (see ``signals``).
 TIE_DECIMALS = 12
@@ -192,46 +193,62 @@ def factor_coverage(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+#: Null patterns that are looked at to find pairs with the same rows; beyond it each pair is ranked on its own.
+MOST_PATTERNS = 4096
+
+
 def redundant_pairs(
     df: DataFrame, names: list[str], threshold: float = 0.75, min_rows: int = 30, split: bool | None = None
 ) -> DataFrame:
     """Factor pairs whose pairwise-complete Spearman correlation is at least ``threshold`` in size.
 
-    The ranks run over the whole panel, one group per pair, so the split plan is the normal one on
-    a large panel.
+    Ranks of a pair run over the rows that have both factors, over the whole panel. Pairs with the same rows share a
+    mask, and a factor is ranked once in each mask it has pairs in. All products of centred ranks are summed in one
+    aggregate. A pair that does not vary, or has fewer than ``min_rows`` rows, is left out.
     """
+    split = needs_split(df, split)
+    row = F.monotonically_increasing_id().alias("__row")  # written, hence pinned
+    wide = stage(df.select(row, *[F.round(F.col(n), TIE_DECIMALS).alias(n) for n in names]), "factors")
+    masks = _pair_masks(wide, names)
+    entries = []
+    for mask, pairs in enumerate(masks):
+        complete = F.col(pairs[0][0]).isNotNull() & F.col(pairs[0][1]).isNotNull()
+        for name in dict.fromkeys(n for pair in pairs for n in pair):
+            entries.append(F.when(complete, F.struct(F.lit(mask).alias("mask"), F.lit(names.index(name)).alias("factor"), F.col(name).alias("x"))))
+    if not entries:
+        return df.sparkSession.createDataFrame([], "first string, second string, correlation double, n_rows long")
+    long = wide.select("__row", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("__row", "e.*")
+    ranked = with_average_rank(long, ["mask", "factor"], {"r": "x"}, {"n": "x"}, split=split)
+    # Average ranks have the mean (n + 1) / 2 whatever the ties.
+    centred = ranked.withColumn("c", F.col("r") - (F.col("n") + 1) / 2.0)
+    by_row = centred.groupBy("__row", "mask").agg(*[F.max(F.when(F.col("factor") == i, F.col("c"))).alias(f"c{i}") for i in range(len(names))])
+    used = sorted({(names.index(a), names.index(b)) for pairs in masks for a, b in pairs})
+    single = sorted({i for pair in used for i in pair})
+    products = [F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in [*used, *[(i, i) for i in single]]]
+    sums = by_row.groupBy("mask").agg(F.count(F.lit(1)).alias("n_rows"), *products)
+
+    def found(pairs: list[tuple[str, str]]) -> Column:
+        rows = []
+        for a, b in pairs:
+            i, j = names.index(a), names.index(b)
+            size = F.sqrt(F.col(f"p{i}_{i}")) * F.sqrt(F.col(f"p{j}_{j}"))
+            rows.append(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (F.col(f"p{i}_{j}") / F.nullif(size, F.lit(0.0))).alias("correlation")))
+        return F.array(*rows)
+
+    chosen = reduce(lambda out, item: F.when(F.col("mask") == item[0], found(item[1])).otherwise(out), enumerate(masks), F.lit(None))
+    pairs = sums.select("n_rows", F.explode(chosen).alias("p")).select("p.*", "n_rows")
+    return pairs.where((F.col("n_rows") >= min_rows) & (F.abs("correlation") >= threshold))
+
+
+def _pair_masks(wide: DataFrame, names: list[str]) -> list[list[tuple[str, str]]]:
+    """Pairs of factors in classes that have the same rows, by the null patterns of the panel."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    both = F.array(
-        *[
-            F.when(
-                F.col(a).isNotNull() & F.col(b).isNotNull(),
-                F.struct(
-                    F.lit(a).alias("first"),
-                    F.lit(b).alias("second"),
-                    F.round(F.col(a), TIE_DECIMALS).alias("x"),
-                    F.round(F.col(b), TIE_DECIMALS).alias("y"),
-                ),
-            )
-            for a, b in pairs
-        ]
-    )
-    long = df.select(F.explode(F.array_compact(both)).alias("p")).select("p.*")
-    keys = ["first", "second"]
-    if needs_split(df, split):
-        ranked = _paired_ranks_split(long, keys)
-    else:
-        ranked = with_average_rank(long, keys, {"rx": "x", "ry": "y"}, split=False)
-    return (
-        ranked.groupBy(*keys)
-        .agg(correlation("rx", "ry").alias("correlation"), F.count(F.lit(1)).alias("n_rows"))
-        .where((F.col("n_rows") >= min_rows) & (F.abs("correlation") >= threshold))
-    )
-
-
-def _paired_ranks_split(long: DataFrame, keys: list[str]) -> DataFrame:
-    out = long
-    for value, name in (("x", "rx"), ("y", "ry")):
-        table = value_positions(long, keys, value)
-        rank = (F.col("__upto") - (F.col("__c") - 1) / 2.0).alias(name)
-        out = out.join(table.select(*keys, value, rank), [*keys, value])
-    return out
+    bits = reduce(lambda out, item: out + F.when(F.col(item[1]).isNull(), 0).otherwise(1 << item[0]), enumerate(names), F.lit(0).cast("long"))
+    held = [r["bits"] for r in wide.select(bits.alias("bits")).distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(held) > MOST_PATTERNS:
+        return [[pair] for pair in pairs]
+    classes: dict[tuple[int, ...], list[tuple[str, str]]] = {}
+    for a, b in pairs:
+        both = 1 << names.index(a) | 1 << names.index(b)
+        classes.setdefault(tuple(sorted(p for p in held if p & both == both)), []).append((a, b))
+    return [found for rows, found in classes.items() if rows]

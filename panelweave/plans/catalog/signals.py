@@ -83,28 +83,34 @@ def fac_26(spark, sf):
     return fx.rounded(out, "coverage", "missing_rate")
 
 
-_PAIRS = [(a, b) for i, a in enumerate(SELECTED) for b in SELECTED[i + 1 :]]
 
 
-@entry(
-    "fac_27_redundant_pairs",
-    f"WITH {fx.FACTORS}, pairs AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{a}' AS first, '{b}' AS second, {a} AS x, {b} AS y FROM factors WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
-        for a, b in _PAIRS
+def pairs_sql(names: list[str]) -> str:
+    each = " UNION ALL ".join(
+        f"SELECT '{a}' AS first, '{b}' AS second, round({a}, 12) AS x, round({b}, 12) AS y FROM factors WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for i, a in enumerate(names)
+        for b in names[i + 1 :]
     )
-    + """),
+    return f"""WITH {fx.FACTORS}, pairs AS ({each}),
 ranked AS (SELECT first, second,
     rank() OVER (PARTITION BY first, second ORDER BY x) + (count(*) OVER (PARTITION BY first, second, x) - 1) / 2.0 AS rx,
-    rank() OVER (PARTITION BY first, second ORDER BY y) + (count(*) OVER (PARTITION BY first, second, y) - 1) / 2.0 AS ry FROM pairs)
-SELECT first, second, round(corr(rx, ry), 6) AS correlation, count(*) AS n_rows FROM ranked GROUP BY 1, 2
-HAVING count(*) >= 30 AND abs(corr(rx, ry)) >= 0.75""",
-)
+    rank() OVER (PARTITION BY first, second ORDER BY y) + (count(*) OVER (PARTITION BY first, second, y) - 1) / 2.0 AS ry FROM pairs),
+found AS (SELECT first, second, corr(rx, ry) AS correlation, count(*) AS n_rows FROM ranked GROUP BY 1, 2 HAVING count(*) >= 30)
+SELECT first, second, round(correlation, 6) AS correlation, n_rows FROM found WHERE abs(correlation) >= 0.75 AND NOT isnan(correlation)"""
+
+
+@entry("fac_27_redundant_pairs", pairs_sql(SELECTED))
 def fac_27(spark, sf):
     wide = fac.with_factors(fx.panel(spark, sf), SELECTED)
     return fx.rounded(fac.redundant_pairs(wide, SELECTED), "correlation")
 
 
+@entry("fac_27_all_factors", pairs_sql(fac.FACTOR_NAMES))
+def fac_27_all(spark, sf):
+    wide = fac.with_factors(fx.panel(spark, sf), fac.FACTOR_NAMES)
+    return fx.rounded(fac.redundant_pairs(wide, fac.FACTOR_NAMES), "correlation")
+
+
 # ---------------------------------------------------------------- signals
 
 

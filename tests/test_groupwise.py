@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import groupwise as gw
 from panelweave.operators import inference, portfolio, signals
+from panelweave.operators import factors
 from panelweave.operators.factors import redundant_pairs
 
 
@@ -156,3 +157,28 @@ def test_staged_tables_can_be_released(spark):
     assert any("panelweave-unit" in n for n in os.listdir(shared_folder(spark)))
     assert release_staged(spark) == 1
     assert not any("panelweave-unit" in n for n in os.listdir(shared_folder(spark)))
+
+
+def test_redundant_pairs_of_many_masks(spark, monkeypatch):
+    """Pairs with the same rows share ranks, with any null patterns, ties and constant factors; both plans and no masks agree."""
+    rng = random.Random(5)
+    names = [f"f{i}" for i in range(8)]
+    rows = []
+    for i in range(300):
+        base = rng.gauss(0, 1)
+        row = [base, base + rng.gauss(0, 0.3), float(round(base)), -base, rng.gauss(0, 1), 1.0, base * 2, base]
+        rows.append(tuple(None if (j in (1, 3) and i < 20) or (j == 2 and i < 60) or (j == 4 and rng.random() < 0.2) or (j == 7 and i > 20) else v for j, v in enumerate(row)))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    truth = pd.DataFrame(rows, columns=names).corr(method="spearman", min_periods=30)
+    counts = pd.DataFrame(rows, columns=names).notna().astype(int)
+    want = {(a, b): (truth.loc[a, b], int((counts[a] * counts[b]).sum())) for i, a in enumerate(names) for b in names[i + 1 :] if abs(truth.loc[a, b]) >= 0.5}
+
+    def found(split):
+        return {(r.first, r.second): (r.correlation, r.n_rows) for r in redundant_pairs(df, names, 0.5, split=split).collect()}
+
+    for split in (False, True):
+        assert found(split).keys() == want.keys()
+        assert all(found(split)[k] == pytest.approx(want[k]) for k in want)
+    assert not redundant_pairs(df.where("f5 > 5"), names).collect()
+    monkeypatch.setattr(factors, "MOST_PATTERNS", 1)
+    assert found(False).keys() == want.keys()
