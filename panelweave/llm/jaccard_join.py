@@ -27,6 +27,8 @@ FREQUENT = 100_000
 #: Hashes that a task counts at once; repeats inside such a window are reported.
 WINDOW = 1 << 20
 LONGEST_MATCH = 6
+#: Least and most bits of a set's bitmap, which otherwise has two to four for each shingle.
+LEAST_BITS, MOST_BITS = 128, 1 << 16
 #: Bits of the filter of documents whose texts are wanted.
 FILTER_BITS = 1 << 23
 #: Cost of verifying a pair, in entries of the index read.
@@ -69,14 +71,15 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     nodes = stage(every.select("doc_id", "version", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles"), "nodes")
     classes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     postings = _repeated_postings(every)
+    maps = stage(every.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap")), "bitmaps")
     drop_staged(every)
-    pairs = _pivot_pairs(postings, percent)
+    pairs = _possible(_pivot_pairs(postings, percent), maps, percent)
     sets = _sets(docs, classes, pairs, k)
     links = _verified(pairs, sets, percent)
     drop_staged(pairs)
     first = connected_components(links)
-    pairs = _pairs_across(postings, first, percent)
-    drop_staged(postings)
+    pairs = _possible(_pairs_across(postings, first, percent), maps, percent)
+    drop_staged(postings, maps)
     more = _sets(docs, classes, pairs, k, sets)
     rest = _verified(pairs, sets.unionByName(more), percent)
     drop_staged(pairs, sets, more)
@@ -100,6 +103,47 @@ def _set_hash(hashes: np.ndarray) -> int:
     return int(value.view(np.int64))
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """Bits that an odd number of the set's shingles fall on. Halves of a bitmap, xored, are the bitmap of half the bits."""
+    bits = LEAST_BITS
+    while bits < min(2 * len(hashes), MOST_BITS):
+        bits *= 2
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps, the larger folded: at most the shingles that are in one of the sets only."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs whose bitmaps do not rule out that they are similar; ``pairs`` is dropped. Written.
+
+    Sets that are similar enough differ in at most (n_a + n_b) * (100 - percent) / (100 + percent) shingles, and their
+    bitmaps in no more bits. A bitmap is a small part of its set, so strangers never have their sets moved.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
+            maps = zip(batch.column("map_a"), batch.column("map_b"), strict=True)
+            keep = [(100 + percent) * _differing(x.as_py(), y.as_py()) <= (100 - percent) * (m + n) for (m, n), (x, y) in zip(sizes, maps, strict=True)]
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = maps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a"))
+    right = maps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b"))
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "n_a", "n_b", "map_a", "map_b")
+    kept = stage(both.mapInArrow(compare, "a long, b long"), "possible")
+    drop_staged(pairs)
+    return kept
+
+
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The most repeated shingles and their counts, over all documents, up to one miss per window of a task."""
 
@@ -151,17 +195,18 @@ def _match_count(extra: np.ndarray, free: int, n: int) -> int:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, version, node, n_shingles, matches, prefix): each row's set by name, and its prefix. Written."""
+    """(doc_id, version, node, n_shingles, matches, prefix, bitmap): each row's set by name, its prefix and its bitmap. Written."""
     tokens, counts = _frequent(docs, k)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                names, sizes, matches, prefixes = [], [], [], []
+                names, sizes, matches, prefixes, maps = [], [], [], [], []
                 for hashes in shingle_sets(part.column("text"), k):
                     n = len(hashes)
                     sizes.append(n)
                     names.append(_set_hash(hashes))
+                    maps.append(_bitmap(hashes))
                     if not n:
                         matches.append(0)
                         prefixes.append(b"")
@@ -177,11 +222,11 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     matches.append(m)
                     prefixes.append(hashes[order[: free + m]].tobytes())
                 yield pa.record_batch(
-                    [part.column("doc_id"), part.column("version"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "version", "node", "n_shingles", "matches", "prefix"],
+                    [part.column("doc_id"), part.column("version"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())],
+                    names=["doc_id", "version", "node", "n_shingles", "matches", "prefix", "bitmap"],
                 )
 
-    schema = "doc_id long, version long, node long, n_shingles long, matches int, prefix binary"
+    schema = "doc_id long, version long, node long, n_shingles long, matches int, prefix binary, bitmap binary"
     return stage(docs.withColumn("version", F.xxhash64("text")).mapInArrow(rows, schema), "prefixes")
 
 

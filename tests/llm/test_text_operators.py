@@ -73,6 +73,18 @@ def test_one_id_with_many_rows_gives_each_set_once(spark, prose, monkeypatch):
     assert seen[0] == (1, 2)
 
 
+def test_bitmaps_never_rule_out_similar_sets():
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 100, 3000, 70_000):
+        x = draw.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+        for other in (0, 1, n // 10, n // 2, n):
+            y = np.unique(np.concatenate([x[: n - other], draw.integers(0, 1 << 63, max(other * 2, 1), dtype=np.int64).astype(np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            assert jaccard_join._differing(jaccard_join._bitmap(x), jaccard_join._bitmap(y)) <= apart
+    strangers = [draw.integers(0, 1 << 63, 500, dtype=np.int64).astype(np.uint64) for _ in range(2)]
+    assert jaccard_join._differing(*map(jaccard_join._bitmap, strangers)) > 300
+
+
 def test_similarity_components_bridged_groups(spark, monkeypatch):
     """Two groups of near copies joined by one pair, whose shared shingles are held mostly by either group."""
     longest = jaccard_join.LONGEST_MATCH
