@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +15,60 @@ from panelweave.sources.panel import PANEL_COLUMNS
 HOLDOUT_SCHEMA_VERSION = "locked_holdout_v1"
 
 
+#: Bytes that a running hash takes at once, and files up to this size that a task may hold whole.
+BLOCK_BYTES, WHOLE_BYTES = 1 << 20, 64 << 20
+
+
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of each file; every file is hashed in its own task."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of each file below ``path`` (globs allowed), however large.
+
+    A large file is read by its task in blocks that feed a running hash, so no task holds more than a block. Small files
+    come through Spark's reader, which knows every store; so do large ones of a store that only Spark opens, up to 2 GB.
+    Empty files, which Spark's readers pass over, have no row.
+    """
+    found = spark.read.format("binaryFile").load(path)  # the content is read only where it is asked for
+    small = found.where(F.col("length") <= WHOLE_BYTES).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = found.where(F.col("length") > WHOLE_BYTES).select("path", "length")
+    paths = large.collect()  # names of files above 64 MB: one row for each
+    if not paths:
+        return small
+    streamed = [tuple(r) for r in paths if _readable(r["path"])]
+    rest = [r["path"] for r in paths if not _readable(r["path"])]
+    names = spark.createDataFrame(streamed, large.schema).repartition(max(1, len(streamed)), "path")
+    out = small.unionByName(names.mapInArrow(_hash_blocks, "path string, length long, sha256 string"))
+    whole = found.where(F.col("path").isin(rest)) if rest else None
+    return out if whole is None else out.unionByName(whole.select("path", "length", F.sha2("content", 256).alias("sha256")))
+
+
+def _readable(path: str) -> bool:
+    """Whether workers can open the file themselves."""
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def _hash_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = []
+        for path in batch.column("path").to_pylist():
+            store, name = fs.FileSystem.from_uri(path)
+            running = hashlib.sha256()
+            with store.open_input_stream(name) as stream:
+                while block := stream.read(BLOCK_BYTES):
+                    running.update(block)
+            hashes.append(running.hexdigest())
+        yield pa.record_batch([batch.column("path"), batch.column("length"), pa.array(hashes, pa.string())], names=["path", "length", "sha256"])
+
+
+def snapshot_hash(files: DataFrame) -> DataFrame:
+    """One row (files, content_sha256): the hash of the file, or of the lines "hash  name" in order of several; null of none."""
+    name = F.substring_index("path", "/", -1)
+    lines = F.array_sort(F.collect_list(F.concat("sha256", F.lit("  "), name)))
+    many = F.sha2(F.array_join(lines, "\n"), 256)
+    n = F.count(F.lit(1))
+    return files.agg(n.alias("files"), F.when(n == 1, F.max("sha256")).when(n > 1, many).alias("content_sha256"))
 
 
 def row_digest(rows: DataFrame, text: Column) -> DataFrame:
@@ -53,22 +109,35 @@ def snapshot_provenance(
     panel: DataFrame,
     manifest: dict[str, object],
     expected_symbols: DataFrame | None = None,
-    actual_sha256: str | None = None,
+    files: DataFrame | None = None,
     require_hash: bool = False,
 ) -> DataFrame:
-    """One row of match flags and warnings; an expectation the manifest lacks counts as met."""
+    """One row: what the manifest says, what the data and files are, match flags and warnings.
+
+    ``files`` are the snapshot's (path, sha256), as from ``content_hash``. An expectation that the manifest lacks counts
+    as met, but for the hash. With ``require_hash`` a hash that does not match raises an error when the row is made.
+    """
     expected_hash = str(manifest.get("content_sha256") or "")
-    hash_matches = bool(expected_hash) and expected_hash == actual_sha256
-    if require_hash and not hash_matches:
-        raise ValueError(
-            f"snapshot content hash mismatch: expected {expected_hash or '<missing>'}, observed {actual_sha256}"
-        )
     rows, start, end = manifest.get("row_count"), manifest.get("start"), manifest.get("end")
     same = (F.col("unexpected_symbols") == 0) & (F.col("absent_symbols") == 0)
     symbols_match = (F.col("expected_symbols") == 0) | same
-    out = panel_facts(panel, expected_symbols).withColumns(
+    actual = F.lit(None).cast("string") if files is None else snapshot_hash(files).select("content_sha256").scalar()
+    out = panel_facts(panel, expected_symbols).withColumn("content_sha256", actual)
+    matches = F.lit(bool(expected_hash)) & F.coalesce(F.col("content_sha256") == expected_hash, F.lit(False))
+    if require_hash:
+        text = F.concat(F.lit(f"snapshot content hash mismatch: expected {expected_hash or '<missing>'}, observed "), F.coalesce("content_sha256", F.lit("<missing>")))
+        matches = F.when(matches, True).otherwise(F.raise_error(text).cast("boolean"))
+    told = {k: F.lit(str(manifest.get(k) or "")) for k in ("dataset_id", "vendor", "as_of", "created_at")}
+    claimed = {k: F.lit(bool(manifest.get(k, False))) for k in ("point_in_time_universe", "survivorship_bias_free", "corporate_actions_adjusted")}
+    out = out.withColumns(
         {
-            "hash_matches": F.lit(hash_matches),
+            **told,
+            "expected_sha256": F.lit(expected_hash),
+            "expected_row_count": F.lit(None if rows is None else int(rows)).cast("long"),
+            "expected_start": F.lit(str(start or "")),
+            "expected_end": F.lit(str(end or "")),
+            **claimed,
+            "hash_matches": matches,
             "row_count_matches": F.lit(True) if rows is None else F.col("row_count") == F.lit(int(rows)),
             "symbol_set_matches": symbols_match,
             "date_range_matches": (F.lit(True) if not start else F.col("start") == F.lit(str(start)).cast("date"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelweave.functions import text as tx
@@ -10,7 +12,7 @@ from panelweave.operators import ideas as idea
 from panelweave.operators.factors import FACTOR_NAMES
 from panelweave.operators.provenance import content_hash
 from panelweave.plans.catalog import fixtures as fx
-from panelweave.session import stage
+from panelweave.session import shared_folder, stage
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -453,11 +455,222 @@ def chn_1(spark, sf):
     return ev.verify_chains(forged, chain_records(spark, sf))
 
 
-@entry("chn_3_inventory", "SELECT * FROM (VALUES ('nation.parquet', 'sha256 mismatch'), ('region.parquet', 'unlisted object')) v(file, problem)")
+# Names of the registry's evidence fields, as its documents have them.
+_EVIDENCE_SQL = """concat('{"candidate_id":"', candidate_id, '","experiment_family_id":"', experiment_family_id, '","holdout_ic_p_value":', holdout_ic_p_value, ',"holdout_ic_q_value":', coalesce(CAST(holdout_ic_q_value AS VARCHAR), 'null'),
+  ',"hypothesis_id":"', hypothesis_id, '","run_id":"', run_id, '","run_validity_verdict":"', run_validity_verdict, '","selection_policy":"', selection_policy, '"}')"""
+
+
+def registry_records(spark, sf):
+    """Export packs of 128 runs: place, run, its record's text and its evidence, from the event stream."""
+    e = F.col("event_id")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    return fx.table(spark, sf, "events").select(
+        F.floor(e / 128).alias("chain"),
+        (e % 128).alias("index"),
+        text("run-", e).alias("run_id"),
+        F.concat_ws("|", e.cast("string"), "event_type", F.round(F.col("value") * 100).cast("long").cast("string")).alias("record"),
+        text("fam-", e % 11).alias("experiment_family_id"),
+        text("hyp-", e % 7).alias("hypothesis_id"),
+        text("cand-", e % 5).alias("candidate_id"),
+        F.when(e % 3 == 0, "pre_registered").otherwise("exploratory").alias("selection_policy"),
+        F.when(e % 4 == 1, "PASS").otherwise("REJECT").alias("run_validity_verdict"),
+        ((e % 199 + 1) / 200.0).cast("double").alias("holdout_ic_p_value"),
+        F.when(e % 6 != 2, 0.5).alias("holdout_ic_q_value"),
+    )
+
+
+_REGISTRY = f"""WITH RECURSIVE records AS MATERIALIZED (
+  SELECT event_id // 128 AS chain, event_id % 128 AS "index", concat('run-', event_id) AS run_id,
+    concat_ws('|', CAST(event_id AS VARCHAR), event_type, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS record, concat('fam-', event_id % 11) AS experiment_family_id,
+    concat('hyp-', event_id % 7) AS hypothesis_id, concat('cand-', event_id % 5) AS candidate_id, CASE WHEN event_id % 3 = 0 THEN 'pre_registered' ELSE 'exploratory' END AS selection_policy,
+    CASE WHEN event_id % 4 = 1 THEN 'PASS' ELSE 'REJECT' END AS run_validity_verdict, CAST((event_id % 199 + 1) / 200.0 AS DOUBLE) AS holdout_ic_p_value,
+    CASE WHEN event_id % 6 <> 2 THEN CAST(0.5 AS DOUBLE) END AS holdout_ic_q_value FROM events),
+texts AS MATERIALIZED (SELECT chain, "index", run_id, sha256(record) AS record_sha256, {_EVIDENCE_SQL} AS family_evidence,
+  concat('{{"family_evidence":', {_EVIDENCE_SQL}, ',"index":', "index", ',"previous_chain_hash":') AS before, concat(',"record_sha256":"', sha256(record), '","run_id":"', run_id, '"}}') AS after FROM records),
+links AS (
+  SELECT *, NULL::VARCHAR AS previous_chain_hash, sha256(concat(before, 'null', after)) AS chain_hash FROM texts WHERE "index" = 0
+  UNION ALL
+  SELECT t.*, l.chain_hash, sha256(concat(t.before, '"', l.chain_hash, '"', t.after)) FROM links l JOIN texts t ON t.chain = l.chain AND t."index" = l."index" + 1)"""
+
+
+@entry("chn_2_registry_chain", f'{_REGISTRY} SELECT chain, "index", run_id, record_sha256, family_evidence, previous_chain_hash, chain_hash FROM links')
+def chn_2_registry(spark, sf):
+    return ev.registry_chain(registry_records(spark, sf))
+
+
+def tampered_registry(spark, sf):
+    """Chains, records and manifest with altered records, runs, evidence and hashes, cut ends, and lost and repeated rows."""
+    links = stage(ev.registry_chain(registry_records(spark, sf)), "registry-chains")
+    place = F.col("chain") * 128 + F.col("index")
+    stored = links.where(place % 509 != 8).withColumns(
+        {
+            "run_id": F.when(place % 211 == 3, "run-x").otherwise(F.col("run_id")),
+            "family_evidence": F.when(place % 307 == 4, "{}").otherwise(F.col("family_evidence")),
+            "previous_chain_hash": F.when(place % 401 == 5, "forged").otherwise(F.col("previous_chain_hash")),
+        }
+    )
+    stored = stored.unionByName(stored.where(place % 601 == 6))
+    records = registry_records(spark, sf).where(place % 701 != 7)
+    records = records.withColumn("record", F.when(place % 101 == 2, "altered").otherwise(F.col("record")))
+    heads = ev.chain_heads(links).where("chain % 17 <> 3").withColumn("final_hash", F.when(F.col("chain") % 19 == 4, "forged").otherwise(F.col("final_hash")))
+    return stored, records, heads
+
+
+@entry(
+    "chn_1_verify_registry",
+    f"""{_REGISTRY}, stored0 AS (SELECT chain, "index", chain * 128 + "index" AS place, CASE WHEN (chain * 128 + "index") % 211 = 3 THEN 'run-x' ELSE run_id END AS run_id, record_sha256,
+    CASE WHEN (chain * 128 + "index") % 307 = 4 THEN '{{}}' ELSE family_evidence END AS family_evidence,
+    CASE WHEN (chain * 128 + "index") % 401 = 5 THEN 'forged' ELSE previous_chain_hash END AS previous_chain_hash, chain_hash FROM links WHERE (chain * 128 + "index") % 509 <> 8),
+kept AS (SELECT chain, "index", run_id, CASE WHEN (chain * 128 + "index") % 101 = 2 THEN sha256('altered') ELSE sha256(record) END AS record_sha256 FROM records WHERE (chain * 128 + "index") % 701 <> 7),
+j AS MATERIALIZED (SELECT coalesce(s.chain, k.chain) AS chain, coalesce(s."index", k."index") AS "index", s.place, s.chain IS NOT NULL AS linked, k.chain IS NOT NULL AS listed, s.run_id, k.run_id AS own_run, s.record_sha256, k.record_sha256 AS own_record,
+    s.previous_chain_hash, s.chain_hash, b.chain_hash AS hash_before, b.chain IS NOT NULL AS has,
+    sha256(concat('{{"family_evidence":', s.family_evidence, ',"index":', s."index", ',"previous_chain_hash":', CASE WHEN s.previous_chain_hash IS NULL THEN 'null' ELSE concat('"', s.previous_chain_hash, '"') END,
+      ',"record_sha256":"', s.record_sha256, '","run_id":"', s.run_id, '"}}')) AS own_hash
+  FROM stored0 s FULL JOIN kept k ON k.chain = s.chain AND k."index" = s."index" LEFT JOIN stored0 b ON b.chain = s.chain AND b."index" + 1 = s."index"),
+counted AS (SELECT chain, count(*) + count(*) FILTER (WHERE place % 601 = 6) AS n, arg_max(chain_hash, "index") AS final FROM stored0 GROUP BY 1),
+heads AS (SELECT chain, count(*) AS n, CASE WHEN chain % 19 = 4 THEN 'forged' ELSE arg_max(chain_hash, "index") END AS final FROM links WHERE chain % 17 <> 3 GROUP BY 1)
+SELECT chain, "index", 'chain row is repeated' AS error FROM j WHERE place % 601 = 6
+UNION ALL SELECT chain, "index", 'record has no chain row' FROM j WHERE NOT linked
+UNION ALL SELECT chain, "index", 'chain row has no record' FROM j WHERE NOT listed
+UNION ALL SELECT chain, "index", 'hash chain index mismatch' FROM j WHERE linked AND NOT has AND "index" <> 0
+UNION ALL SELECT chain, "index", 'hash chain run_id mismatch' FROM j WHERE linked AND listed AND run_id <> own_run
+UNION ALL SELECT chain, "index", 'hash chain record hash mismatch' FROM j WHERE linked AND listed AND record_sha256 <> own_record
+UNION ALL SELECT chain, "index", 'hash chain previous hash mismatch' FROM j WHERE linked AND previous_chain_hash IS DISTINCT FROM hash_before
+UNION ALL SELECT chain, "index", 'hash chain hash mismatch' FROM j WHERE linked AND chain_hash <> own_hash
+UNION ALL SELECT c.chain, NULL, 'chain is not listed' FROM counted c ANTI JOIN heads USING (chain)
+UNION ALL SELECT h.chain, NULL, 'chain is missing' FROM heads h ANTI JOIN counted USING (chain)
+UNION ALL SELECT c.chain, NULL, 'row count mismatch' FROM counted c JOIN heads h USING (chain) WHERE c.n <> h.n
+UNION ALL SELECT c.chain, NULL, 'final hash mismatch' FROM counted c JOIN heads h USING (chain) WHERE c.final <> h.final""",
+)
+def chn_1_registry(spark, sf):
+    stored, records, heads = tampered_registry(spark, sf)
+    return ev.verify_registry_chain(stored, records, heads)
+
+
+@entry(
+    "chn_3_inventory",
+    """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS k, concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)) AS line FROM nation),
+files AS (SELECT k // 5 AS part, sha256(string_agg(concat(line, chr(10)), '' ORDER BY k)) AS sha FROM n GROUP BY 1)
+SELECT part, CASE WHEN part = 1 THEN 'sha256 mismatch' WHEN part = 3 THEN 'unlisted object' WHEN part = 9 THEN 'missing object' END AS problem
+FROM (SELECT part FROM files UNION ALL SELECT 9) WHERE problem IS NOT NULL""",
+)
 def chn_3(spark, sf):
-    """Files behind the tables against an inventory with one wrong and one unlisted entry."""
-    stored = content_hash(spark, f"{sf}/*.parquet")
-    listed = stored.where(~F.col("path").endswith("region.parquet")).withColumn(
-        "sha256", F.when(F.col("path").endswith("nation.parquet"), F.lit("0")).otherwise(F.col("sha256"))
+    """Written files against an inventory of the hashes that their texts must have, with a wrong, an unlisted and an absent one."""
+    key = F.col("n_nationkey").cast("long")
+    line = F.concat_ws("|", key.cast("string"), "n_name", F.col("n_regionkey").cast("string"))
+    rows = fx.table(spark, sf, "nation").select(F.floor(key / 5).alias("part"), key.alias("k"), line.alias("value"))
+    folder = f"{shared_folder(spark)}/objects-{uuid.uuid4().hex}"
+    rows.repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(folder)
+    part = F.regexp_extract("path", r"part=(\d+)/", 1)
+    stored = content_hash(spark, f"{folder}/*/*.txt").select(part.alias("path"), "sha256")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: F.concat(x["value"], F.lit("\n"))), "")
+    listed = rows.groupBy(F.col("part").cast("string").alias("path")).agg(F.sha2(text, 256).alias("sha256")).where("path <> '3'")
+    listed = listed.withColumn("sha256", F.when(F.col("path") == "1", "0").otherwise(F.col("sha256")))
+    listed = listed.unionByName(spark.range(1).select(F.lit("9").alias("path"), F.lit("0").alias("sha256")))
+    return ev.inventory_differences(stored, listed).select(F.col("path").cast("long").alias("part"), "problem")
+
+
+def object_rows(spark, sf):
+    """The objects of a deployment: a row for each page, in order."""
+    page = F.col("page_id").cast("long")
+    return fx.table(spark, sf, "pages").select(page.alias("position"), F.concat(F.lit("objects/"), (page - page % 7).cast("string")).alias("path"), F.sha2("url", 256).alias("sha256"))
+
+
+def inventory_rows(spark, sf):
+    """The inventory of the same objects, with rows lost, added, repeated, changed and at other positions."""
+    rows, at = object_rows(spark, sf), F.col("position")
+    kept = rows.where((at % 83 >= 14) | (at % 7 != 0)).withColumn("sha256", F.when(at % 97 == 5, "0").otherwise(F.col("sha256")))
+    kept = kept.withColumn("position", F.when(at % 89 == 20, at + 100_000).otherwise(at)).where((at % 840 >= 7) | (at < 7))
+    return kept.unionByName(rows.where(at % 61 == 10)).unionByName(rows.where(at % 211 == 1).withColumn("path", F.concat(F.lit("extra/"), at.cast("string"))))
+
+
+@entry(
+    "chn_3_inventory_rows",
+    """WITH m AS (SELECT CAST(page_id AS BIGINT) AS position, concat('objects/', page_id - page_id % 7) AS path, sha256(url) AS sha FROM pages),
+i AS (SELECT CASE WHEN position % 89 = 20 THEN position + 100000 ELSE position END AS position, path, CASE WHEN position % 97 = 5 THEN '0' ELSE sha END AS sha
+    FROM m WHERE (position % 83 >= 14 OR position % 7 <> 0) AND (position % 840 >= 7 OR position < 7)
+  UNION ALL SELECT * FROM m WHERE position % 61 = 10 UNION ALL SELECT position, concat('extra/', position), sha FROM m WHERE position % 211 = 1),
+a AS (SELECT path, count(*) AS n, string_agg(sha, ',' ORDER BY sha) AS what, string_agg(concat(position, sha), ',' ORDER BY position, sha) AS places FROM i GROUP BY 1),
+b AS (SELECT path, count(*) AS n, string_agg(sha, ',' ORDER BY sha) AS what, string_agg(concat(position, sha), ',' ORDER BY position, sha) AS places FROM m GROUP BY 1)
+SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'missing from inventory' WHEN b.path IS NULL THEN 'not in manifest' WHEN a.n <> b.n THEN 'repeated'
+  WHEN a.what <> b.what THEN 'changed' WHEN a.places <> b.places THEN 'moved' END AS problem FROM a FULL JOIN b ON a.path = b.path) WHERE problem IS NOT NULL""",
+)
+def chn_3_rows(spark, sf):
+    return ev.inventory_row_differences(inventory_rows(spark, sf), object_rows(spark, sf))
+
+
+# ---------------------------------------------------------------- sealed ledgers
+
+_EVENT_FIELDS = ["actor", "candidate_id", "event_type", "evidence_path", "evidence_sha256", "family_id", "hypothesis_id", "recommendation_id", "role", "run_id", "schema_version", "status"]
+
+
+def sealed(spark, sf):
+    """Ledgers of 128 events, sealed, then forged: fields altered, forged events hashed again, another schema, lost events."""
+    events = ledger(spark, sf).drop("created_at").withColumn("schema_version", F.when(F.col("seq") % 71 == 9, "v0").otherwise(ev.EVENT_SCHEMA))
+    events = events.withColumns({"ledger": F.floor(F.col("seq") / 128), "place": F.col("seq") % 128}).drop("seq")
+    good = stage(ev.seal_events(events, order="place"), "sealed")
+    spot = F.col("ledger") * 128 + F.col("place")
+    forged = good.where(spot % 509 != 17).withColumn("status", F.when(spot % 53 == 6, "approved!").otherwise(F.col("status")))
+    again = ev._event_texts(forged, "ledger", "place").withColumn("event_hash", F.when((spot % 106 == 6) & (F.col("place") > 0), F.sha2(F.concat("__before", F.lit('"'), "previous_hash", F.lit('"'), "__after"), 256)).otherwise(F.col("event_hash")))
+    return again.select(good.columns)
+
+
+def _event_json(status: str) -> tuple[str, str]:
+    quoted = lambda name: f"'\"{name}\":\"', " + (status if name == "status" else name) + ", '\"'"
+    before = ", ',', ".join(quoted(n) for n in _EVENT_FIELDS if n < "previous_hash")
+    after = ", ',', ".join(quoted(n) for n in _EVENT_FIELDS if n > "previous_hash")
+    return f"concat('{{', {before}, ',\"previous_hash\":')", f"concat(',', {after}, '}}')"
+
+
+_BEFORE, _AFTER = _event_json("status")
+
+
+@entry(
+    "evt_9_sealed_ledger",
+    f"""WITH RECURSIVE {LEDGER}, versioned AS (SELECT *, CASE WHEN seq % 71 = 9 THEN 'v0' ELSE '{ev.EVENT_SCHEMA}' END AS schema_version FROM ledger),
+texts AS MATERIALIZED (SELECT *, seq // 128 AS book, seq % 128 AS place, {_BEFORE} AS before, {_AFTER} AS after FROM versioned),
+chain AS (SELECT book, place, NULL::VARCHAR AS previous_hash, sha256(concat(before, 'null', after)) AS event_hash FROM texts WHERE place = 0
+  UNION ALL SELECT t.book, t.place, c.event_hash, sha256(concat(t.before, '"', c.event_hash, '"', t.after)) FROM chain c JOIN texts t ON t.book = c.book AND t.place = c.place + 1),
+kept AS (SELECT t.* EXCLUDE (status, after), CASE WHEN seq % 53 = 6 THEN 'approved!' ELSE status END AS status, previous_hash, event_hash FROM texts t JOIN chain c ON c.book = t.book AND c.place = t.place WHERE seq % 509 <> 17),
+own AS (SELECT *, sha256(concat(before, CASE WHEN previous_hash IS NULL THEN 'null' ELSE concat('"', previous_hash, '"') END, {_AFTER})) AS own_hash FROM kept),
+stored AS MATERIALIZED (SELECT *, CASE WHEN seq % 106 = 6 AND place > 0 THEN own_hash ELSE event_hash END AS stored_hash FROM own)
+SELECT book AS ledger, place, 'has unsupported schema' AS error FROM stored WHERE schema_version <> '{ev.EVENT_SCHEMA}'
+UNION ALL SELECT s.book, s.place, 'previous_hash mismatch' FROM stored s LEFT JOIN stored b ON b.book = s.book AND b.place + 1 = s.place WHERE s.previous_hash IS DISTINCT FROM b.stored_hash
+UNION ALL SELECT book, place, 'event_hash mismatch' FROM stored WHERE stored_hash <> own_hash""",
+)
+def evt_9_sealed(spark, sf):
+    return ev.seal_errors(sealed(spark, sf), order="place")
+
+
+def evidence_files(spark, sf):
+    """Evidence documents of the recommendations: some absent, altered, unreadable, without the run, or of another family."""
+    told = ledger(spark, sf).where("event_type = 'recommended'").dropDuplicates(["evidence_path"])
+    e = F.col("seq")
+    rows = F.array(
+        F.struct(
+            F.when(e % 26 == 4, "other").otherwise(F.col("run_id")).alias("run_id"),
+            F.when(e % 34 == 6, "other").otherwise(F.col("family_id")).alias("family_id"),
+            "hypothesis_id",
+            "candidate_id",
+            F.when(e % 38 == 8, "FAMILY_REJECT").otherwise("FAMILY_PROMOTE").alias("family_verdict"),
+        )
     )
-    return ev.inventory_differences(stored, listed).select(F.substring_index("path", "/", -1).alias("file"), "problem")
+    text = F.when(e % 46 == 10, "{").otherwise(F.to_json(F.struct(rows.alias("rows"))))
+    return told.where(e % 22 != 2).select(F.col("evidence_path").alias("path"), F.when(e % 58 == 12, "0").otherwise(F.col("evidence_sha256")).alias("sha256"), text.alias("text"))
+
+
+@entry(
+    "evt_9_evidence",
+    f"""WITH {LEDGER}, told AS (SELECT * FROM ledger WHERE event_type = 'recommended'),
+firsts AS (SELECT *, count(*) OVER (PARTITION BY evidence_path) AS times FROM told),
+f AS (SELECT evidence_path AS path, CASE WHEN seq % 58 = 12 THEN '0' ELSE evidence_sha256 END AS sha, seq % 46 = 10 AS broken, CASE WHEN seq % 26 = 4 THEN 'other' ELSE run_id END AS run_id,
+  CASE WHEN seq % 34 = 6 THEN 'other' ELSE family_id END AS family_id, seq % 38 <> 8 AS promoted, hypothesis_id, candidate_id FROM firsts WHERE times = 1 AND seq % 22 <> 2),
+j AS (SELECT t.*, f.path, f.sha, f.broken, f.promoted, f.run_id = t.run_id AS found, f.family_id AS of_family FROM told t JOIN (SELECT DISTINCT seq FROM firsts WHERE times = 1) u USING (seq) LEFT JOIN f ON f.path = t.evidence_path)
+SELECT seq, CASE WHEN path IS NULL THEN 'evidence file is missing' WHEN sha <> evidence_sha256 THEN 'evidence sha256 mismatch' WHEN broken THEN 'evidence is invalid JSON'
+  WHEN NOT found OR NOT promoted THEN 'evidence does not contain the selected FAMILY_PROMOTE row' WHEN of_family <> family_id THEN 'evidence family_id mismatch' END AS error FROM j WHERE error IS NOT NULL""",
+)
+def evt_9_evidence(spark, sf):
+    """Evidence of recommendations whose file is theirs alone."""
+    events = ledger(spark, sf)
+    alone = events.where("event_type = 'recommended'").groupBy("evidence_path").count().where("count = 1").select("evidence_path")
+    return ev.evidence_errors(events.join(alone, "evidence_path"), evidence_files(spark, sf).join(alone.withColumnRenamed("evidence_path", "path"), "path"))

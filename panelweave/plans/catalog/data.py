@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,39 +273,87 @@ def bor_3(spark, sf):
 # ---------------------------------------------------------------- provenance
 
 
-@entry(
-    "prv_1_snapshot_provenance",
-    f"""WITH {fx.MARKET}, {REQUESTED}
-SELECT count(*) AS row_count, count(DISTINCT symbol) AS symbol_count, min(date) AS "start", max(date) AS "end",
-  false AS hash_matches, count(*) = 7138 AS row_count_matches, false AS symbol_set_matches,
-  min(date) = DATE '1995-01-02' AND max(date) = DATE '2001-12-31' AS date_range_matches,
-  concat_ws(' ', 'Snapshot manifest hash does not match the data file.',
-    CASE WHEN count(*) <> 7138 THEN 'Snapshot manifest row count does not match loaded data.' END,
-    'Snapshot manifest symbols do not match loaded data.',
-    CASE WHEN NOT (min(date) = DATE '1995-01-02' AND max(date) = DATE '2001-12-31') THEN
-      'Snapshot manifest date range does not match loaded data.' END) AS warnings
-FROM market""",
-)
+_LINE = """concat_ws(',', CAST(date AS VARCHAR), symbol, CAST(symbol_no AS VARCHAR), CAST(round(adj_close * 1000000) AS BIGINT))"""
+_YEARS = f"""{fx.MARKET}, lines AS (SELECT year(date) AS year, date, symbol, {_LINE} AS line FROM market),
+files AS (SELECT year, count(*) AS n_lines, sha256(string_agg(concat(line, chr(10)), '' ORDER BY date, symbol)) AS sha256 FROM lines GROUP BY 1)"""
+_SNAPSHOTS: dict[tuple[str, str], str] = {}
+
+
+def snapshot_lines(spark, sf):
+    """The market as lines of a text snapshot, with the year that names the file."""
+    line = F.concat_ws(",", F.col("date").cast("string"), "symbol", F.col("symbol_no").cast("string"), F.round(F.col("adj_close") * 1_000_000).cast("long").cast("string"))
+    return fx.market(spark, sf).select(F.year("date").alias("year"), "date", "symbol", line.alias("value"))
+
+
+def snapshot_files(spark, sf):
+    """Folder of the written snapshot: a text file for each year, its lines in order. Written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SNAPSHOTS:
+        folder = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+        ordered = snapshot_lines(spark, sf).repartition("year").sortWithinPartitions("year", "date", "symbol")
+        ordered.select("year", "value").write.partitionBy("year").text(folder)
+        _SNAPSHOTS[key] = folder
+    return _SNAPSHOTS[key]
+
+
+def year_of(path):
+    return F.regexp_extract(path, r"year=(\d+)/", 1).cast("long")
+
+
+@entry("prv_1_content_hash", f"WITH {_YEARS} SELECT year, sha256 FROM files")
+def prv_1_hash(spark, sf):
+    """Hashes of the files as they lie in the store; the SQL hashes the text they must hold."""
+    return prv.content_hash(spark, f"{snapshot_files(spark, sf)}/*/*.txt").select(year_of("path").alias("year"), "sha256")
+
+
+def _of_year(year: int) -> str:
+    return f"(SELECT min(year) + {year} FROM lines)"
+
+
+_MATCHES = ["hash_matches", "row_count_matches", "symbol_set_matches", "date_range_matches"]
+
+
+def checked_snapshot(spark, sf, year: int, tamper: bool):
+    """The snapshot of one year against a manifest written from the data: as it is, or of the year before."""
+    lines = snapshot_lines(spark, sf)
+    first = lines.agg(F.min("year")).first()[0] + year
+    told = first - 1 if tamper else first
+    own = lines.where(F.col("year") == told)
+    facts = own.agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    hashed = lambda year: prv.content_hash(spark, f"{snapshot_files(spark, sf)}/year={year}/*.txt")
+    expected = hashed(told).first()["sha256"]
+    manifest = {"dataset_id": f"market-{told}", "row_count": facts["n"], "start": facts["lo"].isoformat(), "end": facts["hi"].isoformat(), "content_sha256": expected}
+    files = hashed(first)
+    return prv.snapshot_provenance(lines.where(F.col("year") == first), manifest, own.select("symbol").distinct(), files)
+
+
+def snapshot_sql(year: int, told: int) -> str:
+    return f"""WITH {_YEARS}, own AS (SELECT * FROM lines WHERE year = {_of_year(year)}), other AS (SELECT * FROM lines WHERE year = {_of_year(told)}),
+facts AS (SELECT count(*) AS row_count, count(DISTINCT symbol) AS symbol_count, min(date) AS "start", max(date) AS "end", (SELECT sha256 FROM files WHERE year = {_of_year(year)}) AS content_sha256,
+  (SELECT sha256 FROM files WHERE year = {_of_year(year)}) = (SELECT sha256 FROM files WHERE year = {_of_year(told)}) AS hash_matches,
+  count(*) = (SELECT count(*) FROM other) AS row_count_matches,
+  NOT EXISTS (SELECT symbol FROM other EXCEPT SELECT symbol FROM own) AND NOT EXISTS (SELECT symbol FROM own EXCEPT SELECT symbol FROM other) AS symbol_set_matches,
+  min(date) = (SELECT min(date) FROM other) AND max(date) = (SELECT max(date) FROM other) AS date_range_matches FROM own)
+SELECT *, concat_ws(' ', CASE WHEN NOT hash_matches THEN 'Snapshot manifest hash does not match the data file.' END,
+  CASE WHEN NOT row_count_matches THEN 'Snapshot manifest row count does not match loaded data.' END,
+  CASE WHEN NOT symbol_set_matches THEN 'Snapshot manifest symbols do not match loaded data.' END,
+  CASE WHEN NOT date_range_matches THEN 'Snapshot manifest date range does not match loaded data.' END) AS warnings FROM facts"""
+
+
+def snapshot_row(out):
+    return out.select("row_count", "symbol_count", "start", "end", "content_sha256", *_MATCHES, F.concat_ws(" ", "warnings").alias("warnings"))
+
+
+@entry("prv_1_snapshot_provenance", snapshot_sql(2, 1))
 def prv_1(spark, sf):
-    manifest = {"row_count": 7138, "start": "1995-01-02", "end": "2001-12-31", "content_sha256": "0" * 64}
-    out = prv.snapshot_provenance(fx.market(spark, sf), manifest, requested(spark, sf), actual_sha256="1" * 64)
-    flags = ["hash_matches", "row_count_matches", "symbol_set_matches", "date_range_matches"]
-    return out.select(
-        "row_count", "symbol_count", "start", "end", *flags, F.concat_ws(" ", "warnings").alias("warnings")
-    )
+    """A manifest of another year: neither hash nor dates fit."""
+    return snapshot_row(checked_snapshot(spark, sf, 2, True))
 
 
-@entry(
-    "prv_1_matching_snapshot",
-    f"""WITH {fx.MARKET} SELECT count(*) AS row_count, true AS hash_matches, true AS row_count_matches, true AS symbol_set_matches,
-  min(date) = DATE '1995-01-02' AND max(date) = DATE '2001-12-31' AS date_range_matches FROM market""",
-)
+@entry("prv_1_matching_snapshot", snapshot_sql(1, 1))
 def prv_1_matching(spark, sf):
-    """A manifest that agrees with the data in hash and symbols and gives no row count."""
-    panel = fx.market(spark, sf)
-    manifest = {"start": "1995-01-02", "end": "2001-12-31", "content_sha256": "2" * 64}
-    out = prv.snapshot_provenance(panel, manifest, panel.select("symbol").distinct(), actual_sha256="2" * 64)
-    return out.select("row_count", "hash_matches", "row_count_matches", "symbol_set_matches", "date_range_matches")
+    """A manifest that agrees with file and rows."""
+    return snapshot_row(checked_snapshot(spark, sf, 1, False))
 
 
 @entry(
@@ -316,11 +366,6 @@ def prv_1_digest(spark, sf):
     return prv.row_digest(fx.table(spark, sf, "lineitem"), F.concat_ws("|", *names))
 
 
-@entry("prv_1_content_hash", None)
-def prv_1_hash(spark, sf):
-    return prv.content_hash(spark, f"{sf}/*.parquet")
-
-
 @entry(
     "prv_2_locked_holdout",
     f"""WITH {fx.MARKET}, h AS (SELECT * FROM market WHERE date >= DATE '2000-06-05')

@@ -63,5 +63,5 @@ def test_flagship_runs(spark):
     assert out.count() > 0
 
 
-def test_every_query_has_sql_except_file_hashes():
-    assert set(driver.queries()) - set(driver.oracle_sql()) <= {"prv_1_content_hash", *(k for k in driver.queries() if k.startswith("op") or k == "pipeline")}
+def test_every_query_has_sql():
+    assert set(driver.queries()) - set(driver.oracle_sql()) <= {k for k in driver.queries() if k.startswith("op") or k == "pipeline"}
