@@ -4,7 +4,9 @@ For t edits a line is split into t + 1 segments; a line within t edits, of the s
 have one of them unchanged, shifted by at most what the edits before and after it allow. So every line is indexed by
 (length, segment number, segment) and probes the index of its own length and of the t lengths below at these shifts.
 Where an index entry has more than ``CROWDED`` lines, the pairs are not taken from it: what is left of its lines is
-split into segments again, and again while entries stay crowded. Candidates are verified with Spark's banded edit distance.
+split into segments again, and again while entries stay crowded. For more edits than one, what is crowded after some
+splits is cut into many small segments, of which each indexed line keeps its rarest. Candidates are verified with Spark's
+banded edit distance.
 
 Joins that carry texts are merge joins at every size, so that their cost in a small run tells that of a large one.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.tables import fresh, stage
@@ -22,6 +24,8 @@ from panelweave.llm.tables import fresh, stage
 CROWDED = 32
 #: Splits of crowded entries for more than one edit. A split leaves as many crowded ways to the same pair as there are edits.
 SPLITS = 4
+#: Small segments of what is left then: of two characters, and at most so many.
+SMALL, MOST_SMALL = 2, 64
 #: (length, edits): lines from this length on may differ by so many edits.
 TAU = ((0, 1),)
 
@@ -150,10 +154,45 @@ def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
         finer = stage(finer.join(_met(finer), "key"), "finer")
         # All entries of a key have the same t and the same indexed length of the rest.
         again = F.col("crowded") & (size > F.col("t")) & ((F.col("t") == 1) | F.lit(split < SPLITS))
-        pairs.append(_pairs(finer.where(~again).select("key", "name", "probe", "d")))
+        rare = F.col("crowded") & (size > F.col("t")) & ~again
+        pairs.append(_pairs(finer.where(~again & ~rare).select("key", "name", "probe", "d")))
+        if split == SPLITS:
+            pairs.append(_rare_pairs(finer.where(rare)))
         crowded = finer.where(again).drop("crowded")
 
 
+def _rare_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of crowded entries (key, name, probe, t, d, rest, size) whose rests may be within t edits.
+
+    The rest of an indexed line is cut into small segments. An edit touches one of them at most, so of any t + 1 segments
+    one stands unchanged, shifted by t at most, in a rest within t edits. An indexed line is found by its t + 1 segments
+    that are rarest among the indexed lines of its entry: where lines differ from what is common to most, by these.
+    """
+    cuts = F.greatest(F.col("t") + 1, F.least(F.lit(MOST_SMALL), (F.col("size") / SMALL).cast("int")))
+    sized = entries.withColumn("cuts", cuts)
+    cut = lambda i: (F.col("size") * i / F.col("cuts")).cast("int")
+
+    def segment(i: Column, shift: Column) -> Column:
+        return F.xxhash64("key", i, F.substring("rest", cut(i) + shift + 1, cut(i + 1) - cut(i)))
+
+    own = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: segment(i, F.lit(0)))
+    indexed = sized.where("not probe").select("key", "name", "t", F.posexplode(own).alias("i", "part"))
+    counted = indexed.groupBy("part").agg(F.count("*").alias("n"))
+    # The segments of one rest: MOST_SMALL rows at most.
+    order = Window.partitionBy("key", "name").orderBy("n", "i")
+    rarest = indexed.join(counted.hint("merge"), "part").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("t") + 1)
+    places = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.col("cuts") - 1),
+            lambda i: F.transform(F.filter(F.sequence(-F.col("t"), F.col("t")), lambda shift: cut(i) + shift >= 0), lambda shift: segment(i, shift)),
+        )
+    )
+    probes = sized.select("name", "d", F.explode(F.array_distinct(places)).alias("part"))
+    left = rarest.select("part", F.col("name").alias("a"))
+    right = probes.select("part", F.col("name").alias("b"), "d")
+    return left.join(right.hint("merge"), "part").where("a <> b and (d > 0 or a < b)").select("a", "b").distinct()
+
+
 def _pairs(entries: DataFrame) -> DataFrame:
     """(a, b) of an indexed line and one that finds it, pairs of equal length once."""
     left = entries.where("not probe").select("key", F.col("name").alias("a"))

@@ -157,12 +157,13 @@ def test_dedup_lines(spark, docs, rows, monkeypatch, crowded):
     assert sum(x[3] for x in expected) > 10
 
 
-@pytest.mark.parametrize("crowded", [1, 32])
-def test_dedup_lines_of_several_edits(spark, monkeypatch, crowded):
+@pytest.mark.parametrize("crowded, splits", [(1, 4), (1, 1), (32, 4)])
+def test_dedup_lines_of_several_edits(spark, monkeypatch, crowded, splits):
     """Edits by the length of the shorter line, and exact repeats of short lines."""
     import random
 
     monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(line_dedup, "SPLITS", splits)
     draw, tau = random.Random(7), ((0, 1), (60, 2), (120, 3))
     every, stems = [], ["".join(draw.choice("abcdef gh") for _ in range(n)).strip() + "." for n in (40, 59, 60, 61, 90, 119, 121, 124, 200, 300)]
     for i in range(70):
@@ -196,6 +197,29 @@ def test_dedup_lines_of_several_edits(spark, monkeypatch, crowded):
     assert len([x for x in expected if x[1] == 3]) > 20 and len([x for x in expected if x[1] == 2]) == 69
 
 
+def test_pairs_of_one_line_edited_in_many_places_stay_few(spark, monkeypatch):
+    """A group of copies of a line, each with other words, has few candidate pairs, however large it is."""
+    import random
+
+    draw = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stem = "".join(draw.choice(letters + "  ") for _ in range(220))
+    counts = []
+    monkeypatch.setattr(line_dedup, "CROWDED", 4)
+    for n in (60, 120):
+        rows = []
+        for i in range(n):
+            at = draw.randrange(0, 200)
+            rows.append((i, stem[:at] + "".join(draw.choice(letters) for _ in range(10)) + stem[at + 10 :]))
+        seen = []
+        plain = line_dedup._rare_pairs
+        monkeypatch.setattr(line_dedup, "_rare_pairs", lambda entries: seen.append(plain(entries)) or seen[-1])
+        line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), tau=((0, 3),)).collect()
+        monkeypatch.setattr(line_dedup, "_rare_pairs", plain)
+        counts.append(seen[0].distinct().count())
+    assert counts[1] < n * (n - 1) / 2 / 3
+
+
 def test_dedup_lines_without_rows(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
