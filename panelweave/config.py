@@ -62,7 +62,9 @@ class ResearchConfig:
     require_baseline_outperformance: bool = True
     require_walk_forward_stability: bool = True
     require_data_readiness: bool = True
-    data_ready: bool = False
+    point_in_time_universe: bool = False
+    survivorship_bias_free: bool = False
+    corporate_actions_adjusted: bool = False
     sector_neutral: bool = False
     liquidity_min_rank: float | None = None
     bootstrap_iterations: int = 0
@@ -86,6 +88,9 @@ class ResearchConfig:
             "require_baseline_outperformance",
             "require_walk_forward_stability",
             "require_data_readiness",
+            "point_in_time_universe",
+            "survivorship_bias_free",
+            "corporate_actions_adjusted",
         ):
             need(type(getattr(self, name)) is bool, f"{name} must be a boolean")
         for name in ("holdout_fraction", "fdr_alpha", "min_holdout_sharpe", "min_holdout_ic"):

@@ -83,11 +83,11 @@ def with_candidate_q(evidence: DataFrame, order: str = "position_in_grid") -> Da
 
 
 def validity_checks(
-    agent: DataFrame, baselines: DataFrame, windows: DataFrame, config: ResearchConfig
+    agent: DataFrame, baselines: DataFrame, windows: DataFrame, config: ResearchConfig, readiness: DataFrame
 ) -> DataFrame:
     """(name, required, passed, observed, threshold): seven checks of the agent's evidence row.
 
-    All inputs are configuration-sized tables.  ``passed`` is null for a check that is not required.
+    All inputs are configuration-sized tables; ``readiness`` is the row of ``data_readiness``.  ``passed`` is null for a check that is not required.
     """
     best = baselines.agg(F.max("holdout_sharpe").alias("best_sharpe"), F.count(F.lit(1)).alias("baseline_count"))
     stable = windows.agg(
@@ -98,6 +98,7 @@ def validity_checks(
             "best_sharpe": best.select("best_sharpe").scalar(),
             "baseline_count": best.select("baseline_count").scalar(),
             "stable_share": stable.select("stable_share").scalar(),
+            "data_ready": readiness.select("data_ready").scalar(),
         }
     )
     c = F.col
@@ -153,8 +154,8 @@ def validity_checks(
         check(
             "data_ready",
             F.lit(config.require_data_readiness),
-            F.lit(config.data_ready),
-            F.lit(1.0 if config.data_ready else 0.0),
+            c("data_ready"),
+            c("data_ready").cast("double"),
             F.lit(1.0),
         ),
     )

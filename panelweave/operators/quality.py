@@ -153,3 +153,37 @@ def source_warnings(
             F.when(~adjusted, "Corporate-action handling is not marked institutional-grade."),
         )
     )
+
+
+READINESS = ["point_in_time_universe", "survivorship_bias_free", "corporate_actions_adjusted"]
+
+
+def data_readiness(claimed: DataFrame, membership: DataFrame | None = None, provenance: DataFrame | None = None) -> DataFrame:
+    """One row: the three flags of ``READINESS`` and ``data_ready``, which needs them all.
+
+    A flag holds if the settings claim it (``claimed``, rows with the flags), the provenance does, or, for the two about
+    the universe, if membership comes from intervals rather than a static list.
+    """
+    rows = claimed.select(*READINESS)
+    if provenance is not None:
+        rows = rows.unionByName(provenance.select(*READINESS))
+    if membership is not None:
+        listed = "point_in_time" in membership.columns  # a static list says itself what it is not
+        first, second = (F.bool_and(c) if listed else F.count(F.lit(1)) > 0 for c in ("point_in_time", "survivorship_free"))
+        rows = rows.unionByName(membership.agg(first.alias(READINESS[0]), second.alias(READINESS[1]), F.lit(False).alias(READINESS[2])))
+    flags = rows.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in READINESS])
+    return flags.withColumn("data_ready", F.col(READINESS[0]) & F.col(READINESS[1]) & F.col(READINESS[2]))
+
+
+def integrity_report(
+    panel: DataFrame, requested: DataFrame, source: str, readiness: DataFrame, provenance: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(overview, warnings): one row of counts and flags, and every warning as a row (rule, subject, message)."""
+    overview = panel_overview(panel, requested).join(readiness, F.lit(True), "left").withColumn("source", F.lit(source))
+    told = source_warnings(F.lit(source), *[F.col(c) for c in READINESS], F.lit(provenance is not None))
+    rows = readiness.select(F.lit("source").alias("rule"), F.lit(None).cast("string").alias("subject"), F.explode(told).alias("message"))
+    if provenance is not None:
+        rows = rows.unionByName(provenance.select(F.lit("provenance").alias("rule"), F.lit(None).cast("string").alias("subject"), F.explode("warnings").alias("message")))
+    rows = rows.unionByName(panel_warnings(panel, requested).select("rule", F.lit(None).cast("string").alias("subject"), "message"))
+    own = quality_warnings(symbol_quality(panel)).select("rule", F.col("symbol").alias("subject"), "message")
+    return overview, rows.unionByName(own)

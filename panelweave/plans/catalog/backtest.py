@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 from dataclasses import fields, replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.config import RANDOM_BASELINE, ResearchConfig, Strategy
 from panelweave.functions.numeric import ERF_SMALL, ERFC_LARGE, ERFC_MIDDLE, MIDDLE_UP_TO, SMALL_UP_TO
 from panelweave.operators import borrow as bor
 from panelweave.operators import evaluate, portfolio, variants
+from panelweave.operators.provenance import snapshot_provenance
+from panelweave.operators.quality import READINESS, data_readiness
+from panelweave.operators.universe import normalize_membership, static_membership
 from panelweave.plans.batch import COMPARED, TOO_SHORT, Batch, parse_settings
 from panelweave.plans.catalog import fixtures as fx
 from panelweave.plans.catalog.signals import MIN_LIQUIDITY, RANDOM_SQL, SIGNALS
-from panelweave.plans.research import Research
+from panelweave.plans.research import Research, claimed_flags
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -627,6 +632,55 @@ def val_6(spark, sf):
     return run(spark, sf, FULL).verdict.withColumn("reasons", F.concat_ws(" ", "reasons"))
 
 
+# Branches of the data's readiness: flags that settings and manifest claim, and whether membership is by intervals.
+_BRANCHES = {
+    "static_unclaimed": ([False, False, False], None, False),
+    "static_claimed": ([True, True, True], None, False),
+    "intervals_only": ([False, False, False], None, True),
+    "intervals_and_manifest": ([False, False, False], [False, False, True], True),
+    "manifest_without_history": ([False, True, False], [False, True, True], False),
+}
+
+
+def ready_run(spark, sf, branch: str) -> Research:
+    claims, manifest, intervals = _BRANCHES[branch]
+    full = run(spark, sf, FULL)
+    settings = replace(FULL, **dict(zip(READINESS, claims, strict=True)))
+    raw = fx.membership(spark, sf)
+    members = normalize_membership(raw, fx.START, fx.END) if intervals else static_membership(raw.select("symbol").distinct(), fx.START, fx.END)
+    told = None if manifest is None else snapshot_provenance(full.panel, dict(zip(READINESS, manifest, strict=True)))
+    readiness = data_readiness(claimed_flags(spark, settings), members, told)
+    return Research(full.panel, settings, full.borrow, full.may_short, readiness=readiness).adopt(full)
+
+
+def _ready_sql(branch: str) -> str:
+    claims, manifest, intervals = _BRANCHES[branch]
+    own = "EXISTS (SELECT 1 FROM membership)" if intervals else "false"
+    flags = [f"({c} OR {m} OR {own if i < 2 else 'false'})" for i, (c, m) in enumerate(zip(claims, manifest or [False] * 3, strict=True))]
+    return f"SELECT '{branch}' AS branch, {', '.join(f'{f} AS {n}' for f, n in zip(flags, READINESS, strict=True))}"
+
+
+@entry("val_5_readiness", f"WITH {fx.MARKET}, {fx.MEMBERSHIP}, r AS ({' UNION ALL '.join(_ready_sql(b) for b in _BRANCHES)})\nSELECT *, {' AND '.join(READINESS)} AS data_ready FROM r")
+def val_5(spark, sf):
+    rows = [ready_run(spark, sf, b).readiness.withColumn("branch", F.lit(b)) for b in _BRANCHES]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@entry(
+    "val_5_ready_checks",
+    run_sql(
+        FULL,
+        f"""{_CHECKS_SQL}, r(branch, ready) AS (VALUES {', '.join(f"('{b}', {b in ('static_claimed', 'intervals_and_manifest')})" for b in _BRANCHES)})
+SELECT branch, name, required, CASE WHEN name = 'data_ready' THEN ready ELSE passed END AS passed,
+  round(CASE WHEN name = 'data_ready' THEN CAST(ready AS INTEGER) ELSE observed END, 6) AS observed FROM checks, r""",
+    ),
+)
+def val_5_checks(spark, sf):
+    """The checks of the same run in each branch."""
+    rows = [ready_run(spark, sf, b).checks.withColumn("branch", F.lit(b)) for b in _BRANCHES]
+    return fx.rounded(reduce(DataFrame.unionByName, rows), "observed").select("branch", "name", "required", "passed", "observed")
+
+
 @entry(
     "val_6_verdict_table",
     f"""WITH {fx.RUNS}, c AS (

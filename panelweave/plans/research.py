@@ -14,23 +14,30 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.config import RANDOM_BASELINE, ResearchConfig, Strategy
 from panelweave.operators import evaluate, factors, inference, portfolio, signals, variants
 from panelweave.operators.borrow import attach_borrow
 from panelweave.operators.groupwise import needs_split
+from panelweave.operators.quality import READINESS, data_readiness
 from panelweave.session import stage
 
 LIQUIDITY = "dollar_volume_20d"
 
 
+def claimed_flags(spark: SparkSession, config: ResearchConfig) -> DataFrame:
+    """The readiness flags of a configuration as a row."""
+    return spark.range(1).select(*[F.lit(getattr(config, c)).alias(c) for c in READINESS])
+
+
 class Research:
     """Tables of one run.  ``panel`` needs date, date_idx, symbol, adj_close, volume (and sector if used).
 
     ``staged`` writes the signal table, the rebalance rows and the daily book once to the shared folder,
-    because each has several consumers; without it every consumer recomputes them.
+    because each has several consumers; without it every consumer recomputes them. ``readiness`` is the row of
+    ``data_readiness``; without it the flags are those that the configuration claims.
     """
 
     def __init__(
@@ -41,8 +48,10 @@ class Research:
         may_short: Column | None = None,
         split: bool | None = None,
         staged: bool = True,
+        readiness: DataFrame | None = None,
     ) -> None:
         self.panel, self.config, self.borrow, self.may_short = panel, config, borrow, may_short
+        self._readiness = readiness
         self.split = needs_split(panel, split, ["date"])
         self.staged = staged
         self.grid = config.variants()
@@ -255,12 +264,16 @@ class Research:
         )
         return inference.with_candidate_q(found)
 
+    @cached_property
+    def readiness(self) -> DataFrame:
+        return data_readiness(claimed_flags(self.panel.sparkSession, self.config)) if self._readiness is None else self._readiness
+
     @cached_property
     def checks(self) -> DataFrame:
         kinds = F.col("family")
         agent_windows = self.walk_forward.where(F.col("variant") == self.grid[0].variant)
         return inference.validity_checks(
-            self.evidence.where(kinds == "primary"), self.evidence.where(kinds == "baseline"), agent_windows, self.config
+            self.evidence.where(kinds == "primary"), self.evidence.where(kinds == "baseline"), agent_windows, self.config, self.readiness
         )
 
     @cached_property
