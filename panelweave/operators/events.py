@@ -436,7 +436,7 @@ def evidence_errors(events: DataFrame, files: DataFrame, order: str = "seq") ->
     ``files`` have path, sha256 and text, one row for each evidence file.
     """
     told = events.where("event_type = 'recommended'")
-    known = files.select(F.col("path").alias("__path"), F.col("sha256").alias("__sha"), F.from_json("text", _EVIDENCE_ROWS).alias("__told"), F.get_json_object("text", "$").isNull().alias("__broken"))
+    known = files.select(F.col("path").alias("__path"), F.col("sha256").alias("__sha"), F.from_json("text", _EVIDENCE_ROWS).alias("__told"), F.try_parse_json("text").isNull().alias("__broken"))
     joined = told.join(known, F.col("evidence_path") == F.col("__path"), "left")
     own = F.filter(F.coalesce("__told.rows", F.array().cast(_EVIDENCE_ROWS.split(" ", 1)[1])), lambda x: x["run_id"] == F.col("run_id"))
     joined = joined.withColumn("__own", own).withColumn("__row", F.get("__own", 0))

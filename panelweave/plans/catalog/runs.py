@@ -12,7 +12,7 @@ from panelweave.plans.catalog import fixtures as fx
 from panelweave.plans.catalog.backtest import bh_sql, run_sql
 from panelweave.session import shared_folder
 from panelweave.sources import sinks
-from panelweave.sources.manifests import read_manifests, write_manifests
+from panelweave.sources.manifests import read_documents, read_manifests, write_manifests
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -63,19 +63,86 @@ def parsed(spark, sf):
     return read_manifests(spark, f"{_STORES[key]}/*.txt", multi_line=False)
 
 
+_CANDIDATES = ["holdout_ic_mean", "holdout_sharpe", "holdout_total_return", "p_value", "q_value"]
+
+
 @entry(
     "snk_2_manifest_documents",
-    f"WITH {fx.RUNS} SELECT run_id, config_sha256, code_dirty FROM runs",
+    f"""WITH {fx.RUNS} SELECT run_id, experiment, generated_at, family_id, CASE WHEN family_id IS NOT NULL THEN hypothesis_id END AS hypothesis_id,
+  CASE WHEN family_id IS NOT NULL THEN candidate_id END AS candidate_id, CASE WHEN family_id IS NOT NULL THEN selection_policy END AS selection_policy,
+  config_sha256, code_commit, code_branch, code_dirty, source, dataset_id,
+  (SELECT coalesce(string_agg(concat('S', i), ','), '') FROM range(symbol_count) t(i)) AS symbols, concat('reports/', run_id, '.md') AS report_path,
+  'results/experiments.csv' AS experiments_path, concat('runs/', run_id, '/manifest.json') AS manifest_path,
+  {', '.join(f'round({c}, 9) AS test_{c}' for c in ('sharpe', 'total_return', 'ic_mean', 'max_drawdown', 'average_total_cost', 'average_turnover'))},
+  round(coalesce(sharpe, 0) / 3, 9) AS holdout_sharpe, round(total_return / 3, 9) AS holdout_total_return, round(ic_mean / 3, 9) AS holdout_ic_mean,
+  round(sharpe * 2, 9) AS full_sharpe, round(total_return * 2, 9) AS full_total_return, verdict, key % 2 = 0 AS on_top,
+  concat_ws(';', concat_ws(',', 'momentum_20d_only', 'baseline', {{0}}), CASE WHEN has_agent THEN concat_ws(',', 'agent_signal', 'primary', {{0}}) END) AS candidates FROM runs""".replace(
+        "{0}",
+        ", ".join(
+            f"CAST(CAST(round(({v}) * 1000000) AS BIGINT) AS VARCHAR)"
+            for v in ("ic_mean / 2", "coalesce(sharpe, 0) / 2", "total_return / 2", "CASE WHEN key % 23 <> 5 THEN p_value END", "0.5")
+        ),
+    ),
 )
 def snk_2(spark, sf):
-    text = fx.manifests(spark, sf).select(F.to_json(F.struct(*rn.MANIFEST_SCHEMA.fieldNames())).alias("value"))
-    return text.select(
-        F.get_json_object("value", "$.run_id").alias("run_id"),
-        F.get_json_object("value", "$.config.sha256").alias("config_sha256"),
-        F.get_json_object("value", "$.code.dirty").cast("boolean").alias("code_dirty"),
+    """Every field of the documents after they have been written and read again."""
+    rows = parsed(spark, sf)
+    test = [F.round(f"metrics.test.{c}", 9).alias(f"test_{c}") for c in ("sharpe", "total_return", "ic_mean", "max_drawdown", "average_total_cost", "average_turnover")]
+    other = [F.round(f"metrics.{split}.{c}", 9).alias(f"{split}_{c}") for split, cs in (("holdout", ("sharpe", "total_return", "ic_mean")), ("full", ("sharpe", "total_return"))) for c in cs]
+    on_top = F.col("research_validity").isNotNull()
+    validity = F.coalesce("research_validity", "metrics.research_validity")
+    number = lambda x: F.round(x * 1_000_000).cast("long").cast("string")
+    candidate = lambda x: F.concat_ws(",", x["name"], x["family"], *[number(x[c]) for c in _CANDIDATES])
+    return rows.select(
+        "run_id",
+        "experiment",
+        "generated_at",
+        *[f"experiment_family.{c}" for c in ("family_id", "hypothesis_id", "candidate_id", "selection_policy")],
+        F.col("config.sha256").alias("config_sha256"),
+        *[F.col(f"code.{c}").alias(f"code_{c}") for c in ("commit", "branch", "dirty")],
+        "data.source",
+        F.col("data.snapshot_dataset_id").alias("dataset_id"),
+        F.array_join("data.observed_symbols", ",").alias("symbols"),
+        *[f"artifacts.{c}" for c in ("report_path", "experiments_path", "manifest_path")],
+        *test,
+        *other,
+        validity["verdict"].alias("verdict"),
+        on_top.alias("on_top"),
+        F.array_join(F.transform(validity["candidates"], candidate), ";").alias("candidates"),
     )
 
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def document_folder(spark, sf):
+    """A folder with one file per run, one in 97 cut short, one without a run_id and one without test metrics. Written once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FOLDERS:
+        folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+        k = F.substring("run_id", 5, 20).cast("long")
+        text = F.to_json(F.struct(*rn.MANIFEST_SCHEMA.fieldNames()))
+        nameless = F.to_json(F.struct(*[c for c in rn.MANIFEST_SCHEMA.fieldNames() if c != "run_id"]))
+        untested = F.to_json(F.struct("run_id", "experiment", F.struct("metrics.full").alias("metrics")))
+        value = F.when(k % 97 == 5, F.substring(text, 1, 200)).when(k % 97 == 6, nameless).when(k % 97 == 7, untested).otherwise(text)
+        fx.manifests(spark, sf).select(F.col("run_id").alias("run"), value.alias("value")).write.option("lineSep", "\n").partitionBy("run").text(folder)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+@entry(
+    "src_8_small_documents",
+    f"""WITH {fx.RUNS} SELECT run_id AS run, CASE key % 97 WHEN 5 THEN 'not valid JSON' WHEN 6 THEN 'run_id is missing' WHEN 7 THEN 'metrics.test is missing' END AS error,
+  CASE WHEN key % 97 NOT IN (5, 6, 7) THEN run_id END AS run_id, CASE WHEN key % 97 NOT IN (5, 6, 7) THEN code_commit END AS code_commit,
+  CASE WHEN key % 97 NOT IN (5, 6, 7) THEN round(total_return, 9) END AS total_return FROM runs""",
+)
+def src_8_documents(spark, sf):
+    """One-document files, damaged ones as rows."""
+    found = read_documents(spark, f"{document_folder(spark, sf)}/*/*.txt")
+    run = F.regexp_extract("manifest_path", r"run=([^/]+)/", 1)
+    return found.select(run.alias("run"), "error", "document.run_id", F.col("document.code.commit").alias("code_commit"), F.round("document.metrics.test.total_return", 9).alias("total_return"))
+
+
 @entry(
     "cmp_1_comparison_rows",
     f"""WITH {COMPARED} SELECT run_id, experiment, generated_at, source, dataset_id, config_sha256, code_commit, code_dirty,

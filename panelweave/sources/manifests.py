@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.operators.groupwise import input_bytes
 from panelweave.operators.runs import MANIFEST_SCHEMA
 from panelweave.sources.panel import require_rows
 
+#: Bytes of small documents that a task reads, and those that opening a file counts as.
+TASK_BYTES, OPEN_BYTES = 64 << 20, 64 << 10
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(manifest_path, document, error): one row for each one-document file of a glob, damaged ones included.
+
+    Documents are small and many: Spark counts megabytes for opening each file, which would make a task of a few dozen,
+    so files are packed by what they hold and a small part for opening each. ``document`` is null where ``error`` says why.
+    """
+    files = spark.read.text(path, wholetext=True)
+    size = (input_bytes(files) or 0) + OPEN_BYTES * len(files.inputFiles())
+    tasks = max(1, -(-size // TASK_BYTES))
+    texts = files.select(F.col("_metadata.file_path").alias("manifest_path"), F.col("value").alias("text")).coalesce(tasks)
+    return texts.select("manifest_path", F.from_json("text", MANIFEST_SCHEMA).alias("document"), _damage(F.col("text")).alias("error")).select(
+        "manifest_path", F.when(F.col("error").isNull(), F.col("document")).alias("document"), "error"
+    )
+
+
+def _damage(text: Column) -> Column:
+    """What keeps a document from being a manifest, or null."""
+    parsed = F.try_parse_json(text)
+    run_id = F.try_variant_get(parsed, "$.run_id", "string")
+    return (
+        F.when(parsed.isNull(), "not valid JSON")
+        .when(run_id.isNull() | (run_id == ""), "run_id is missing")
+        .when(F.try_variant_get(parsed, "$.metrics.test", "variant").isNull(), "metrics.test is missing")
+    )
+
 
 def read_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Manifests under ``path``: a file or glob, or ``*/manifest.json`` below a folder; adds manifest_path.
 
-    ``multi_line`` is for one document per file; packed manifests are one document per line.
+    ``multi_line`` is for one document per file, of which damaged ones are left out (``read_documents`` shows them);
+    packed manifests are one document per line.
     """
     glob = path if path.endswith((".json", ".txt")) else f"{path.rstrip('/')}/*/manifest.json"
-    reader = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", multi_line)
-    found = reader.json(glob).select("*", F.col("_metadata.file_path").alias("manifest_path"))
+    if multi_line:
+        found = read_documents(spark, glob).where("error IS NULL").select("document.*", "manifest_path")
+    else:
+        found = spark.read.schema(MANIFEST_SCHEMA).json(glob).select("*", F.col("_metadata.file_path").alias("manifest_path"))
     return require_rows(found, f"No manifest.json files found under {path}")
 
 
