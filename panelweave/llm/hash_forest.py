@@ -26,6 +26,8 @@ TREES, BITS, SEED = 20, 64, 7
 #: Levels of the tries that the driver holds: TREES * 2**TRIE counts, whatever the number of vectors.
 TRIE = 12
 BLOCK_ROWS, GROUP_QUERIES = 4096, 4096
+#: Pairs multiplied at once.
+PAIRS = 1 << 15
 #: Strings that a query looks at in each tree and direction on its way down.
 REACH = 32
 WANTED = 0.9
@@ -188,11 +190,11 @@ def _search(nodes: DataFrame, queries: DataFrame, width: int, longest: float, k:
 
     def gather(looking: DataFrame, down: bool) -> DataFrame:
         looking = stage(looking, "looking")
-        crowd = {r["block"]: -(-r["count"] // GROUP_QUERIES) for r in looking.groupBy("block").count().where(f"count > {GROUP_QUERIES}").collect()}  # at most one row per block
-        groups = F.create_map(*[F.lit(int(x)) for item in crowd.items() for x in item]).getItem(F.col("block")) if crowd else F.lit(1)
-        groups = F.coalesce(groups, F.lit(1))
-        left = arrays.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1)))
-        right = looking.withColumn("part", F.pmod(F.xxhash64("query"), groups).cast("int"))
+        asked_for = looking.groupBy("block").count().where(F.col("count") > GROUP_QUERIES)
+        crowd = stage(asked_for.select("block", F.ceil(F.col("count") / GROUP_QUERIES).cast("int").alias("groups")), "crowded")
+        groups = F.coalesce("groups", F.lit(1))
+        left = arrays.join(crowd, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1))).drop("groups")
+        right = looking.join(crowd, "block", "left").withColumn("part", F.pmod(F.xxhash64("query"), groups).cast("int")).drop("groups")
 
         def meet(rows: pa.Table, asking: pa.Table) -> pa.Table:
             if not rows.num_rows or not asking.num_rows:
@@ -202,6 +204,12 @@ def _search(nodes: DataFrame, queries: DataFrame, width: int, longest: float, k:
             code, node, vec = code[order], rows.column("node").to_numpy()[order], _matrix(rows.column("vec"), width)[order]
             q_code, query = asking.column("q_code").to_numpy().view(np.uint64), asking.column("query").to_numpy()
             q_vec, level, bound = _matrix(asking.column("q_vec"), width), asking.column("level").to_numpy(), asking.column("bound").to_numpy()
+
+            def products(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+                """The same additions for a pair wherever it meets."""
+                parts = [(q_vec[q[i : i + PAIRS]] * vec[at[i : i + PAIRS]]).sum(1) for i in range(0, len(q), PAIRS)]
+                return np.concatenate(parts) if parts else np.zeros(0)
+
             if down:
                 place = np.searchsorted(code, q_code)
                 at = place[:, None] + np.arange(-REACH, REACH)
@@ -225,16 +233,17 @@ def _search(nodes: DataFrame, queries: DataFrame, width: int, longest: float, k:
                     column = np.arange(len(code))
                     outside = (column < begin[:, None]) | (column >= end[:, None]) | (score < bound[a : a + 128, None] - 1e-9 * longest)
                     score[outside] = -np.inf
-                    if len(code) > k + 4:
-                        top = np.argpartition(-score, k + 3, axis=1)[:, : k + 4]
-                    else:
-                        top = np.tile(column, (len(low), 1))
-                    q, column = np.repeat(np.arange(len(low)), top.shape[1]), top.reshape(-1)
-                    keep = score[q, column] > -np.inf
-                    qs.append(q[keep] + a)
-                    ats.append(column[keep])
+                    # All that may be as near as the last wanted one; of ties the smaller numbers stay.
+                    least = np.partition(score, -k - 1, axis=1)[:, -k - 1] if len(code) > k else np.full(len(low), -np.inf)
+                    q, column = np.nonzero((score >= least[:, None] - 1e-9 * longest) & (score > -np.inf))
+                    exact = products(q + a, column)
+                    order = np.lexsort((node[column], -exact, q))
+                    q, column = q[order], column[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    qs.append(q[place <= k] + a)
+                    ats.append(column[place <= k])
                 q, at = np.concatenate(qs), np.concatenate(ats)
-            score = (q_vec[q] * vec[at]).sum(1)  # the same additions for a pair wherever it meets
+            score = products(q, at)
             return pa.table({"query": query[q], "node": node[at], "score": score})
 
         met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, "query long, node long, score double")

@@ -401,3 +401,18 @@ def test_quality(spark, docs, rows, no_docs):
     nothing = quality.learn(no_docs, labels)
     assert {r.score for r in quality.score_quality(docs, nothing).collect()} == {0.5}
     assert quality.score_quality(no_docs, model).count() == 0
+
+
+def test_quality_of_a_repeated_id(spark, prose):
+    """One doc_id with most of the rows, repeated labels and labels of no document take no place of others in the sample."""
+    good, bad = [prose(i, 80) for i in range(100)], [" ".join(["junk"] * 60) + "!" * (20 + i) for i in range(100)]
+    texts = [(2 * i, g, 1) for i, g in enumerate(good)] + [(2 * i + 1, b, 0) for i, b in enumerate(bad)]
+    hot = next(t for t in texts if zlib.crc32(str(t[0]).encode()) % 3 != 1)
+    table = spark.createDataFrame([t[:2] for t in texts] + [hot[:2]] * 400, "doc_id long, text string")
+    labels = [(t[0], t[2]) for t in texts] + [(hot[0], hot[2])] * 400 + [(10_000 + i, i % 2) for i in range(2000)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = quality.score_quality(table, quality.learn(table, labels, sample=100)).collect()
+    truth = {t[0]: t[2] for t in texts}
+    held = [r for r in out if r.held_out]
+    assert len({r.score for r in out}) > 1
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)

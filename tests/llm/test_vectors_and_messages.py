@@ -33,6 +33,20 @@ def test_nearest(spark):
     assert sorted((r.query_id, r.rank) for r in few) == [(0, i) for i in range(1, 5)]
 
 
+def test_nearest_of_many_ties(spark, monkeypatch):
+    """All vectors of +-1 in 10 dimensions: whole shells are equally near, and the smaller ids of them count."""
+    monkeypatch.setattr(hash_forest, "GROUP_QUERIES", 8)
+    x = np.array([[1.0 if i >> b & 1 else -1.0 for b in range(10)] for i in range(1024)])
+    ids = np.random.default_rng(2).permutation(5000)[:1024]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    out = hash_forest.nearest(df, wanted=0.999999).collect()
+    for n in np.flatnonzero(ids % 20 == 0):
+        score = np.where(np.arange(1024) == n, -np.inf, x @ x[n])
+        best = np.lexsort((ids, -score))[:20]
+        own = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == ids[n])
+        assert [(v, s) for _, v, s in own] == [(int(ids[b]), float(score[b])) for b in best]
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Hello  there\nHow are you?", "?"),
