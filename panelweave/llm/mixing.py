@@ -14,6 +14,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.llm.numbering import numbered
 from panelweave.llm.tables import stage, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,6 +97,44 @@ def route(supply: dict[str, tuple[int, tuple[str | None, ...]]], target: dict[st
     return found
 
 
+def _filled(placed: DataFrame) -> DataFrame:
+    """Adds ``fills``: whether a document of (pattern, size, draw, doc_id, at, left, within) fills what is left of its flow.
+
+    Sizes are taken from the smallest on, all their documents while they fit, of the first that does not as many as fit;
+    sums over sizes are aggregates, and that one size is numbered in parts, so no group sits in one task. What is left
+    then is less than the next size, and one more document is taken if that brings the sum nearer.
+    """
+    ends = F.max(F.when(F.col("within"), F.col("at") + F.col("size")).otherwise(0))
+    gaps = placed.groupBy("pattern").agg((F.first("left") - ends).alias("gap")).where("gap > 0")
+    # At most one row per pattern, of which there are MOST_PATTERNS at most.
+    open_ = placed.where("not within and size > 0").join(F.broadcast(gaps), "pattern")
+    fitting = stage(open_.where("size <= gap").select("pattern", "size", "gap", "draw", "doc_id", "at"), "fitting")
+    by_size = fitting.groupBy("pattern", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
+    smaller = Window.partitionBy("pattern").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    room = by_size.withColumn("rest", F.col("gap") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(smaller), F.lit(0)))
+    room = room.withColumn("take", F.least(F.col("n"), F.greatest(F.lit(0), F.floor(F.col("rest") / F.col("size"))))).where("take > 0")
+    room = stage(room.select("pattern", "size", "n", "take", "rest"), "room")
+    whole = room.where("take = n").select(F.col("pattern").alias("_pattern"), F.col("size").alias("_size"))
+    # Of each pattern one size is taken in part.
+    cut = room.where("take < n").select("pattern", "size", "take")
+    some = fitting.join(F.broadcast(cut), ["pattern", "size"])
+    key = F.concat_ws("|", F.col("size").cast("string"), "pattern")
+    some = stage(some.withColumn("key", key).select("key", "pattern", "draw", "doc_id", "at", "take"), "some")
+    some = numbered(some, "key", [F.col("draw"), F.col("at"), F.col("doc_id")], "number").where("number < take")
+    spent = room.groupBy("pattern").agg(F.sum(F.col("take") * F.col("size")).alias("spent"))
+    lasting = gaps.join(spent, "pattern", "left").select("pattern", (F.col("gap") - F.coalesce("spent", F.lit(0))).alias("gap"))
+    named = some.select(F.col("pattern").alias("_of"), F.col("at").alias("_at"))
+    out = placed.join(named, (F.col("pattern") == F.col("_of")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
+    out = out.join(whole, (F.col("pattern") == F.col("_pattern")) & (F.col("size") == F.col("_size")), "left")
+    taken = ~F.col("within") & (F.col("_of").isNotNull() | (F.col("_pattern").isNotNull() & (F.col("size") > 0)))
+    out = stage(out.withColumn("fills", taken).drop("_of", "_at", "_pattern", "_size"), "filled")
+    left = out.where("not within and not fills and size > 0").join(F.broadcast(lasting), "pattern").where("size < 2 * gap")
+    best = left.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("at").alias("best")))["best"].alias("best"))
+    out = out.join(F.broadcast(best), "pattern", "left")
+    one = F.coalesce((F.col("at") == F.col("best")) & (F.col("size") > 0), F.lit(False))
+    return out.withColumn("fills", F.col("fills") | one)
+
+
 def mix_sources(docs: DataFrame, repeats: int = 3, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, members: str | None = None, also: list[str] | None = None) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``uses``, ``taken`` and ``routed`` to (doc_id, source).
 
@@ -148,13 +187,10 @@ def mix_sources(docs: DataFrame, repeats: int = 3, seed: int = 17, weights: tupl
     placed = placed.withColumn("at", F.col("before") + F.col("inside")).withColumn("rounds", rounds).drop("before", "inside")
     placed = placed.withColumn("left", F.col("flow") - F.col("rounds") * F.col("whole"))
     placed = stage(placed.withColumn("within", (F.col("size") > 0) & (F.col("at") + F.col("size") <= F.col("left"))), "placed")
-    # The last round takes the documents that fit before its end, and the one beyond that fills the rest best.
-    filled = F.max(F.when(F.col("within"), F.col("at") + F.col("size")).otherwise(0))
-    gaps = placed.groupBy("pattern").agg((F.first("left") - filled).alias("gap"))
-    beyond = placed.where("not within and size > 0").join(F.broadcast(gaps), "pattern").where("size < 2 * gap")
-    best = beyond.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("at").alias("best")))["best"].alias("best"))
-    placed = placed.join(F.broadcast(best), "pattern", "left")
-    again = F.col("within") | F.coalesce((F.col("at") == F.col("best")) & (F.col("size") > 0), F.lit(False))
+    # The last round takes the documents that end before the flow does. What is left of it, less than the document that
+    # crosses the end, is filled with the smallest others, then with the one that leaves the least error.
+    placed = _filled(placed)
+    again = F.col("within") | F.col("fills")
     uses = F.when(F.col("size") == 0, (F.col("flow") > 0).cast("int")).otherwise(F.least(F.lit(repeats), F.col("rounds") + again.cast("int"))).cast("int")
     placed = placed.withColumn("uses", uses).withColumn("middle", F.col("at") + F.col("size") / 2)
     routed = F.expr("transform(slice(sequence(0, uses), 1, uses), r -> coalesce(get(names, size(filter(ends, e -> e <= r * whole + middle))), names[size(names) - 1]))")

@@ -416,3 +416,18 @@ def test_quality_of_a_repeated_id(spark, prose):
     held = [r for r in out if r.held_out]
     assert len({r.score for r in out}) > 1
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_mix_fills_its_targets(spark):
+    """Long documents at the end of the flow leave no gap that shorter ones could fill; plain targets, counted by hand."""
+    rows = [(i, "w " * 400, "a") for i in range(60)] + [(1000 + i, "w " * 10, "a") for i in range(700)] + [(5000 + i, "w " * 977, "b") for i in range(30)] + [(6000 + i, "w " * 3, "b") for i in range(1500)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size = {"a": 60 * 400 + 7000, "b": 30 * 977 + 4500}
+    target = {"a": sum(size.values()) * 5 / 7, "b": sum(size.values()) * 2 / 7}
+    assert all(size[s] < target[s] or s == "b" for s in size)
+    for s, least in (("a", 10), ("b", 3)):
+        assert {r.target for r in out if r.source == s} == {target[s]}
+        assert abs(sum(r.taken for r in out if r.source == s) - target[s]) <= least
+    assert len(out) == len(rows) and max(r.uses for r in out) <= 3
+    again = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    assert sorted((r.doc_id, r.uses) for r in out) == sorted((r.doc_id, r.uses) for r in again)
