@@ -103,23 +103,33 @@ def build_positions(
     return legs.where(tradable).withColumn("weight", leg_weight())
 
 
+# Warnings of a portfolio of one date.
+WEIGHT_WARNINGS = {
+    "too_few": "Fewer than five assets were available for portfolio construction.",
+    "no_longs": "No long candidates passed the configured quantile.",
+    "no_shorts": "No short candidates passed configured shortability constraints.",
+}
+
+
 def target_weights(
-    df: DataFrame, quantile: float, shortable: Column | None = None, split: bool | None = None
+    df: DataFrame, quantile: float, shortable: Column | None = None, split: bool | None = None, keys: list[str] | None = None
 ) -> DataFrame:
-    """As-of weights of one date: one empty leg is allowed, fewer than five names gives zeros.
+    """As-of weights per group of ``keys`` (the date): one empty leg is allowed, fewer than five names gives zeros.
 
-    Adds target_weight, risk_status and the warning flags too_few, no_longs, no_shorts.
+    Adds target_weight, risk_status, the warning flags too_few, no_longs, no_shorts and their texts as ``warnings``.
     """
-    legs = with_legs(df.withColumn("quantile", F.lit(float(quantile))), [quantile], ["date"], shortable, split)
+    legs = with_legs(df.withColumn("quantile", F.lit(float(quantile))), [quantile], keys or ["date"], shortable, split)
     few = F.col("n_values") < MINIMUM_NAMES
-    return legs.withColumns(
+    flagged = legs.withColumns(
         {
             "target_weight": F.when(few, F.lit(0.0)).otherwise(leg_weight()),
             "too_few": few,
             "no_longs": ~few & (F.col("n_long") == 0),
             "no_shorts": ~few & (F.col("n_short") == 0),
         }
-    ).withColumn("risk_status", F.when(F.col("target_weight") != 0.0, "pass").otherwise("watch"))
+    )
+    texts = F.array_compact(F.array(*[F.when(F.col(c), F.lit(text)) for c, text in WEIGHT_WARNINGS.items()]))
+    return flagged.withColumns({"risk_status": F.when(F.col("target_weight") != 0.0, "pass").otherwise("watch"), "warnings": texts})
 
 
 def with_trades(positions: DataFrame) -> DataFrame:

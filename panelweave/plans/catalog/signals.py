@@ -8,7 +8,7 @@ from panelweave.operators import borrow as bor
 from panelweave.operators import factors as fac
 from panelweave.operators import signals as sig
 from panelweave.operators.portfolio import target_weights
-from panelweave.plans.as_of import signal_as_of
+from panelweave.plans.as_of import signal_as_of, signals_as_of
 from panelweave.plans.catalog import fixtures as fx
 from panelweave.plans.catalog.data import sql_normal
 
@@ -225,9 +225,38 @@ weights AS (SELECT *, CASE WHEN n < 5 THEN 0.0 WHEN ish THEN -1.0 / ns WHEN il T
 
 
 def as_of_rows(spark, sf):
-    """Signal of the last date on or before AS_OF; history is cut to what the factors can reach."""
+    """Signal of the last date on or before AS_OF with the locates of that date; history is cut to what the factors can reach."""
     day = signal_as_of(fx.panel(spark, sf), AS_OF, fx.POSITIVE, fx.NEGATIVE, fx.dates(spark, sf))
-    return bor.attach_borrow(day, bor.normalize_borrow(fx.borrow(spark, sf), fx.dates(spark, sf)))
+    dates = day.select("date").distinct()
+    own = fx.borrow(spark, sf).join(F.broadcast(dates.select(F.col("date").alias("day"))), F.col("date").cast("date") == F.col("day"), "left_semi")
+    return bor.attach_borrow(day, bor.normalize_borrow(own, dates))
+
+
+# Requested days: in the week of a date, on a date, the day before it, years apart, and before the first signal.
+AS_OF_DAYS = ["1999-03-03", "1999-03-08", "1999-03-07", AS_OF, "2001-11-30", "1990-01-01"]
+
+
+@entry(
+    "sig_8_many_dates",
+    f"""WITH {SIGNALS}, {fx.BORROW}, asked(as_of) AS (VALUES {', '.join(f"(DATE '{d}')" for d in AS_OF_DAYS)}),
+days AS (SELECT as_of, (SELECT max(date) FROM base WHERE agent IS NOT NULL AND date <= as_of) AS date FROM asked),
+picked AS (SELECT d.as_of, b.date, b.symbol, agent AS signal, coalesce(w.shortable, false) AND b.symbol_no % 9 <> 8 AS can_short
+  FROM days d JOIN base b ON b.date = d.date AND b.agent IS NOT NULL LEFT JOIN borrow w ON w.date = b.date AND w.symbol = b.symbol),
+pcut AS (SELECT as_of, count(*) AS n, round(quantile_cont(signal, {fx.QUANTILE}), 12) AS lo, round(quantile_cont(signal, {1 - fx.QUANTILE}), 12) AS hi FROM picked GROUP BY 1),
+plegs AS (SELECT p.*, n, signal >= hi AS il, signal <= lo AND can_short AS ish FROM picked p JOIN pcut USING (as_of)),
+pw AS (SELECT *, count(*) FILTER (WHERE il) OVER (PARTITION BY as_of) AS nl, count(*) FILTER (WHERE ish) OVER (PARTITION BY as_of) AS ns FROM plegs),
+rows AS (SELECT *, CASE WHEN n < 5 THEN 0.0 WHEN ish THEN -1.0 / ns WHEN il THEN 1.0 / nl ELSE 0.0 END AS target_weight FROM pw)
+SELECT as_of, date, symbol, round(signal, 9) AS signal, row_number() OVER (PARTITION BY as_of ORDER BY signal DESC, symbol) AS rank, round(target_weight, 6) AS target_weight,
+  CASE WHEN target_weight <> 0 THEN 'pass' ELSE 'watch' END AS risk_status, 'positive={', '.join(fx.POSITIVE)}; negative={', '.join(fx.NEGATIVE)}' AS reason,
+  concat_ws(' ', CASE WHEN n < 5 THEN 'Fewer than five assets were available for portfolio construction.' END,
+    CASE WHEN n >= 5 AND nl = 0 THEN 'No long candidates passed the configured quantile.' END,
+    CASE WHEN n >= 5 AND ns = 0 THEN 'No short candidates passed configured shortability constraints.' END) AS warnings FROM rows""",
+)
+def sig_8_many(spark, sf):
+    asked = spark.createDataFrame([(d,) for d in AS_OF_DAYS], "as_of string").select(F.col("as_of").cast("date").alias("as_of"))
+    out = signals_as_of(fx.panel(spark, sf), asked, fx.POSITIVE, fx.NEGATIVE, fx.QUANTILE, fx.dates(spark, sf), fx.borrow(spark, sf), F.col("symbol_no") % 9 != 8)
+    out = out.withColumns({"signal": F.round("signal", 9), "target_weight": F.round("target_weight", 6), "warnings": F.concat_ws(" ", "warnings")})
+    return out.select("as_of", "date", "symbol", "signal", "rank", "target_weight", "risk_status", "reason", "warnings")
 
 
 @entry("sig_8_as_of_rank", f"WITH {AS_OF_SQL} SELECT date, symbol, round(signal, 9) AS signal, rank FROM weights")

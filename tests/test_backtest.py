@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelweave.config import ResearchConfig, Strategy
 from panelweave.operators import evaluate, portfolio
 from panelweave.operators.factors import with_factors, with_forward_returns
-from panelweave.plans.as_of import signal_as_of
+from panelweave.plans.as_of import latest_before, signal_as_of, signals_as_of
 from panelweave.plans.research import Research
 from panelweave.sources.panel import with_date_index
 
@@ -199,3 +199,38 @@ def test_as_of_signal_uses_no_later_rows_and_falls_back(spark):
     )
     older = signal_as_of(gap, last, ["momentum_60d"], []).collect()
     assert {r.date for r in older} == {days[69]}
+
+
+def test_many_requested_days_equal_single_ones(spark):
+    """Days on, between, before and after the dates of the panel, two with one date, and a last date without a signal."""
+    panel = make_panel(spark, 90)
+    days = [r.date for r in panel.select("date").distinct().orderBy("date").collect()]
+    gap = panel.where(~((F.col("date") == days[80]) & (F.col("symbol") != "AAA"))).withColumn("adj_close", F.when(F.col("date") == days[80], None).otherwise(F.col("adj_close")))
+    calendar = panel.select("date", "date_idx").distinct()
+    asked = [days[70], days[70] + dt.timedelta(hours=12), days[75], days[80], days[89] + dt.timedelta(days=30), days[0] - dt.timedelta(days=3), days[10]]
+    requests = spark.createDataFrame([(d,) for d in asked], "as_of date")
+    found = signals_as_of(gap, requests, ["momentum_60d"], ["volatility_20d"], 0.34, calendar).collect()
+    assert {r.as_of for r in found} == {days[70], days[75], days[80], days[89] + dt.timedelta(days=30)}
+    for day in {r.as_of for r in found}:
+        own = sorted((r for r in found if r.as_of == day), key=lambda r: r["rank"])
+        known = gap.where(F.col("date") <= day)
+        alone = {r.symbol: (r.date, r.signal) for r in signal_as_of(known, day.isoformat(), ["momentum_60d"], ["volatility_20d"]).collect()}
+        assert {r.symbol: (r.date, r.signal) for r in own} == alone
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+        assert [(-r.signal, r.symbol) for r in own] == sorted((-r.signal, r.symbol) for r in own)
+        assert sum(r.target_weight for r in own) == pytest.approx(0.0) and own[0].target_weight > 0 and own[0].warnings == []
+        assert {r.reason for r in own} == {"positive=momentum_60d; negative=volatility_20d"}
+    assert {r.date for r in found if r.as_of == days[80]} == {days[79]}
+    matched = {r.as_of: r.date for r in latest_before(requests, calendar).collect()}
+    assert matched[days[75]] == days[75] and matched[days[0] - dt.timedelta(days=3)] is None
+
+
+def test_many_days_with_locates(spark):
+    panel = make_panel(spark, 70)
+    days = [r.date for r in panel.select("date").distinct().orderBy("date").collect()]
+    requests = spark.createDataFrame([(days[65],), (days[69],)], "as_of date")
+    locates = spark.createDataFrame([(str(days[69]), s.lower(), "yes", 10.0) for s in SYMBOLS] + [(str(days[3]), "aaa", "perhaps", 1.0)], "date string, symbol string, shortable string, borrow_fee_bps double")
+    found = signals_as_of(panel, requests, ["momentum_20d"], [], 0.34, panel.select("date", "date_idx").distinct(), locates).collect()
+    first = [r for r in found if r.as_of == days[65]]
+    assert min(r.target_weight for r in first) == 0.0 and first[0].warnings == ["No short candidates passed configured shortability constraints."]
+    assert min(r.target_weight for r in found if r.as_of == days[69]) < 0
