@@ -4,7 +4,8 @@ For t edits a line is split into t + 1 segments; a line within t edits, of the s
 have one of them unchanged, shifted by at most what the edits before and after it allow. So every line is indexed by
 (length, segment number, segment) and probes the index of its own length and of the t lengths below at these shifts.
 Where an index entry has more than ``CROWDED`` lines, the pairs are not taken from it: what is left of its lines is
-split into segments again, and again while entries stay crowded. Candidates are verified with Spark's banded edit distance.
+split into segments again, and again while entries stay crowded, and sketches of lines rule out pairs with too many edits.
+Candidates are verified with Spark's banded edit distance.
 
 Joins that carry texts are merge joins at every size, so that their cost in a small run tells that of a large one.
 """
@@ -103,11 +104,12 @@ def removed_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int
     entries = entries.select("e.key", "name", "e.p", (F.col("e.p.d") + F.abs("e.p.s") > 0).alias("probe"))
     chosen = stage(entries.join(_met(entries), "key"), "chosen")
     wanted = chosen.select("name").distinct()
-    text = stage(kinds.select("name", "line", "length").join(wanted.hint("merge"), "name", "left_semi"), "texts")
+    text = kinds.select("name", "line", "length").join(wanted.hint("merge"), "name", "left_semi")
+    text = stage(text.withColumn("sketch", _sketch(F.col("line")) if max(edits) > 1 else F.lit(0).cast("long")), "texts")
 
     pairs = _pairs(chosen.where("not crowded").select("key", "name", "probe", "p.d"))
     rest = _without(F.col("line"), *_segment(length - F.col("p.d"), F.col("p")))
-    crowded = chosen.where("crowded").join(text.hint("merge"), "name").select("key", "name", "probe", "p.t", "p.d", rest.alias("rest")).withColumn("size", F.char_length("rest") - F.col("d"))
+    crowded = chosen.where("crowded").join(text.hint("merge"), "name").select("key", "name", "sketch", "probe", "p.t", "p.d", rest.alias("rest")).withColumn("size", F.char_length("rest") - F.col("d"))
     pairs = reduce(DataFrame.unionByName, _finer_pairs(crowded, edits), pairs).distinct()
     left = text.select(F.col("name").alias("a"), F.col("line").alias("line_a"), F.col("length").alias("length_a"))
     right = text.select(F.col("name").alias("b"), F.col("line").alias("line_b"), F.col("length").alias("length_b"))
@@ -132,7 +134,7 @@ def _met(entries: DataFrame) -> DataFrame:
 
 
 def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
-    """Pairs of crowded entries (key, name, probe, t, d, rest, size), whose rests are split until entries are not crowded."""
+    """Pairs of crowded entries (key, name, sketch, probe, t, d, rest, size), whose rests are split until entries are not crowded."""
     crowded = stage(crowded, "crowded")
     pairs = []
     size = F.col("size")
@@ -146,16 +148,29 @@ def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
             key = F.xxhash64("key", p["i"], F.substring("rest", start + 1, wide))
             return F.struct(key.alias("key"), (F.col("probe") | (p["s"] != 0)).alias("probe"), _without(F.col("rest"), start, wide).alias("rest"), (size - wide).alias("size"))
 
-        finer = crowded.select("name", "t", "d", F.explode(F.transform(fitting, entry)).alias("e")).select("e.*", "name", "t", "d")
+        finer = crowded.select("name", "sketch", "t", "d", F.explode(F.transform(fitting, entry)).alias("e")).select("e.*", "name", "sketch", "t", "d")
         finer = stage(finer.join(_met(finer), "key"), "finer")
         # All entries of a key have the same t and the same indexed length of the rest.
         again = F.col("crowded") & (size > F.col("t")) & ((F.col("t") == 1) | F.lit(split < SPLITS))
-        pairs.append(_pairs(finer.where(~again).select("key", "name", "probe", "d")))
+        pairs.append(_pairs(finer.where(~again).select("key", "name", "probe", "d", "t", "sketch")))
         crowded = finer.where(again).drop("crowded")
 
 
+def _sketch(line: Column) -> Column:
+    """64 bits, each telling whether an odd number of the line's pairs of neighbouring characters falls on it.
+
+    An edit takes away two such pairs at most and adds two, so lines within t edits differ in 4 * t bits at most.
+    """
+    chars = F.split(line, "")
+    bit = lambda a, b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int"))
+    return F.aggregate(F.zip_with(chars, F.slice(chars, 2, F.size(chars)), bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
 def _pairs(entries: DataFrame) -> DataFrame:
-    """(a, b) of an indexed line and one that finds it, pairs of equal length once."""
-    left = entries.where("not probe").select("key", F.col("name").alias("a"))
-    right = entries.select("key", F.col("name").alias("b"), "d")
-    return left.join(right, "key").where("a <> b and (d > 0 or a < b)").select("a", "b")
+    """(a, b) of an indexed line and one that finds it, pairs of equal length once; where entries have sketches, only of alike ones."""
+    sketched = "sketch" in entries.columns
+    left = entries.where("not probe").select("key", F.col("name").alias("a"), *([F.col("sketch").alias("of_a")] if sketched else []))
+    right = entries.select("key", F.col("name").alias("b"), "d", *(["t", "sketch"] if sketched else []))
+    on = [left["key"] == right["key"], F.expr("a <> b and (d > 0 or a < b)")]
+    alike = [F.bit_count(F.col("of_a").bitwiseXOR(F.col("sketch"))) <= 4 * F.col("t")] if sketched else []
+    return left.join(right, reduce(lambda x, y: x & y, on + alike)).select("a", "b")

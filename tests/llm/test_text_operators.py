@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -196,6 +197,23 @@ def test_dedup_lines_of_several_edits(spark, monkeypatch, crowded):
     assert len([x for x in expected if x[1] == 3]) > 20 and len([x for x in expected if x[1] == 2]) == 69
 
 
+def test_sketches_never_rule_out_near_lines(spark):
+    import random
+
+    draw, rows = random.Random(4), []
+    for _ in range(400):
+        line = [draw.choice("abcdé 字") for _ in range(draw.randint(1, 60))]
+        other, n = list(line), draw.randint(0, 3)
+        for _ in range(n):
+            at, kind = draw.randrange(0, len(other) + 1), draw.randrange(3)
+            other[at : at + (kind < 2)] = [] if kind == 0 else [draw.choice("xyz")]
+        rows.append(("".join(line), "".join(other), n))
+    rows.append(("a" * 100_000, "a" * 99_999 + "b", 1))
+    table = spark.createDataFrame(rows, "x string, y string, n int")
+    apart = F.bit_count(line_dedup._sketch(F.col("x")).bitwiseXOR(line_dedup._sketch(F.col("y"))))
+    assert table.where(apart > 4 * F.col("n")).count() == 0
+
+
 def test_dedup_lines_without_rows(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
