@@ -159,6 +159,7 @@ def ledger_errors(events: DataFrame) -> DataFrame:
         )
     )
     has_earlier = c("__rec").isNotNull()
+    # The errors' sentences.
     rules: list[tuple[Column, str]] = [
         (F.coalesce(F.trim("actor"), F.lit("")) == "", "actor must not be empty"),
         (F.coalesce(c("recommendation_id"), F.lit("")) == "", "recommendation_id must not be empty"),
@@ -265,6 +266,7 @@ def verify_registry_chain(links: DataFrame, records: DataFrame, heads: DataFrame
     joined = _registry_texts(single, index).join(before, keys, "left").join(content, keys, "full")
     linked, kept = F.col("chain_hash").isNotNull(), F.col("__kept").isNotNull()
     previous = F.when(F.col("previous_chain_hash").isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), "previous_chain_hash", F.lit('"')))
+    # The errors' sentences.
     rules = {
         "chain row is repeated": F.col("__times") > 1,
         "record has no chain row": ~linked,
@@ -390,6 +392,7 @@ def inventory_row_differences(inventory: DataFrame, manifest: DataFrame, fields:
 
 # ---------------------------------------------------------------- sealed ledgers
 
+# Fixed value: the version that events bear.
 EVENT_SCHEMA = "family_promotion_event_v1"
 _SEALS = ["event_hash", "previous_hash"]
 
@@ -418,6 +421,7 @@ def seal_errors(events: DataFrame, ledger: str = "ledger", order: str = "seq") -
     on = (F.col(ledger) == F.col("__ledger")) & (F.col(order) == F.col("__at"))
     joined = _event_texts(events, ledger, order).join(before, on, "left")
     previous = F.when(F.col("previous_hash").isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), "previous_hash", F.lit('"')))
+    # The errors' sentences.
     rules = {
         "has unsupported schema": ~F.col("schema_version").eqNullSafe(F.lit(EVENT_SCHEMA)),
         "previous_hash mismatch": ~F.col("previous_hash").eqNullSafe(F.col("__hash")),

@@ -165,6 +165,7 @@ def validity_checks(
 
 def check_reason() -> Column:
     observed, threshold = F.col("observed"), F.col("threshold")
+    # The reasons' sentences.
     texts = {
         "positive_holdout_sharpe": F.format_string("Holdout Sharpe %.4f must be greater than %.4f.", observed, threshold),
         "positive_holdout_ic": F.format_string("Holdout IC %.4f must be greater than %.4f.", observed, threshold),

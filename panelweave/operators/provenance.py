@@ -148,6 +148,7 @@ def snapshot_provenance(
 
 
 def provenance_warnings() -> Column:
+    # The warnings' sentences.
     return F.array_compact(
         F.array(
             F.when(~F.col("hash_matches"), "Snapshot manifest hash does not match the data file."),

@@ -130,6 +130,7 @@ def source_warnings(
 ) -> Column:
     """Array of source and readiness warnings for one data set."""
     kind = F.lower(source)
+    # The warnings' sentences.
     return F.array_compact(
         F.array(
             F.when(kind == "synthetic", "Synthetic data validates mechanics but is not investment evidence."),

@@ -112,6 +112,7 @@ def _flag(condition: Column, text: str) -> Column:
 
 def comparison_warnings(rows: DataFrame) -> DataFrame:
     """One row: array of mixed-provenance warnings over all compared runs."""
+    # The warnings' sentences.
     found = F.array(
         _flag(_varies("config_sha256"), "Compared runs use different config hashes."),
         _flag(_varies("code_commit"), "Compared runs use different git commits."),

@@ -21,6 +21,7 @@ from panelweave.operators.groupwise import needs_split
 from panelweave.plans.research import LIQUIDITY
 from panelweave.session import stage
 
+# Fixed value: the error of a run without enough dates.
 TOO_SHORT = "not enough backtest observations for train, validation, and holdout"
 COMPARED = ["sharpe", "total_return", "ic_mean", "max_drawdown", "average_total_cost", "average_turnover"]
 
@@ -116,16 +117,12 @@ class Batch:
 
     @cached_property
     def strategies(self) -> DataFrame:
-        """Panel rows with one column per distinct signal, the forward returns, ADV, locates and fees."""
+        """Panel rows with one column per distinct signal, the forward returns and ADV."""
         names = list(dict.fromkeys(n for c in self.configs.values() for n in c.factor_names()))
         if any(c.liquidity_min_rank is not None for c in self.configs.values()):
             names = list(dict.fromkeys([*names, LIQUIDITY]))
         rows = factors.with_factors(self.panel, names)
         rows = factors.with_adv(factors.with_forward_returns(rows, sorted({v.holding_period for _, v in self.grid})))
-        if self.borrow is not None:
-            rows = attach_borrow(rows, self.borrow)
-        else:
-            rows = rows.withColumns({"shortable": F.lit(True), "borrow_fee_bps": F.lit(None).cast("double")})
         out = signals.with_percent_ranks(rows, {f"pct_{n}": n for n in names}, split=self.split)
         for (kind, *made), column in self._signals.items():
             if kind == "agent":
@@ -139,9 +136,8 @@ class Batch:
             else:
                 liquid = F.col(f"pct_{LIQUIDITY}") >= made[1]
                 out = out.withColumn(column, F.when(liquid, F.col(self._signals[made[0]])))
-        short = F.col("shortable") if self.may_short is None else F.col("shortable") & self.may_short
         kept = [c for c in out.columns if c.startswith("fwd_") or c in self._signals.values()]
-        return self._keep(out.select("date", "date_idx", "symbol", "adv", short.alias("can_short"), "borrow_fee_bps", *kept), "batch-strategies")
+        return self._keep(out.select("date", "date_idx", "symbol", "adv", *kept), "batch-strategies")
 
     @cached_property
     def aligned(self) -> DataFrame:
@@ -167,12 +163,19 @@ class Batch:
             )
 
         rows = F.array(*[F.when(F.array_contains("admitted", p) & held[p], row(k, p)) for k, p in self._positions.items()])
-        long = self.strategies.join(admitted, "date").select("date", "date_idx", "symbol", "adv", F.explode(F.array_compact(rows)).alias("r"))
+        dated = self.strategies.join(admitted, "date")
+        if self.borrow is not None:
+            dated = attach_borrow(dated, self.borrow)
+        else:
+            dated = dated.withColumns({"shortable": F.lit(True), "borrow_fee_bps": F.lit(None).cast("double")})
+        dated = dated.withColumn("can_short", F.col("shortable") if self.may_short is None else F.col("shortable") & self.may_short)
+        long = dated.select("date", "date_idx", "symbol", "adv", F.explode(F.array_compact(rows)).alias("r"))
         return self._keep(long.select("r.*", "date", "date_idx", "symbol", "adv"), "batch-aligned")
 
     @cached_property
     def positions(self) -> DataFrame:
-        return portfolio.build_positions(self.aligned, [k[2] for k in self._positions], F.col("may_short"), self.split)
+        found = portfolio.build_positions(self.aligned, [k[2] for k in self._positions], F.col("may_short"), self.split)
+        return self._keep(found, "batch-positions")
 
     # ------------------------------------------------------------ what belongs to a configuration
 

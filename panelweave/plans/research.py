@@ -67,6 +67,7 @@ class Research:
             raise ValueError("the other run lacks some variants of this one")
         self.strategies = other.strategies
         self.aligned = other.aligned.where(F.col("variant").isin(positions))
+        self.positions = other.positions.where(F.col("variant").isin(positions))
         self.daily = other.daily.where(F.col("variant").isin(names))
         return self
 
@@ -74,15 +75,11 @@ class Research:
 
     @cached_property
     def strategies(self) -> DataFrame:
-        """Panel rows with one ``s_<strategy>`` column per strategy, ``fwd_<h>``, ``adv``, ``can_short`` and ``fee``."""
+        """Panel rows with one ``s_<strategy>`` column per strategy, ``fwd_<h>`` and ``adv``."""
         c = self.config
         names = list(dict.fromkeys([*c.factor_names(), *([LIQUIDITY] if c.liquidity_min_rank is not None else [])]))
         rows = factors.with_factors(self.panel, names)
         rows = factors.with_adv(factors.with_forward_returns(rows, [v.holding_period for v in self.grid]))
-        if self.borrow is not None:
-            rows = attach_borrow(rows, self.borrow)
-        else:
-            rows = rows.withColumns({"shortable": F.lit(True), "borrow_fee_bps": F.lit(None).cast("double")})
         ranked = signals.with_percent_ranks(rows, {f"pct_{n}": n for n in names}, split=self.split)
         agent = signals.composite(c.signal.positive, c.signal.negative)
         out = ranked.withColumn("s_agent_signal", agent)
@@ -98,10 +95,18 @@ class Research:
             out = out.withColumn(f"s_{name}", F.when(liquid, F.col("s_agent_signal")))
             if c.sector_neutral:
                 out = out.withColumn(f"s_sector_neutral_{name}", F.when(liquid, F.col("s_sector_neutral_signal")))
-        can_short = F.col("shortable") if self.may_short is None else F.col("shortable") & self.may_short
-        out = out.withColumns({"can_short": can_short, "fee": F.coalesce(F.col("borrow_fee_bps"), F.lit(c.borrow_fee_bps))})
         kept = [n for n in out.columns if n.startswith(("s_", "fwd_"))]
-        return self._keep(out.select("date", "date_idx", "symbol", "adv", "can_short", "fee", *kept), "strategies")
+        return self._keep(out.select("date", "date_idx", "symbol", "adv", *kept), "strategies")
+
+    def _with_locates(self, rows: DataFrame) -> DataFrame:
+        """Adds ``can_short`` and ``fee`` to (date, symbol) rows."""
+        if self.borrow is not None:
+            rows = attach_borrow(rows, self.borrow)
+        else:
+            rows = rows.withColumns({"shortable": F.lit(True), "borrow_fee_bps": F.lit(None).cast("double")})
+        can_short = F.col("shortable") if self.may_short is None else F.col("shortable") & self.may_short
+        fee = F.coalesce(F.col("borrow_fee_bps"), F.lit(self.config.borrow_fee_bps))
+        return rows.withColumns({"can_short": can_short, "fee": fee}).drop("shortable", "borrow_fee_bps")
 
     @staticmethod
     def _baseline(b: Strategy) -> Column:
@@ -111,7 +116,8 @@ class Research:
     def aligned(self) -> DataFrame:
         """Rows with a signal and a forward return, per position variant, on rebalance dates.
 
-        The dates come first, from one count per date and variant, so only rows of a variant's own dates unfold.
+        The dates come first, from one count per date and variant, so only rows of a variant's own dates meet the locates
+        and unfold.
         """
         held = {
             v.position: F.col(f"s_{v.strategy}").isNotNull() & F.col(f"fwd_{v.holding_period}").isNotNull()
@@ -137,15 +143,16 @@ class Research:
             ]
         )
         common = ["date", "date_idx", "symbol", "adv", "can_short", "fee"]
-        long = self.strategies.join(admitted, "date").select(*common, F.explode(F.array_compact(rows)).alias("r"))
+        long = self._with_locates(self.strategies.join(admitted, "date")).select(*common, F.explode(F.array_compact(rows)).alias("r"))
         return self._keep(long.select("r.*", *common), "aligned")
 
     # ------------------------------------------------------------ portfolios
 
     @cached_property
     def positions(self) -> DataFrame:
+        """Written, because trades read it twice and concentration once more."""
         quantiles = [v.quantile for v in self.positions_grid]
-        return portfolio.build_positions(self.aligned, quantiles, F.col("can_short"), self.split)
+        return self._keep(portfolio.build_positions(self.aligned, quantiles, F.col("can_short"), self.split), "positions")
 
     @cached_property
     def trades(self) -> DataFrame:
