@@ -579,8 +579,8 @@ def object_rows(spark, sf):
 def inventory_rows(spark, sf):
     """The inventory of the same objects, with rows lost, added, repeated, changed and at other positions."""
     rows, at = object_rows(spark, sf), F.col("position")
-    kept = rows.where((at % 83 >= 14) | (at % 7 != 0)).withColumn("sha256", F.when(at % 97 == 5, "0").otherwise(F.col("sha256")))
-    kept = kept.withColumn("position", F.when(at % 89 == 20, at + 100_000).otherwise(at)).where((at % 840 >= 7) | (at < 7))
+    kept = rows.where(((at % 83 >= 14) | (at % 7 != 0)) & ((at % 840 >= 7) | (at < 7)))  # before positions change
+    kept = kept.withColumn("sha256", F.when(at % 97 == 5, "0").otherwise(F.col("sha256"))).withColumn("position", F.when(at % 89 == 20, at + 100_000).otherwise(at))
     return kept.unionByName(rows.where(at % 61 == 10)).unionByName(rows.where(at % 211 == 1).withColumn("path", F.concat(F.lit("extra/"), at.cast("string"))))
 
 

@@ -157,6 +157,19 @@ def test_inventory_rows(spark):
     assert ev.inventory_row_differences(manifest.limit(0), manifest).count() == 10
 
 
+def test_inventory_query_drops_rows_by_their_own_position(spark, tmp_path):
+    """Rows that move by 100,000 are kept or lost by the position they had."""
+    from panelweave.plans.catalog import corpus
+
+    pages = spark.range(100_000).select(F.col("id").alias("page_id"), F.col("id").cast("string").alias("url"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    left = {r.position for r in corpus.inventory_rows(spark, str(tmp_path)).where("path NOT LIKE 'extra/%'").select("position").collect()}
+    lost = [p for p in range(7, 100_000) if p % 840 < 7 and p % 61 != 10]
+    assert not [p for p in lost if (p + 100_000 if p % 89 == 20 else p) in left]
+    kept = [p for p in range(100_000) if (p % 840 >= 7 or p < 7) and (p % 83 >= 14 or p % 7 != 0)]
+    assert not [p for p in kept if (p + 100_000 if p % 89 == 20 else p) not in left]
+
+
 def test_hashes_of_small_and_large_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(prv, "WHOLE_BYTES", 5_000_000)
     contents = {"small.csv": b"a,b\n1,2\n", "large.csv": bytes(range(256)) * 30_000}
