@@ -4,5 +4,6 @@ from panelweave.functions.numeric import (  # noqa: F401
     keyed_normal,
     keyed_uniform,
     normal_upper_tail,
+    rank_correlation,
     ratio,
 )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions import correlation
+from panelweave.functions import rank_correlation
 from panelweave.operators.groupwise import (
     needs_split,
     with_average_rank,
@@ -202,7 +202,7 @@ def information_coefficient(
     return (
         ranked.groupBy(*keys, *(extra or []))
         .agg(
-            correlation("__rs", "__rf").alias("ic"),
+            rank_correlation("__rs", "__rf").alias("ic"),
             (F.min("__s") != F.max("__s")).alias("__vs"),
             (F.min("__f") != F.max("__f")).alias("__vf"),
         )

@@ -147,6 +147,20 @@ def test_positions_rules(spark):
     assert set(weights([7] * 6).values()) == {-1 / 6}  # short overwrites long
 
 
+def test_ic_of_unrelated_ranks_is_exactly_zero(spark):
+    """An IC of 0 is no hit, whatever the order of the additions."""
+    import itertools
+
+    n = 7
+    orders = [p for p in itertools.permutations(range(n)) if sum((i - x) ** 2 for i, x in enumerate(p)) == (n**3 - n) // 6]
+    rows = [("v", day, float(i), float(x)) for day, p in enumerate(orders) for i, x in enumerate(p)]
+    rows += [("v", -1, float(i), -2.0 * (i // 2)) for i in range(n)]
+    found = {r.date: r.ic for r in portfolio.information_coefficient(spark.createDataFrame(rows, "variant string, date int, signal double, fwd double")).collect()}
+    assert {found[day] for day in range(len(orders))} == {0.0}
+    twin = pd.Series(range(n)).corr(pd.Series([-2.0 * (i // 2) for i in range(n)]).rank())
+    assert found[-1] == pytest.approx(twin, abs=1e-12)
+
+
 def test_config_ranges():
     good = dict(signal=Strategy("a", ["momentum_5d"], []))
     for bad in (
