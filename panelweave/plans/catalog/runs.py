@@ -12,7 +12,7 @@ from panelweave.plans.catalog import fixtures as fx
 from panelweave.plans.catalog.backtest import bh_sql, run_sql
 from panelweave.session import shared_folder
 from panelweave.sources import sinks
-from panelweave.sources.manifests import read_documents, read_manifests, write_manifests
+from panelweave.sources.manifests import read_documents, read_manifests, write_documents, write_manifests
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -125,7 +125,8 @@ def document_folder(spark, sf):
         nameless = F.to_json(F.struct(*[c for c in rn.MANIFEST_SCHEMA.fieldNames() if c != "run_id"]))
         untested = F.to_json(F.struct("run_id", "experiment", F.struct("metrics.full").alias("metrics")))
         value = F.when(k % 97 == 5, F.substring(text, 1, 200)).when(k % 97 == 6, nameless).when(k % 97 == 7, untested).otherwise(text)
-        fx.manifests(spark, sf).select(F.col("run_id").alias("run"), value.alias("value")).write.option("lineSep", "\n").partitionBy("run").text(folder)
+        documents = fx.manifests(spark, sf).select(F.col("run_id").alias("run"), value.alias("value"))
+        write_documents(documents, folder, "run")
         _FOLDERS[key] = folder
     return _FOLDERS[key]
 
@@ -138,8 +139,8 @@ def document_folder(spark, sf):
 )
 def src_8_documents(spark, sf):
     """One-document files, damaged ones as rows."""
-    found = read_documents(spark, f"{document_folder(spark, sf)}/*/*.txt")
-    run = F.regexp_extract("manifest_path", r"run=([^/]+)/", 1)
+    found = read_documents(spark, document_folder(spark, sf), "*.txt")
+    run = F.regexp_extract("manifest_path", r"run=([^/]+)\.txt", 1)
     return found.select(run.alias("run"), "error", "document.run_id", F.col("document.code.commit").alias("code_commit"), F.round("document.metrics.test.total_return", 9).alias("total_return"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +12,22 @@ from panelweave.sources.panel import require_rows
 
 #: Bytes of small documents that a task reads, and those that opening a file counts as.
 TASK_BYTES, OPEN_BYTES = 64 << 20, 64 << 10
+#: Files that a task writes.
+TASK_FILES = 5_000
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """(manifest_path, document, error): one row for each one-document file of a glob, damaged ones included.
 
+    With ``name``, ``path`` is a folder and every file of that name (or pattern) at any depth below it is read: its folders
+    are listed by tasks, where a glob has the driver list them one by one.
+
     Documents are small and many: Spark counts megabytes for opening each file, which would make a task of a few dozen,
     so files are packed by what they hold and a small part for opening each. ``document`` is null where ``error`` says why.
     """
-    files = spark.read.text(path, wholetext=True)
-    size = (input_bytes(files) or 0) + OPEN_BYTES * len(files.inputFiles())
+    below = {} if name is None else {"recursiveFileLookup": "true", "pathGlobFilter": name}
+    files = spark.read.options(**below).text(path, wholetext=True)
+    size = (input_bytes(files) or 0) + OPEN_BYTES * len(files._jdf.inputFiles())  # the names stay in the JVM
     tasks = max(1, -(-size // TASK_BYTES))
     texts = files.select(F.col("_metadata.file_path").alias("manifest_path"), F.col("value").alias("text")).coalesce(tasks)
     return texts.select("manifest_path", F.from_json("text", MANIFEST_SCHEMA).alias("document"), _damage(F.col("text")).alias("error")).select(
@@ -28,6 +35,25 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_documents(documents: DataFrame, folder: str, key: str) -> None:
+    """One file for each row of (``key``, value): ``<folder>/<number>/<key>=<its value>.txt``, a numbered folder for each task.
+
+    Spark's writer and committer take several calls of the store, and on a local disk child processes, for each file and
+    folder, so tasks write the files themselves, cut by rows. A task that runs again writes the same files again.
+    """
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, -(-documents.count() // TASK_FILES))
+
+    def write(number, rows):
+        store, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store.create_dir(f"{root}/{number}")
+        for name, value in rows:
+            with store.open_output_stream(f"{root}/{number}/{key}={name}.txt") as out:
+                out.write(f"{value}\n".encode())
+        return []
+
+    documents.select(key, "value").repartition(tasks, key).rdd.mapPartitionsWithIndex(write).count()
+
+
 def _damage(text: Column) -> Column:
     """What keeps a document from being a manifest, or null."""
     parsed = F.try_parse_json(text)

@@ -46,3 +46,14 @@ def test_no_documents(spark, tmp_path):
     (tmp_path / "a" / "manifest.json").write_text("broken")
     with pytest.raises(ValueError, match="No manifest"):
         manifests.read_manifests(spark, str(tmp_path))
+
+
+def test_documents_are_written_by_tasks_into_few_folders(spark, tmp_path, monkeypatch):
+    """Folders are listed one by one, so their number must not grow with the documents."""
+    monkeypatch.setattr(manifests, "TASK_FILES", 50)
+    rows = [(f"run-{i}", f'{{"run_id": "run-{i}", "metrics": {{"test": {{}}}}}}' if i % 10 else "{") for i in range(400)]
+    manifests.write_documents(spark.createDataFrame(rows, "run string, value string"), str(tmp_path / "out"), "run")
+    assert len(list((tmp_path / "out").iterdir())) <= 8 and len(list((tmp_path / "out").rglob("*.txt"))) == 400
+    found = manifests.read_documents(spark, str(tmp_path / "out"), "*.txt").collect()
+    assert {r.manifest_path.rsplit("=")[-1] for r in found} == {f"{name}.txt" for name, _ in rows}
+    assert sum(r.error is None for r in found) == 360
