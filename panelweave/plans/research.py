@@ -52,7 +52,8 @@ class Research:
     ) -> None:
         self.panel, self.config, self.borrow, self.may_short = panel, config, borrow, may_short
         self._readiness = readiness
-        self.split = needs_split(panel, split, ["date"])
+        self._made: Research | None = None
+        self._split = split
         self.staged = staged
         self.grid = config.variants()
         self.positions_grid = list({v.position: v for v in self.grid}.values())
@@ -60,22 +61,31 @@ class Research:
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         return stage(df, label) if self.staged else df
 
+    @cached_property
+    def split(self) -> bool:
+        return needs_split(self.panel, self._split, ["date"]) if self._made is None else self._made.split
+
     def adopt(self, other: Research) -> Research:
-        """Read the tables another run has written, when its grid contains this one's variants."""
-        positions, names = [v.position for v in self.positions_grid], [v.variant for v in self.grid]
-        if not set(names) <= {v.variant for v in other.grid}:
+        """Read the tables another run has written, when its grid contains this one's variants.
+
+        They are taken, and made if the other run has not yet, when something asks for them.
+        """
+        if not {v.variant for v in self.grid} <= {v.variant for v in other.grid}:
             raise ValueError("the other run lacks some variants of this one")
-        self.strategies = other.strategies
-        self.aligned = other.aligned.where(F.col("variant").isin(positions))
-        self.positions = other.positions.where(F.col("variant").isin(positions))
-        self.daily = other.daily.where(F.col("variant").isin(names))
+        self._made = other
         return self
 
+    @staticmethod
+    def _own(rows: DataFrame, names: list[str]) -> DataFrame:
+        return rows.where(F.col("variant").isin(names))
+
     # ------------------------------------------------------------ signals
 
     @cached_property
     def strategies(self) -> DataFrame:
         """Panel rows with one ``s_<strategy>`` column per strategy, ``fwd_<h>`` and ``adv``."""
+        if self._made is not None:
+            return self._made.strategies
         c = self.config
         names = list(dict.fromkeys([*c.factor_names(), *([LIQUIDITY] if c.liquidity_min_rank is not None else [])]))
         rows = factors.with_factors(self.panel, names)
@@ -119,6 +129,8 @@ class Research:
         The dates come first, from one count per date and variant, so only rows of a variant's own dates meet the locates
         and unfold.
         """
+        if self._made is not None:
+            return self._own(self._made.aligned, [v.position for v in self.positions_grid])
         held = {
             v.position: F.col(f"s_{v.strategy}").isNotNull() & F.col(f"fwd_{v.holding_period}").isNotNull()
             for v in self.positions_grid
@@ -151,6 +163,8 @@ class Research:
     @cached_property
     def positions(self) -> DataFrame:
         """Written, because trades read it twice and concentration once more."""
+        if self._made is not None:
+            return self._own(self._made.positions, [v.position for v in self.positions_grid])
         quantiles = [v.quantile for v in self.positions_grid]
         return self._keep(portfolio.build_positions(self.aligned, quantiles, F.col("can_short"), self.split), "positions")
 
@@ -169,6 +183,8 @@ class Research:
     @cached_property
     def daily(self) -> DataFrame:
         """One row per (variant, date) with a portfolio or an IC: returns, costs, turnover, ic."""
+        if self._made is not None:
+            return self._own(self._made.daily, [v.variant for v in self.grid])
         c = self.config
         by_position: dict[str, list] = {}
         for v in self.grid:

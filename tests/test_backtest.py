@@ -161,6 +161,23 @@ def test_ic_of_unrelated_ranks_is_exactly_zero(spark):
     assert found[-1] == pytest.approx(twin, abs=1e-12)
 
 
+def test_readiness_of_an_adopting_run_makes_no_tables(spark, monkeypatch):
+    """Only what is asked for is written: readiness needs neither ranks nor portfolios, nor a count of the panel."""
+    from panelweave.plans import research
+
+    def refuse(*_args, **_kwargs):
+        raise AssertionError("made a table")
+
+    monkeypatch.setattr(research, "stage", refuse)
+    monkeypatch.setattr(research, "needs_split", refuse)
+    panel = make_panel(spark, 90)
+    config = ResearchConfig(signal=Strategy("agent_signal", ["momentum_5d"], []))
+    view = Research(panel, config).adopt(Research(panel, config))
+    assert view.readiness.first().data_ready is False
+    with pytest.raises(AssertionError, match="made a table"):
+        view.daily  # noqa: B018
+
+
 def test_config_ranges():
     good = dict(signal=Strategy("a", ["momentum_5d"], []))
     for bad in (
