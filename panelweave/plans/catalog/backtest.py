@@ -66,6 +66,7 @@ STRESS = replace(AGENT, sector_neutral=True, liquidity_min_rank=MIN_LIQUIDITY)
 
 ALL_METRICS = [*evaluate.PERFORMANCE_METRICS[1:], *evaluate.COST_METRICS]
 _RUNS: dict[tuple[str, str], Research] = {}
+_VIEWS: dict[tuple[str, str], list[Research]] = {}
 _BATCHES: dict[tuple[str, str], Batch] = {}
 
 
@@ -120,12 +121,19 @@ outcomes AS (SELECT config, place, CASE WHEN error IS NULL THEN 'completed' ELSE
 
 
 def run(spark, sf, config: ResearchConfig) -> Research:
-    """View of the session's full run for one configuration; its written tables are made once per session."""
+    """View of the session's full run for one configuration; the tables of run and views are made once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
         _RUNS[key] = full_run(spark, sf)
     full = _RUNS[key]
-    return full if config is FULL else Research(full.panel, config, full.borrow, full.may_short).adopt(full)
+    if config is FULL:
+        return full
+    views = _VIEWS.setdefault(key, [])
+    for view in views:
+        if view.config is config:
+            return view
+    views.append(Research(full.panel, config, full.borrow, full.may_short).adopt(full))
+    return views[-1]
 
 
 def entry(key: str, sql: str | None = None):

@@ -68,13 +68,17 @@ class Research:
     def adopt(self, other: Research) -> Research:
         """Read the tables another run has written, when its grid contains this one's variants.
 
-        They are taken, and made if the other run has not yet, when something asks for them.
+        Nothing is made before something asks for it. Signals are the other run's in any case; portfolios that it has not
+        made yet are made here, for the variants of this run only.
         """
         if not {v.variant for v in self.grid} <= {v.variant for v in other.grid}:
             raise ValueError("the other run lacks some variants of this one")
         self._made = other
         return self
 
+    def _has_made(self, table: str) -> bool:
+        return self._made is not None and table in vars(self._made)
+
     @staticmethod
     def _own(rows: DataFrame, names: list[str]) -> DataFrame:
         return rows.where(F.col("variant").isin(names))
@@ -129,7 +133,7 @@ class Research:
         The dates come first, from one count per date and variant, so only rows of a variant's own dates meet the locates
         and unfold.
         """
-        if self._made is not None:
+        if self._has_made("aligned"):
             return self._own(self._made.aligned, [v.position for v in self.positions_grid])
         held = {
             v.position: F.col(f"s_{v.strategy}").isNotNull() & F.col(f"fwd_{v.holding_period}").isNotNull()
@@ -163,7 +167,7 @@ class Research:
     @cached_property
     def positions(self) -> DataFrame:
         """Written, because trades read it twice and concentration once more."""
-        if self._made is not None:
+        if self._has_made("positions"):
             return self._own(self._made.positions, [v.position for v in self.positions_grid])
         quantiles = [v.quantile for v in self.positions_grid]
         return self._keep(portfolio.build_positions(self.aligned, quantiles, F.col("can_short"), self.split), "positions")
@@ -183,7 +187,7 @@ class Research:
     @cached_property
     def daily(self) -> DataFrame:
         """One row per (variant, date) with a portfolio or an IC: returns, costs, turnover, ic."""
-        if self._made is not None:
+        if self._has_made("daily"):
             return self._own(self._made.daily, [v.variant for v in self.grid])
         c = self.config
         by_position: dict[str, list] = {}

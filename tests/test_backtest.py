@@ -178,6 +178,19 @@ def test_readiness_of_an_adopting_run_makes_no_tables(spark, monkeypatch):
         view.daily  # noqa: B018
 
 
+def test_adopting_run_makes_portfolios_of_its_own_variants_only(spark):
+    panel = make_panel(spark, 120)
+    small = ResearchConfig(signal=Strategy("agent_signal", ["momentum_5d"], []), holdout_fraction=0.2)
+    wide = ResearchConfig(signal=small.signal, holdout_fraction=0.2, holding_grid=[3, 5, 10])
+    full = Research(panel, wide)
+    view = Research(panel, small).adopt(full)
+    rows = lambda r: sorted((x.variant, x.date, round(x.net_return, 12)) for x in r.daily.where("net_return IS NOT NULL").collect())
+    own = rows(view)
+    assert own and "strategies" in vars(full) and not {"aligned", "positions", "daily"} & set(vars(full))
+    full.daily  # noqa: B018
+    assert rows(Research(panel, small).adopt(full)) == own
+
+
 def test_config_ranges():
     good = dict(signal=Strategy("a", ["momentum_5d"], []))
     for bad in (
