@@ -182,3 +182,26 @@ def test_redundant_pairs_of_many_masks(spark, monkeypatch):
     assert not redundant_pairs(df.where("f5 > 5"), names).collect()
     monkeypatch.setattr(factors, "MOST_PATTERNS", 1)
     assert found(False).keys() == want.keys()
+
+
+def test_redundant_pairs_order_every_value_once(spark, monkeypatch):
+    """One entry per value whatever the null patterns, and equal values that lie in several ranges share their rank."""
+    rng = random.Random(11)
+    names = ["a", "b", "c", "d"]
+    rows = []
+    for _ in range(300):
+        x = float(rng.randrange(-2, 3)) if rng.random() < 0.8 else rng.gauss(0, 2)
+        rows.append(tuple(None if rng.random() < 0.1 else v for v in (x, x + rng.choice([0.0, 0.0, 1.0]), -x, rng.gauss(0, 1))))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    monkeypatch.setattr(factors, "VALUES_PER_TASK", 60)
+    made = []
+    numbered = factors._centred_ranks
+    monkeypatch.setattr(factors, "_centred_ranks", lambda *args: made.append(numbered(*args)) or made[-1])
+    found = {(r.first, r.second): (r.correlation, r.n_rows) for r in redundant_pairs(df, names, 0.0).collect()}
+    pdf = pd.DataFrame(rows, columns=names)
+    assert made[0].count() == pdf.notna().to_numpy().sum()
+    truth = pdf.corr(method="spearman")
+    assert len(found) == 6
+    for (a, b), (correlation, n_rows) in found.items():
+        assert correlation == pytest.approx(truth.loc[a, b])
+        assert n_rows == (pdf[a].notna() & pdf[b].notna()).sum()
