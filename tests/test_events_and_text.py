@@ -164,6 +164,16 @@ def test_generator_is_repeatable_and_checks_length(spark):
         src.generate_panel(names, "2024-01-01", "2024-02-01").collect()
 
 
+def test_generator_deals_symbols_before_they_unfold(spark):
+    """A small table of symbols is not one task's work: its rows move once, as symbols, and never as days."""
+    names = spark.range(500).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("symbol")).coalesce(1)
+    made = src.generate_panel(names, "2024-01-01", "2024-06-28")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(symbol" in plan and "REPARTITION_BY_NUM" in plan
+    assert "ENSURE_REQUIREMENTS" not in plan
+    assert made.count() == 500 * 130
+
+
 def test_vendor_wide_file(spark):
     wide = spark.sql(
         "SELECT '2024-01-02' AS Date, 1.0D AS `AAA|Close`, 2.0D AS `AAA|Open`, CAST(NULL AS DOUBLE) AS `BBB|Close`"
