@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,49 @@ def composite_signal(
     )
 
 
+def holds(positive: list[str], negative: list[str]) -> Column:
+    """Whether ``composite`` of these factors has a value, told by the factors: a rank is null where its value is, and only there."""
+    return reduce(and_, [F.col(n).isNotNull() for n in [*positive, *negative]], F.lit(True))
+
+
+def dates_held(rows: DataFrame, held: dict[str, tuple[Column, float | None]], liquidity: str = "dollar_volume_20d") -> DataFrame:
+    """(variant, date) of the dates on which some row of a variant fulfils its condition, from counts per date.
+
+    With a least rank the row's percentile rank of ``liquidity`` must reach it too. Ranks grow with values, so some row's
+    does where that of the highest value among the variant's rows does; two counts per date tell it, no order is needed.
+    """
+    x, limited = F.round(F.col(liquidity), TIE_DECIMALS) if liquidity in rows.columns else None, {}
+    for p, (condition, least) in held.items():
+        if least is not None:
+            limited[p] = (F.max(F.when(condition, x)), least)
+    at = {p: i for i, p in enumerate(held)}
+    tops = [top.alias(f"__top_{at[p]}") for p, (top, _) in limited.items()]
+    found = rows.groupBy("date").agg(*[F.count_if(c).alias(f"__n_{at[p]}") for p, (c, _) in held.items()], *tops)
+    if limited:
+        # One row per date: the calendar bounds what is broadcast.
+        known = rows.select("date", x.alias("__x")).where("__x is not null").join(F.broadcast(found), "date")
+        spots = [f(F.col("__x"), F.col(f"__top_{at[p]}")).alias(f"__{n}_{at[p]}") for p in limited for n, f in (("below", _below), ("same", _same))]
+        found = found.join(F.broadcast(known.groupBy("date").agg(F.count("*").alias("__all"), *spots)), "date", "left")
+
+    def present(p: str) -> Column:
+        some = F.col(f"__n_{at[p]}") > 0
+        if p not in limited:
+            return some
+        below, same = F.col(f"__below_{at[p]}"), F.col(f"__same_{at[p]}")
+        return some & F.coalesce((same > 0) & ((2 * below + 1 + same) / 2.0 / F.col("__all") >= limited[p][1]), F.lit(False))
+
+    variants = F.array_compact(F.array(*[F.when(present(p), F.lit(p)) for p in held]))
+    return found.select(F.explode(variants).alias("variant"), "date")
+
+
+def _below(x: Column, top: Column) -> Column:
+    return F.count_if(x < top)
+
+
+def _same(x: Column, top: Column) -> Column:
+    return F.count_if(x == top)
+
+
 def restrict_to_keys(signal: DataFrame, reference: DataFrame) -> DataFrame:
     """Keep signal rows whose (date, symbol) also occurs in the reference signal."""
     return signal.join(reference.select("date", "symbol"), ["date", "symbol"], "left_semi")
@@ -68,16 +111,17 @@ def random_signal(seed: int = 12345) -> Column:
     return F.round(keyed_normal(F.lit(seed), F.col("date"), F.col("symbol")), TIE_DECIMALS)
 
 
+def with_known_group(df: DataFrame, group: str, needed: Column) -> DataFrame:
+    """A missing group is an error in rows that need one."""
+    missing = F.raise_error(F.concat(F.lit("sector missing for symbol "), F.col("symbol")))
+    return df.withColumn(group, F.when(F.col(group).isNotNull() | ~needed, F.col(group)).otherwise(missing))
+
+
 def neutralize(
     df: DataFrame, group: str = "sector", value: str = "signal", split: bool | None = None
 ) -> DataFrame:
     """Subtract the mean of ``value`` in each (date, group); a missing group is an error."""
-    checked = df.withColumn(
-        group,
-        F.when(F.col(group).isNotNull() | F.col(value).isNull(), F.col(group)).otherwise(
-            F.raise_error(F.concat(F.lit("sector missing for symbol "), F.col("symbol")))
-        ),
-    )
+    checked = with_known_group(df, group, F.col(value).isNotNull())
     centred = with_group_totals(checked, ["date", group], {"__mean": F.avg(value)}, split)
     return centred.withColumn(value, F.round(F.col(value) - F.col("__mean"), TIE_DECIMALS)).drop("__mean")
 

@@ -20,6 +20,8 @@ from panelweave.plans.batch import COMPARED, TOO_SHORT, Batch, parse_settings
 from panelweave.plans.catalog import fixtures as fx
 from panelweave.plans.catalog.signals import MIN_LIQUIDITY, RANDOM_SQL, SIGNALS
 from panelweave.plans.research import Research, claimed_flags
+from panelweave.session import stage
+from panelweave.sources.panel import calendar, with_date_index
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -65,16 +67,21 @@ STRESS = replace(AGENT, sector_neutral=True, liquidity_min_rank=MIN_LIQUIDITY)
 
 
 ALL_METRICS = [*evaluate.PERFORMANCE_METRICS[1:], *evaluate.COST_METRICS]
+_BARS: dict[tuple[str, str], DataFrame] = {}
 _RUNS: dict[tuple[str, str], Research] = {}
 _VIEWS: dict[tuple[str, str], list[Research]] = {}
 _BATCHES: dict[tuple[str, str], Batch] = {}
 
 
 def full_run(spark, sf) -> Research:
-    """A fresh run of the whole grid."""
-    panel = fx.panel(spark, sf).withColumn("sector", fx.sector(F.col("symbol_no")))
+    """A fresh run of the whole grid. The bars are written once per session, for its panel, calendar and locates."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BARS:
+        _BARS[key] = stage(fx.market(spark, sf).withColumn("sector", fx.sector(F.col("symbol_no"))), "bars")
+    dates = calendar(_BARS[key])
+    panel = with_date_index(_BARS[key], dates)
     may_short = F.substring("symbol", 2, 6).cast("int") % 9 != 8
-    locates = bor.normalize_borrow(fx.borrow(spark, sf), fx.dates(spark, sf))
+    locates = bor.normalize_borrow(fx.borrow(spark, sf, panel), dates)
     return Research(panel, FULL, locates, may_short)
 
 

@@ -1,7 +1,8 @@
 """The whole research run as one set of lazily built tables.
 
 panel -> factors, forward returns, ADV      one exchange on symbol
-      -> percentile ranks, all strategies   one exchange on date (or the split plan)
+      -> rebalance dates of every variant   counts per date, no order
+      -> percentile ranks, all strategies   one exchange on date (or the split plan), rows of those dates only
       -> rows per position variant          one explode, no join
       -> legs, trades, book, IC             exchanges on (variant, date) and (variant, symbol)
       -> splits, metrics, evidence, verdict tables of variants x calendar size
@@ -17,7 +18,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.config import RANDOM_BASELINE, ResearchConfig, Strategy
+from panelweave.config import RANDOM_BASELINE, ResearchConfig, Strategy, Variant
 from panelweave.operators import evaluate, factors, inference, portfolio, signals, variants
 from panelweave.operators.borrow import attach_borrow
 from panelweave.operators.groupwise import needs_split
@@ -35,8 +36,8 @@ def claimed_flags(spark: SparkSession, config: ResearchConfig) -> DataFrame:
 class Research:
     """Tables of one run.  ``panel`` needs date, date_idx, symbol, adj_close, volume (and sector if used).
 
-    ``staged`` writes the signal table, the rebalance rows and the daily book once to the shared folder,
-    because each has several consumers; without it every consumer recomputes them. ``readiness`` is the row of
+    ``staged`` writes the factor values, rebalance dates, signals, rebalance rows and the daily book once to the shared
+    folder, because each has several consumers; without it every consumer recomputes them. ``readiness`` is the row of
     ``data_readiness``; without it the flags are those that the configuration claims.
     """
 
@@ -85,15 +86,58 @@ class Research:
 
     # ------------------------------------------------------------ signals
 
+    @property
+    def _shares_dates(self) -> bool:
+        return self._made is not None and self._made.config.rebalance_days == self.config.rebalance_days
+
+    def _factor_names(self) -> list[str]:
+        c = self.config
+        return list(dict.fromkeys([*c.factor_names(), *([LIQUIDITY] if c.liquidity_min_rank is not None else [])]))
+
     @cached_property
-    def strategies(self) -> DataFrame:
-        """Panel rows with one ``s_<strategy>`` column per strategy, ``fwd_<h>`` and ``adv``."""
+    def values(self) -> DataFrame:
+        """Panel rows with factors, ``fwd_<h>``, ``adv`` and the sector if used: what needs the whole history of a symbol."""
         if self._made is not None:
-            return self._made.strategies
+            return self._made.values
         c = self.config
-        names = list(dict.fromkeys([*c.factor_names(), *([LIQUIDITY] if c.liquidity_min_rank is not None else [])]))
+        names = self._factor_names()
         rows = factors.with_factors(self.panel, names)
         rows = factors.with_adv(factors.with_forward_returns(rows, [v.holding_period for v in self.grid]))
+        if c.sector_neutral:
+            rows = signals.with_known_group(rows, "sector", signals.holds(c.signal.positive, c.signal.negative))
+        ahead = dict.fromkeys(f"fwd_{v.holding_period}" for v in self.grid)
+        kept = ["date", "date_idx", "symbol", "adv", *names, *ahead, *(["sector"] if c.sector_neutral else [])]
+        return self._keep(rows.select(*kept), "values")
+
+    def _held(self, v: Variant) -> tuple[Column, float | None]:
+        """When a variant has a row with signal and forward return, told before anything is ranked, and the least liquidity rank of its rows."""
+        c = self.config
+        agent = signals.holds(c.signal.positive, c.signal.negative) & F.col(f"fwd_{v.holding_period}").isNotNull()
+        by_name = {b.name: b for b in c.baselines}
+        if v.strategy in by_name:
+            b = by_name[v.strategy]
+            return (agent if b.name == RANDOM_BASELINE else agent & signals.holds(b.positive, b.negative)), None
+        return agent, None if v.strategy in ("agent_signal", "sector_neutral_signal") else c.liquidity_min_rank
+
+    @cached_property
+    def dates(self) -> DataFrame:
+        """(variant, date): rebalance dates of every position variant, bounded by the calendar."""
+        if self._shares_dates:
+            return self._own(self._made.dates, [v.position for v in self.positions_grid])
+        present = signals.dates_held(self.values, {v.position: self._held(v) for v in self.positions_grid}, LIQUIDITY)
+        return self._keep(portfolio.rebalance_dates(present, self.config.rebalance_days), "dates")
+
+    @cached_property
+    def strategies(self) -> DataFrame:
+        """Rows of the run's rebalance dates with one ``s_<strategy>`` column per strategy, ``fwd_<h>`` and ``adv``.
+
+        Ranks compare the rows of one date, so other dates are not ranked.
+        """
+        if self._shares_dates:
+            return self._made.strategies
+        c = self.config
+        names = self._factor_names()
+        rows = self.values.join(F.broadcast(self.dates.select("date").distinct()), "date", "left_semi")
         ranked = signals.with_percent_ranks(rows, {f"pct_{n}": n for n in names}, split=self.split)
         agent = signals.composite(c.signal.positive, c.signal.negative)
         out = ranked.withColumn("s_agent_signal", agent)
@@ -112,10 +156,10 @@ class Research:
         kept = [n for n in out.columns if n.startswith(("s_", "fwd_"))]
         return self._keep(out.select("date", "date_idx", "symbol", "adv", *kept), "strategies")
 
-    def _with_locates(self, rows: DataFrame) -> DataFrame:
-        """Adds ``can_short`` and ``fee`` to (date, symbol) rows."""
+    def _with_locates(self, rows: DataFrame, dates: DataFrame) -> DataFrame:
+        """Adds ``can_short`` and ``fee`` to (date, symbol) rows of ``dates``."""
         if self.borrow is not None:
-            rows = attach_borrow(rows, self.borrow)
+            rows = attach_borrow(rows, self.borrow.join(F.broadcast(dates.select("date")), "date", "left_semi"))
         else:
             rows = rows.withColumns({"shortable": F.lit(True), "borrow_fee_bps": F.lit(None).cast("double")})
         can_short = F.col("shortable") if self.may_short is None else F.col("shortable") & self.may_short
@@ -130,8 +174,7 @@ class Research:
     def aligned(self) -> DataFrame:
         """Rows with a signal and a forward return, per position variant, on rebalance dates.
 
-        The dates come first, from one count per date and variant, so only rows of a variant's own dates meet the locates
-        and unfold.
+        Only rows of a variant's own dates meet the locates and unfold.
         """
         if self._has_made("aligned"):
             return self._own(self._made.aligned, [v.position for v in self.positions_grid])
@@ -139,10 +182,7 @@ class Research:
             v.position: F.col(f"s_{v.strategy}").isNotNull() & F.col(f"fwd_{v.holding_period}").isNotNull()
             for v in self.positions_grid
         }
-        counts = F.array(*[F.struct(F.lit(p).alias("variant"), F.count_if(c).alias("n")) for p, c in held.items()])
-        present = self.strategies.groupBy("date").agg(counts.alias("c")).select("date", F.explode("c").alias("c")).where("c.n > 0")
-        chosen = portfolio.rebalance_dates(present.select("c.variant", "date"), self.config.rebalance_days)
-        admitted = chosen.groupBy("date").agg(F.collect_set("variant").alias("admitted"))
+        admitted = self.dates.groupBy("date").agg(F.collect_set("variant").alias("admitted"))
         rows = F.array(
             *[
                 F.when(
@@ -159,7 +199,7 @@ class Research:
             ]
         )
         common = ["date", "date_idx", "symbol", "adv", "can_short", "fee"]
-        long = self._with_locates(self.strategies.join(admitted, "date")).select(*common, F.explode(F.array_compact(rows)).alias("r"))
+        long = self._with_locates(self.strategies.join(F.broadcast(admitted), "date"), admitted).select(*common, F.explode(F.array_compact(rows)).alias("r"))
         return self._keep(long.select("r.*", *common), "aligned")
 
     # ------------------------------------------------------------ portfolios

@@ -278,3 +278,23 @@ def test_many_days_with_locates(spark):
     first = [r for r in found if r.as_of == days[65]]
     assert min(r.target_weight for r in first) == 0.0 and first[0].warnings == ["No short candidates passed configured shortability constraints."]
     assert min(r.target_weight for r in found if r.as_of == days[69]) < 0
+
+
+def test_only_rebalance_dates_are_ranked_and_liquid_dates_are_those_of_ranks(spark):
+    """Dates are chosen before ranking; those of a liquidity variant equal what ranks of every date give."""
+    from panelweave.operators import signals
+
+    panel = make_panel(spark, 60).withColumn("sector", F.when(F.col("symbol") < "D", "x").otherwise("y"))
+    config = ResearchConfig(signal=Strategy("agent_signal", ["momentum_5d"], []), rebalance_days=4, holdout_fraction=0.2, sector_neutral=True, liquidity_min_rank=0.95)
+    run = Research(panel, config)
+    chosen = {r.date for r in run.dates.select("date").distinct().collect()}
+    assert {r.date for r in run.strategies.select("date").distinct().collect()} == chosen and len(chosen) < 60 / 2
+    assert {(r.variant, r.date) for r in run.aligned.select("variant", "date").distinct().collect()} == {(r.variant, r.date) for r in run.dates.collect()}
+
+    rows = [("d1", 1.0, True), ("d1", 2.0, False), ("d2", 2.0, True), ("d2", 2.0, False), ("d2", 1.0, True), ("d3", 3.0, True), ("d4", None, True), ("d5", 5.0, False)]
+    table = spark.createDataFrame(rows, "date string, v double, has boolean")
+    ranked = signals.with_percent_ranks(table, {"pct": "v"}, split=False)
+    for least in (0.0, 0.5, 0.75, 0.8, 0.84, 1.0):
+        found = signals.dates_held(table, {"a": (F.col("has"), None), "b": (F.col("has"), least)}, "v").collect()
+        assert {r.date for r in found if r.variant == "a"} == {"d1", "d2", "d3", "d4"}
+        assert {r.date for r in found if r.variant == "b"} == {r.date for r in ranked.where((F.col("pct") >= least) & F.col("has")).collect()}
