@@ -9,7 +9,8 @@ that is invalid, or whose dates do not suffice, is a row of ``outcomes`` and doe
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,15 +116,51 @@ class Batch:
         key = (self._signal(name, v.strategy), v.holding_period, v.quantile, c.rebalance_days, allowed, c.borrow_fee_bps)
         return self._positions.setdefault(key, f"p_{len(self._positions)}")
 
-    @cached_property
-    def strategies(self) -> DataFrame:
-        """Panel rows with one column per distinct signal, the forward returns and ADV."""
+    def _factor_names(self) -> list[str]:
         names = list(dict.fromkeys(n for c in self.configs.values() for n in c.factor_names()))
         if any(c.liquidity_min_rank is not None for c in self.configs.values()):
             names = list(dict.fromkeys([*names, LIQUIDITY]))
-        rows = factors.with_factors(self.panel, names)
-        rows = factors.with_adv(factors.with_forward_returns(rows, sorted({v.holding_period for _, v in self.grid})))
-        out = signals.with_percent_ranks(rows, {f"pct_{n}": n for n in names}, split=self.split)
+        return names
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """Panel rows with the factors, forward returns, ADV and the sector if used: what needs the whole history of a symbol."""
+        names, ahead = self._factor_names(), sorted({v.holding_period for _, v in self.grid})
+        rows = factors.with_adv(factors.with_forward_returns(factors.with_factors(self.panel, names), ahead))
+        neutral = [made[0] for kind, *made in self._signals if kind == "neutral"]
+        if neutral:
+            needed = reduce(or_, [signals.holds(list(positive), list(negative)) for _, positive, negative in neutral])
+            rows = signals.with_known_group(rows, "sector", needed)
+        kept = ["date", "date_idx", "symbol", "adv", *names, *[f"fwd_{h}" for h in ahead], *(["sector"] if neutral else [])]
+        return self._keep(rows.select(*kept), "batch-values")
+
+    def _has(self, definition: tuple) -> tuple[Column, float | None]:
+        """When a signal has a value, told before anything is ranked, and the least liquidity rank of its rows."""
+        kind, *made = definition
+        if kind == "agent":
+            return signals.holds(list(made[0]), list(made[1])), None
+        base, _ = self._has(made[0])
+        if kind == "baseline":
+            _, positive, negative, random = made
+            return (base if random else base & signals.holds(list(positive), list(negative))), None
+        return base, made[1] if kind == "liquid" else None
+
+    @cached_property
+    def dates(self) -> DataFrame:
+        """(variant, date): rebalance dates of every distinct portfolio, bounded by the calendar."""
+        definition = {column: d for d, column in self._signals.items()}
+        held, every = {}, F.lit(None)
+        for k, p in self._positions.items():
+            condition, least = self._has(definition[k[0]])
+            held[p] = (condition & F.col(f"fwd_{k[1]}").isNotNull(), least)
+            every = F.when(F.col("variant") == p, F.lit(k[3])).otherwise(every)
+        return self._keep(portfolio.rebalance_dates(signals.dates_held(self.values, held, LIQUIDITY), every), "batch-dates")
+
+    @cached_property
+    def strategies(self) -> DataFrame:
+        """Rows of the rebalance dates with one column per distinct signal, the forward returns and ADV; other dates are not ranked."""
+        rows = self.values.join(F.broadcast(self.dates.select("date").distinct()), "date", "left_semi")
+        out = signals.with_percent_ranks(rows, {f"pct_{n}": n for n in self._factor_names()}, split=self.split)
         for (kind, *made), column in self._signals.items():
             if kind == "agent":
                 out = out.withColumn(column, signals.composite(list(made[0]), list(made[1])))
@@ -137,17 +174,13 @@ class Batch:
                 liquid = F.col(f"pct_{LIQUIDITY}") >= made[1]
                 out = out.withColumn(column, F.when(liquid, F.col(self._signals[made[0]])))
         kept = [c for c in out.columns if c.startswith("fwd_") or c in self._signals.values()]
-        return self._keep(out.select("date", "date_idx", "symbol", "adv", *kept), "batch-strategies")
+        return out.select("date", "date_idx", "symbol", "adv", *kept)
 
     @cached_property
     def aligned(self) -> DataFrame:
         """Rows with a signal and a forward return, per distinct portfolio, on its rebalance dates."""
         held = {p: F.col(k[0]).isNotNull() & F.col(f"fwd_{k[1]}").isNotNull() for k, p in self._positions.items()}
-        step = {p: k[3] for k, p in self._positions.items()}
-        counts = F.array(*[F.struct(F.lit(p).alias("variant"), F.lit(step[p]).alias("every"), F.count_if(c).alias("n")) for p, c in held.items()])
-        present = self.strategies.groupBy("date").agg(counts.alias("c")).select("date", F.explode("c").alias("c")).where("c.n > 0")
-        chosen = portfolio.rebalance_dates(present.select("c.variant", "c.every", "date"), F.col("every"))
-        admitted = chosen.groupBy("date").agg(F.collect_set("variant").alias("admitted"))
+        admitted = self.dates.groupBy("date").agg(F.collect_set("variant").alias("admitted"))
 
         def row(key: tuple, p: str) -> Column:
             column, holding, quantile, _, allowed, fee = key
@@ -163,9 +196,9 @@ class Batch:
             )
 
         rows = F.array(*[F.when(F.array_contains("admitted", p) & held[p], row(k, p)) for k, p in self._positions.items()])
-        dated = self.strategies.join(admitted, "date")
+        dated = self.strategies.join(F.broadcast(admitted), "date")
         if self.borrow is not None:
-            dated = attach_borrow(dated, self.borrow)
+            dated = attach_borrow(dated, self.borrow.join(F.broadcast(admitted.select("date")), "date", "left_semi"))
         else:
             dated = dated.withColumns({"shortable": F.lit(True), "borrow_fee_bps": F.lit(None).cast("double")})
         dated = dated.withColumn("can_short", F.col("shortable") if self.may_short is None else F.col("shortable") & self.may_short)

@@ -101,3 +101,9 @@ def test_bad_requests(panel):
     assert none.metrics.count() == 0
     ready = Batch(panel, {"a": ResearchConfig(signal=Strategy("agent_signal", ["momentum_5d"]), **{k: v for k, v in BASE.items() if k != "signal"})})
     assert ready.summary().first().status == "completed"
+
+
+def test_only_rebalance_dates_are_ranked(panel):
+    batch = Batch(panel, {"a": BASE | {"rebalance_days": 4}, "b": BASE | {"rebalance_days": 6}})
+    days = lambda table: {r.date for r in table.select("date").distinct().collect()}
+    assert days(batch.strategies) == days(batch.dates) and len(days(batch.dates)) < 45 / 2
