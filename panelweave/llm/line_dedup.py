@@ -3,8 +3,8 @@
 For t edits a line is split into t + 1 segments; a line within t edits, of the same length or up to t longer, must
 have one of them unchanged, shifted by at most what the edits before and after it allow. So every line is indexed by
 (length, segment number, segment) and probes the index of its own length and of the t lengths below at these shifts.
-Where an index entry has more than ``CROWDED`` lines, the pairs are not taken from it: what is left of its lines is
-split into segments again, and again while entries stay crowded, and sketches of lines rule out pairs with too many edits.
+Where an index entry has more than ``CROWDED`` lines, the pairs are not taken from it: for one edit, what is left of its lines
+is split into segments again, and again while entries stay crowded; for more edits, ``crowded_lines`` finds the pairs.
 Candidates are verified with Spark's banded edit distance.
 
 Joins that carry texts are merge joins at every size, so that their cost in a small run tells that of a large one.
@@ -13,16 +13,14 @@ Joins that carry texts are merge joins at every size, so that their cost in a sm
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.crowded_lines import crowded_pairs
 from panelweave.llm.tables import fresh, stage
 
 CROWDED = 32
-#: Splits of crowded entries for more than one edit. A split leaves as many crowded ways to the same pair as there are edits.
-SPLITS = 4
 #: (length, edits): lines from this length on may differ by so many edits.
 TAU = ((0, 1),)
 
@@ -109,8 +107,13 @@ def removed_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int
 
     pairs = _pairs(chosen.where("not crowded").select("key", "name", "probe", "p.d"))
     rest = _without(F.col("line"), *_segment(length - F.col("p.d"), F.col("p")))
-    crowded = chosen.where("crowded").join(text.hint("merge"), "name").select("key", "name", "sketch", "probe", "p.t", "p.d", rest.alias("rest")).withColumn("size", F.char_length("rest") - F.col("d"))
-    pairs = reduce(DataFrame.unionByName, _finer_pairs(crowded, edits), pairs).distinct()
+    crowded = chosen.where("crowded and p.t <= 1").join(text.hint("merge"), "name").select("key", "name", "probe", "p.t", "p.d", rest.alias("rest")).withColumn("size", F.char_length("rest") - F.col("d"))
+    pairs = reduce(DataFrame.unionByName, _finer_pairs(crowded, edits & {0, 1}) if edits & {0, 1} else [], pairs)
+    more, linked = edits - {0, 1}, None
+    if more:
+        others, linked = crowded_pairs(chosen.where("crowded and p.t > 1").select("key", "name", "probe", "p.t", "p.d"), text, kinds.select("name", "first"), more)
+        pairs = pairs.unionByName(others)
+    pairs = pairs.distinct()
     left = text.select(F.col("name").alias("a"), F.col("line").alias("line_a"), F.col("length").alias("length_a"))
     right = text.select(F.col("name").alias("b"), F.col("line").alias("line_b"), F.col("length").alias("length_b"))
     allowed = _edits(F.least("length_a", "length_b"), tau)
@@ -119,7 +122,8 @@ def removed_lines(docs: DataFrame, shortest: int = 32, tau: tuple[tuple[int, int
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = kinds.select(F.col("name").alias("b"), F.col("first").alias("other"))
-    earliest = both.join(other, "b").groupBy("a").agg(F.min("other").alias("other"))
+    found = both.join(other, "b").select("a", "other")
+    earliest = (found.unionByName(linked) if linked else found).groupBy("a").agg(F.min("other").alias("other"))
     repeated = kinds.drop("line", "length").join(earliest, kinds["name"] == earliest["a"], "left").where("times > 1 or a is not null")
     earliest = stage(repeated.select("name", F.least("first", F.coalesce("other", "first")).alias("first")), "earliest")
     spots = lines.select("_doc", "_version", "_line", "name").join(earliest.hint("merge"), "name")
@@ -134,11 +138,11 @@ def _met(entries: DataFrame) -> DataFrame:
 
 
 def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
-    """Pairs of crowded entries (key, name, sketch, probe, t, d, rest, size), whose rests are split until entries are not crowded."""
+    """Pairs of crowded entries (key, name, probe, t, d, rest, size), whose rests are split until entries are not crowded; for one edit."""
     crowded = stage(crowded, "crowded")
     pairs = []
     size = F.col("size")
-    for split in count(1):
+    while True:
         if crowded.isEmpty():
             return pairs
         fitting = F.filter(_plan(edits), lambda p: (p["t"] == F.col("t")) & (p["d"] == F.col("d")))
@@ -148,11 +152,11 @@ def _finer_pairs(crowded: DataFrame, edits: set[int]) -> list[DataFrame]:
             key = F.xxhash64("key", p["i"], F.substring("rest", start + 1, wide))
             return F.struct(key.alias("key"), (F.col("probe") | (p["s"] != 0)).alias("probe"), _without(F.col("rest"), start, wide).alias("rest"), (size - wide).alias("size"))
 
-        finer = crowded.select("name", "sketch", "t", "d", F.explode(F.transform(fitting, entry)).alias("e")).select("e.*", "name", "sketch", "t", "d")
+        finer = crowded.select("name", "t", "d", F.explode(F.transform(fitting, entry)).alias("e")).select("e.*", "name", "t", "d")
         finer = stage(finer.join(_met(finer), "key"), "finer")
         # All entries of a key have the same t and the same indexed length of the rest.
-        again = F.col("crowded") & (size > F.col("t")) & ((F.col("t") == 1) | F.lit(split < SPLITS))
-        pairs.append(_pairs(finer.where(~again).select("key", "name", "probe", "d", "t", "sketch")))
+        again = F.col("crowded") & (size > F.col("t"))
+        pairs.append(_pairs(finer.where(~again).select("key", "name", "probe", "d")))
         crowded = finer.where(again).drop("crowded")
 
 
@@ -167,10 +171,7 @@ def _sketch(line: Column) -> Column:
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    """(a, b) of an indexed line and one that finds it, pairs of equal length once; where entries have sketches, only of alike ones."""
-    sketched = "sketch" in entries.columns
-    left = entries.where("not probe").select("key", F.col("name").alias("a"), *([F.col("sketch").alias("of_a")] if sketched else []))
-    right = entries.select("key", F.col("name").alias("b"), "d", *(["t", "sketch"] if sketched else []))
-    on = [left["key"] == right["key"], F.expr("a <> b and (d > 0 or a < b)")]
-    alike = [F.bit_count(F.col("of_a").bitwiseXOR(F.col("sketch"))) <= 4 * F.col("t")] if sketched else []
-    return left.join(right, reduce(lambda x, y: x & y, on + alike)).select("a", "b")
+    """(a, b) of an indexed line and one that finds it, pairs of equal length once."""
+    left = entries.where("not probe").select("key", F.col("name").alias("a"))
+    right = entries.select("key", F.col("name").alias("b"), "d")
+    return left.join(right, [left["key"] == right["key"], F.expr("a <> b and (d > 0 or a < b)")]).select("a", "b")

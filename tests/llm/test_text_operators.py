@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from panelweave.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality, substring_dedup, token_counts  # noqa: E402
+from panelweave.llm import crowded_lines, fingerprints, jaccard_join, line_dedup, mixing, packing, quality, substring_dedup, token_counts  # noqa: E402
 from panelweave.llm.bpe import PieceEncoder  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,6 +197,40 @@ def test_dedup_lines_of_several_edits(spark, monkeypatch, crowded):
     assert len([x for x in expected if x[1] == 3]) > 20 and len([x for x in expected if x[1] == 2]) == 69
 
 
+def test_crowded_lines_keep_links_without_all_pairs(spark, prose):
+    """Lines about two words from a common one: a small part of all pairs is left to verify, and no link is lost."""
+    import random
+
+    draw = random.Random(3)
+    words = prose(4, 90).split()
+    lines = []
+    for i in range(240):
+        own = list(words)
+        for _ in range(2 if i % 6 else 0):
+            own[draw.randrange(90)] = "".join(draw.choice("abcdefghij") for _ in range(draw.randint(4, 9)))
+        line = " ".join(lines[-1].split(" ") if i % 8 == 5 else own)
+        for _ in range(draw.randint(0, 3) if i % 6 == 0 or i % 8 == 5 else 0):
+            at = draw.randrange(len(line))
+            line = line[:at] + draw.choice(["", "x", line[at] + "y"]) + line[at + 1 :]
+        lines.append(line)
+    lines = list(dict.fromkeys(lines))
+    names = list(range(len(lines)))
+    draw.shuffle(names)
+    table = spark.createDataFrame(list(zip(names, lines, strict=True)), "name long, line string").withColumn("sketch", line_dedup._sketch(F.col("line"))).cache()
+    crowded = table.selectExpr("1L AS key", "name", "false AS probe", "3 AS t", "0 AS d")
+    first = table.selectExpr("name", "named_struct('_doc', name, '_version', 0L, '_line', 0) AS first")
+    pairs, linked = crowded_lines.crowded_pairs(crowded, table, first, {2, 3})
+    near = table.selectExpr("name AS x", "line AS of_x").join(table.selectExpr("name AS y", "line AS of_y"), F.expr("x < y and levenshtein(of_x, of_y, 3) >= 0"))
+    links = {(r.x, r.y) for r in near.collect()}
+    found = {tuple(sorted(r)) for r in pairs.collect()}
+    least = {n: min([n, *(a + b - n for a, b in links if n in (a, b))]) for n in names}
+    got = {n: n for n in names} | {r.a: min(r.a, r.other._doc) for r in linked.collect()}
+    for a, b in found & links:
+        got[b] = min(got[b], a)
+    assert got == least and len([n for n in names if least[n] < n]) > 40
+    assert len(found) < len(lines) * (len(lines) - 1) / 2 / 8
+
+
 def test_sketches_never_rule_out_near_lines(spark):
     import random
 
